@@ -1,16 +1,19 @@
-"""Connected components by randomised contraction (Boegeholz, Brand and Todor, ICDE 2020).
+"""Connected components by randomised contraction, after Boegeholz, Brand and Todor (ICDE 2020).
 
-In a round every vertex joins the neighbour (or itself) with the lowest random rank of that round, and the edges are
-rewritten to the chosen vertices. The graph shrinks by a constant factor per round in expectation, whatever its shape,
-so long paths need few rounds too. The choices are then followed backwards, smallest table first.
+Every round ranks the vertices at random. A vertex moves to the lowest-ranked vertex within two steps, and the edges are
+rewritten accordingly. The graph shrinks by a constant factor per round in expectation, whatever its shape, so long
+paths and large stars need few rounds alike. The moves are composed backwards at the end, smallest table first.
+
+The joins here are of edges with one row per vertex, both sides shuffled; a vertex that owns many of the edges is split
+by adaptive skew-join handling, and the aggregates combine before they shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from murmuration.session import durable
+from murmuration.session import durable, durable_with
 
 
 def _undirected(edges: DataFrame) -> DataFrame:
@@ -18,29 +21,37 @@ def _undirected(edges: DataFrame) -> DataFrame:
             .where("a <> b").distinct())
 
 
-def _choices(pairs: DataFrame, seed: int) -> DataFrame:
-    """``id, rep``: the lowest-ranked vertex among ``id`` and its neighbours."""
+def _moves(pairs: DataFrame, seed: int) -> DataFrame:
+    """``id, rep``: the lowest-ranked vertex within two steps of ``id``, itself included."""
     ends = pairs.select(F.explode(F.array(
         F.struct(F.col("a").alias("id"), F.col("b").alias("nbr")),
         F.struct(F.col("b").alias("id"), F.col("a").alias("nbr")),
     )).alias("end")).select("end.*")
-    rank = F.xxhash64("nbr", F.lit(seed))
-    best = ends.groupBy("id").agg(F.min_by("nbr", rank).alias("nbr"), F.min(rank).alias("rank"))
-    stay = F.xxhash64("id", F.lit(seed)) <= F.col("rank")
-    return best.select("id", F.when(stay, F.col("id")).otherwise(F.col("nbr")).alias("rep"))
+
+    def rank(vertex: str) -> Column:
+        # As text, the seed is not part of the generated code, which is then compiled once for all rounds.
+        return F.xxhash64(vertex, F.lit(str(seed)))
+
+    best = ends.groupBy("id").agg(F.min_by("nbr", rank("nbr")).alias("best"))
+    nearest = best.select(F.col("id").alias("nbr"),
+                          F.when(rank("best") < rank("id"), F.col("best")).otherwise(F.col("id")).alias("seen"))
+    # The choices of all neighbours include the best of the vertex's own neighbours: they see at least themselves.
+    return (ends.join(nearest, "nbr").groupBy("id").agg(F.min_by("seen", rank("seen")).alias("seen"))
+            .select("id", F.when(rank("seen") < rank("id"), F.col("seen")).otherwise(F.col("id")).alias("rep")))
 
 
 def connected_components(vertices: DataFrame, edges: DataFrame, seed: int = 0) -> DataFrame:
     """``id, component`` for every vertex and edge end; the label is the lowest id of the component."""
-    pairs = durable(_undirected(edges))
+    n = F.count(F.lit(1))
+    pairs, seen = durable_with(_undirected(edges), n=n)
     rounds: list[DataFrame] = []
-    while not pairs.isEmpty():
-        chosen = durable(_choices(pairs, seed + len(rounds)))
-        rounds.append(chosen)
+    while seen["n"]:
+        moves = durable(_moves(pairs, seed + len(rounds)))
+        rounds.append(moves)
         moved = (pairs
-                 .join(chosen.select(F.col("id").alias("a"), F.col("rep").alias("src")), "a")
-                 .join(chosen.select(F.col("id").alias("b"), F.col("rep").alias("dst")), "b"))
-        pairs = durable(_undirected(moved))
+                 .join(moves.select(F.col("id").alias("a"), F.col("rep").alias("src")), "a")
+                 .join(moves.select(F.col("id").alias("b"), F.col("rep").alias("dst")), "b"))
+        pairs, seen = durable_with(_undirected(moved), n=n)
     everyone = vertices.select("id")
     if not rounds:
         return everyone.select("id", F.col("id").alias("component"))

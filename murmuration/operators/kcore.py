@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from murmuration.operators.graph import PropertyGraph, degrees, induced_subgraph
 from murmuration.operators.propagate import MAX_ROWS_PER_NEIGHBOUR, both_ways, prepare_links
-from murmuration.session import durable
+from murmuration.session import durable_with
 
 ROUNDS_PER_JOB = 3
 
@@ -21,8 +21,10 @@ def kcore_ids(edges: DataFrame, k: int, max_rows: int = MAX_ROWS_PER_NEIGHBOUR)
     pairs = both_ways(edges)
     links = prepare_links(pairs, max_rows)
     # An edge from a vertex to itself is two links to the same neighbour, which is its two ends.
-    alive = durable(links.rows.groupBy("id").agg(F.sum("w").alias("deg")).where(F.col("deg") >= k).select("id"))
-    count = linked = alive.count()
+    n = F.count(F.lit(1))
+    alive, seen = durable_with(
+        links.rows.groupBy("id").agg(F.sum("w").alias("deg")).where(F.col("deg") >= k).select("id"), n=n)
+    count = linked = seen["n"]
 
     def peel(kept: DataFrame) -> DataFrame:
         met = links.gather(kept)
@@ -32,11 +34,10 @@ def kcore_ids(edges: DataFrame, k: int, max_rows: int = MAX_ROWS_PER_NEIGHBOUR)
         after = alive
         for _ in range(ROUNDS_PER_JOB):
             after = peel(after)
-        after = durable(after)
-        left = after.count()
-        if left == count:
+        after, seen = durable_with(after, n=n)
+        if seen["n"] == count:
             break
-        alive, count = after, left
+        alive, count = after, seen["n"]
         if count <= linked // 2:
             cut = (links.rows.drop("salt").join(alive, "id", "left_semi")
                    .join(alive.withColumnRenamed("id", "nbr"), "nbr", "left_semi"))

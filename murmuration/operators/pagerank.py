@@ -34,14 +34,11 @@ def pagerank(graph: PropertyGraph, tolerance: float | None = 1e-5, rounds: int |
             (F.lit(RESET) + F.lit(1 - RESET) * F.sum(share)).alias("rank"),
             F.max(F.when(own, F.col("rank"))).alias("before"))
 
-    def settled(state: DataFrame) -> bool:
-        change = state.agg(F.max(F.abs(F.col("rank") - F.col("before")))).first()[0]
-        return change is None or change < tolerance
-
     if rounds is not None:
         ranks = run_rounds(start, spread, rounds, ROUNDS_PER_JOB)
     else:
-        ranks = run_until(start, spread, settled, ROUNDS_PER_JOB)
+        change = F.max(F.abs(F.col("rank") - F.col("before")))
+        ranks = run_until(start, spread, change, lambda most: most is None or most < tolerance, ROUNDS_PER_JOB)
     ranks = ranks.select("id", "rank")
     if normalize:
         count, total = ranks.agg(F.count("*"), F.sum("rank")).first()

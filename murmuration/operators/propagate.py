@@ -13,10 +13,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from murmuration.session import durable
+from murmuration.session import durable, durable_partitioned, durable_with
 
 MAX_ROWS_PER_NEIGHBOUR = 1_000_000
 MAX_HOT_NEIGHBOURS = 4096  # bounds the broadcast; every further neighbour has at most links / 4096 rows
@@ -65,14 +65,14 @@ def prepare_links(links: DataFrame, max_rows: int = MAX_ROWS_PER_NEIGHBOUR) -> L
     if (largest or 0) <= max_rows:
         if partitions == 1:
             return Links(links.coalesce(1))
-        return Links(durable(links.repartition(partitions, "nbr")))
+        return Links(durable_partitioned(links.repartition(partitions, "nbr")))
     hot = (sizes.where(F.col("count") > max_rows).orderBy(F.desc("count"), "nbr").limit(MAX_HOT_NEIGHBOURS)
            .select("nbr", F.ceil(F.col("count") / max_rows).cast("int").alias("copies")))
     hot = durable(hot)
     salted = (links.join(F.broadcast(hot), "nbr", "left")
               .withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("copies", F.lit(1))).cast("int"))
               .drop("copies"))
-    return Links(durable(salted.repartition(partitions, "nbr", "salt")), hot)
+    return Links(durable_partitioned(salted.repartition(partitions, "nbr", "salt")), hot)
 
 
 def run_rounds(state: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int, per_job: int) -> DataFrame:
@@ -84,14 +84,12 @@ def run_rounds(state: DataFrame, step: Callable[[DataFrame], DataFrame], rounds:
     return state
 
 
-def run_until(state: DataFrame, step: Callable[[DataFrame], DataFrame], settled: Callable[[DataFrame], bool],
-              per_job: int, max_rounds: int | None = None) -> DataFrame:
-    """Rounds until ``settled(state)``, tested after each job of ``per_job`` rounds."""
-    done = 0
-    while max_rounds is None or done < max_rounds:
-        rounds = per_job if max_rounds is None else min(per_job, max_rounds - done)
-        state = run_rounds(state, step, rounds, rounds)
-        done += rounds
-        if settled(state):
-            break
-    return state
+def run_until(state: DataFrame, step: Callable[[DataFrame], DataFrame], measure: Column,
+              settled: Callable[[object], bool], per_job: int) -> DataFrame:
+    """Rounds until ``settled`` holds for an aggregate of the state, evaluated as each job stores its result."""
+    while True:
+        for _ in range(per_job):
+            state = step(state)
+        state, seen = durable_with(state, measure=measure)
+        if settled(seen["measure"]):
+            return state

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from murmuration.operators.graph import PropertyGraph
 from murmuration.operators.propagate import (MAX_ROWS_PER_NEIGHBOUR, prepare_links, run_until, self_links)
-from murmuration.session import durable
+from murmuration.session import durable, durable_with
 
 ROUNDS_PER_JOB = 4
 OWN, FROM, TO = 0, 1, 2  # link to itself; the neighbour is the link's source; the neighbour is its target
@@ -33,10 +33,15 @@ def strongly_connected_components(graph: PropertyGraph, max_passes: int | None =
     With ``max_passes`` the search stops early and the vertices left over are labelled by their own id.
     """
     left = durable(graph.vertices.select("id"))
-    links = durable(_directed_links(graph.edges))
+    n = F.count(F.lit(1))
+    links, seen = durable_with(_directed_links(graph.edges), n=n)
     found: list[DataFrame] = []
     passes = 0
-    while not links.isEmpty() and (max_passes is None or passes < max_passes):
+
+    def none(changed: int) -> bool:
+        return changed == 0
+
+    while seen["n"] and (max_passes is None or passes < max_passes):
         passes += 1
         both = prepare_links(links, max_rows)
         count = [-1]
@@ -47,11 +52,11 @@ def strongly_connected_components(graph: PropertyGraph, max_passes: int | None =
                     .agg(F.max(F.col("way") == FROM).alias("has_in"), F.max(F.col("way") == TO).alias("has_out"))
                     .where("has_in and has_out").select("id"))
 
-        def same_count(kept: DataFrame) -> bool:
-            before, count[0] = count[0], kept.count()
-            return before == count[0]
+        def same_count(kept: int) -> bool:
+            before, count[0] = count[0], kept
+            return before == kept
 
-        core = run_until(left, trim, same_count, ROUNDS_PER_JOB)
+        core = run_until(left, trim, n, same_count, ROUNDS_PER_JOB)
         if count[0] == 0:
             break
         inner = (links.join(core, "id", "left_semi").join(core.withColumnRenamed("id", "nbr"), "nbr", "left_semi")
@@ -64,11 +69,8 @@ def strongly_connected_components(graph: PropertyGraph, max_passes: int | None =
             return met.groupBy("id").agg(F.min("colour").alias("colour"),
                                          F.max(F.when(F.col("way") == OWN, F.col("colour"))).alias("before"))
 
-        def coloured(state: DataFrame) -> bool:
-            return state.where("colour <> before").isEmpty()
-
         start = core.select("id", F.col("id").alias("colour"), F.lit(None).cast("long").alias("before"))
-        colours = run_until(start, colour, coloured, ROUNDS_PER_JOB)
+        colours = run_until(start, colour, F.count_if(F.col("colour") != F.col("before")), none, ROUNDS_PER_JOB)
 
         # A link goes from a colour to the same or a lower one, so a target of the same colour is a target of the
         # highest colour among those a vertex leads to.
@@ -80,16 +82,13 @@ def strongly_connected_components(graph: PropertyGraph, max_passes: int | None =
             return met.groupBy("id").agg(mine.alias("colour"), was.alias("before"),
                                          (was | F.coalesce(led_to == mine, F.lit(False))).alias("reached"))
 
-        def reached_all(state: DataFrame) -> bool:
-            return state.where("reached <> before").isEmpty()
-
         start = colours.select("id", "colour", F.lit(False).alias("before"),
                                (F.col("id") == F.col("colour")).alias("reached"))
-        done = run_until(start, reach_back, reached_all, ROUNDS_PER_JOB)
+        done = run_until(start, reach_back, F.count_if(F.col("reached") != F.col("before")), none, ROUNDS_PER_JOB)
         found.append(done.where("reached").select("id", F.col("colour").alias("component")))
         left = durable(done.where("not reached").select("id"))
-        links = durable(inner.join(left, "id", "left_semi")
-                        .join(left.withColumnRenamed("id", "nbr"), "nbr", "left_semi").select("id", "nbr", "way"))
+        links, seen = durable_with(inner.join(left, "id", "left_semi")
+                        .join(left.withColumnRenamed("id", "nbr"), "nbr", "left_semi").select("id", "nbr", "way"), n=n)
     everyone = graph.vertices.select("id")
     if not found:
         return everyone.select("id", F.col("id").alias("component"))

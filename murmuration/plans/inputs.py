@@ -1,7 +1,8 @@
 """Messages and graphs derived from the given tables, as DataFrames and as the same text in SQL.
 
-A message is an event: it is written by the event's user, mentions the user of the next event, and carries the whole
-document of the same number, where there is one. Next events are found by an equi-join, not by a window over all rows.
+A message is an event: it is written by the event's user and mentions the user of the next event. There are about ten
+events per document, so document n is the rest of message 10 n; the other messages are short. Next events and documents
+are found by equi-joins, not by a window over all rows.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ def _next_users(rows: DataFrame) -> DataFrame:
 
 def messages(spark: SparkSession, folder: str) -> DataFrame:
     rows = events(spark, folder)
-    documents = table(spark, folder, "documents").select(F.col("doc_id").alias("event_id"), "text", "lang")
+    documents = table(spark, folder, "documents").select((F.col("doc_id") * 10).alias("event_id"), "text", "lang")
     customers = table(spark, folder, "customer").select(
         F.col("c_custkey").alias("user_id"), "c_name", "c_nationkey", F.floor("c_acctbal").alias("followers"))
     joined = (rows.join(_next_users(rows), "event_id", "left").join(documents, "event_id", "left")
@@ -72,7 +73,7 @@ msg as (
          case when e.event_type = 'view' then -e.value end as lat
   from events e
   left join events n on n.event_id = e.event_id + 1
-  left join documents d on d.doc_id = e.event_id
+  left join documents d on d.doc_id * 10 = e.event_id
   left join customer c on c.c_custkey = e.user_id
 )"""
 

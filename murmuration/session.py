@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -50,14 +50,43 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def application_folder(spark: SparkSession) -> str:
+    """Where this application keeps its intermediate tables; ``clear`` removes it."""
+    return f"{shared_folder(spark).rstrip('/')}/murmuration-{spark.sparkContext.applicationId}"
+
+
 def new_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    """A fresh path under the application's folder."""
+    return f"{application_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Compute ``df`` now and store it reliably, so that later rounds neither recompute it nor depend on executors."""
+    """Compute ``df`` now into a table in the shared folder and read it from there.
+
+    Later rounds neither recompute it nor depend on executors, and the planner knows its true size, so that small
+    sides of joins are broadcast by measured size only.
+    """
+    path = new_folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def durable_with(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
+    """``durable`` that also evaluates aggregates of the rows while they are written, without another job."""
+    seen = Observation()
+    stored = durable(df.observe(seen, *[column.alias(name) for name, column in measures.items()]))
+    return stored, seen.get
+
+
+def durable_partitioned(df: DataFrame) -> DataFrame:
+    """Like ``durable``, but later joins on the partitioning keys of ``df`` need not shuffle it again."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove the application's intermediate tables, once their results are no longer needed."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(application_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
