@@ -5,6 +5,7 @@ Tokens stay rows ``(doc_id, term)``; they are counted before any shuffle that a
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame
@@ -80,9 +81,14 @@ def fit_topics(vectors: DataFrame, optimizer: str = "online", k: int = N_TOPICS,
     if optimizer == "online" and first is not None and first["features"].size > ONLINE_TERMS:
         raise ValueError(f"{first['features'].size} terms are too many for optimizer='online'; use 'em'")
     default = EM_ITERATIONS if optimizer == "em" else ONLINE_ITERATIONS
+    spread = vectors.repartition(3 * vectors.sparkSession.sparkContext.defaultParallelism)
+    spread.persist(StorageLevel.MEMORY_AND_DISK)  # read once per iteration
     lda = LDA(k=k, maxIter=iterations or default, optimizer=optimizer, docConcentration=[DOC_CONCENTRATION],
               topicConcentration=TOPIC_CONCENTRATION, seed=seed)
-    return lda.fit(vectors)
+    try:
+        return lda.fit(spread)
+    finally:
+        spread.unpersist()
 
 
 def describe_topics(model: LDAModel, terms: DataFrame, n_words: int = WORDS_PER_TOPIC) -> DataFrame:

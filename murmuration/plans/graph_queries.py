@@ -167,11 +167,16 @@ def communities(spark, folder):
     return found.members.join(found.sizes, "com_id").select("id", "name", "com_id", "nbv")
 
 
-@query("large_communities", f"""{COMMUNITIES}
+# In the 1-core every component of the graph is a community.
+COMPONENTS = f"""{PART},{components_sql('comp', 'edge')},
+size as (select component as com_id, count(*) as nbv from comp group by component)"""
+
+
+@query("large_communities", f"""{COMPONENTS}
 select s.nbv as nbv, s.com_id as com_id, e.src as src, e.dst as dst, e.attr as attr
-from core e join comp p on p.id = e.src join size s on s.com_id = p.component where s.nbv >= 6""")
+from edge e join comp p on p.id = e.src join size s on s.com_id = p.component where s.nbv >= 6""")
 def large_communities(spark, folder):
-    return c.community_edges(c.communities(inputs.part_graph(spark, folder), 2, c.MIN_COMMUNITY_SIZE))
+    return c.community_edges(c.communities(inputs.part_graph(spark, folder), 1, c.MIN_COMMUNITY_SIZE))
 
 
 @query("prune_graph", f"{FLOW},{kcore_sql('core', 'edge', 2)} select src, dst, attr from core")
