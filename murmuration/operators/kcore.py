@@ -9,7 +9,7 @@ from murmuration.operators.graph import PropertyGraph, degrees, induced_subgraph
 from murmuration.operators.propagate import MAX_ROWS_PER_NEIGHBOUR, both_ways, prepare_links
 from murmuration.session import durable_with
 
-ROUNDS_PER_JOB = 3
+ROUNDS_PER_JOB = 4
 
 
 def kcore_ids(edges: DataFrame, k: int, max_rows: int = MAX_ROWS_PER_NEIGHBOUR) -> DataFrame:

@@ -14,7 +14,7 @@ from murmuration.operators.graph import PropertyGraph
 from murmuration.operators.propagate import (MAX_ROWS_PER_NEIGHBOUR, prepare_links, run_until, self_links)
 from murmuration.session import durable, durable_with
 
-ROUNDS_PER_JOB = 4
+ROUNDS_PER_JOB = 6
 OWN, FROM, TO = 0, 1, 2  # link to itself; the neighbour is the link's source; the neighbour is its target
 
 

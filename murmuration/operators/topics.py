@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from murmuration.functions.ranking import with_dense_index
 from murmuration.functions.text import is_topic_word, split_words
-from murmuration.session import durable
+from murmuration.session import durable, durable_with
 
 # Settings of the topic model.
 N_TOPICS = 10
@@ -38,7 +38,9 @@ def as_token_documents(words: DataFrame) -> DataFrame:
 
 
 def term_counts(words: DataFrame) -> DataFrame:
-    return words.groupBy("term").agg(F.count("*").alias("cnt"))
+    """``term, cnt``, from tokens or from tokens already counted per document."""
+    counted = F.sum("cnt") if "cnt" in words.columns else F.count("*")
+    return words.groupBy("term").agg(counted.alias("cnt"))
 
 
 def vocabulary(words: DataFrame, drop_most_frequent: int = 0) -> DataFrame:
@@ -52,10 +54,10 @@ def doc_term_counts(words: DataFrame) -> DataFrame:
     return words.groupBy("doc_id", "term").agg(F.count("*").alias("cnt"))
 
 
-def term_vectors(words: DataFrame, terms: DataFrame) -> DataFrame:
-    """``doc_id, features``: sparse counts over the vocabulary.
+def term_vectors(counts: DataFrame, terms: DataFrame) -> DataFrame:
+    """``doc_id, features``: sparse counts over the vocabulary, from ``doc_term_counts``.
 
-    Terms are counted per document first, so that a row is bounded by the number of distinct terms, however long the
+    Terms come counted per document, so that a row is bounded by the number of distinct terms, however long the
     document. The vocabulary is joined, never brought to the driver.
     """
     size = terms.count()
@@ -64,7 +66,7 @@ def term_vectors(words: DataFrame, terms: DataFrame) -> DataFrame:
         return SparseVector(size, ids, counts)
 
     to_vector = F.udf(sparse, VectorUDT(), useArrow=True)
-    known = doc_term_counts(words).join(terms.select("term", "term_id"), "term")
+    known = counts.join(terms.select("term", "term_id"), "term")
     entries = F.sort_array(F.collect_list(F.struct("term_id", F.col("cnt").cast("double").alias("cnt"))))
     return (known.groupBy("doc_id").agg(entries.alias("e"))
             .select("doc_id", to_vector("e.term_id", "e.cnt").alias("features")))
@@ -160,9 +162,13 @@ def score_communities(edges: DataFrame, cosines: DataFrame) -> DataFrame:
 
 def topic_model(words: DataFrame, optimizer: str = "online", k: int = N_TOPICS, iterations: int | None = None,
                 drop_most_frequent: int = 0, n_words: int = WORDS_PER_TOPIC) -> DataFrame:
-    """Topics of a corpus: vocabulary, vectors, fit and description in one call."""
-    terms = vocabulary(words, drop_most_frequent)
-    vectors = durable(term_vectors(words, terms))
-    if vectors.isEmpty():
+    """Topics of a corpus: vocabulary, vectors, fit and description in one call.
+
+    The texts are read once; the vocabulary and the vectors both come from the stored counts per document.
+    """
+    counts = durable(doc_term_counts(words))
+    terms = vocabulary(counts, drop_most_frequent)
+    vectors, seen = durable_with(term_vectors(counts, terms), n=F.count(F.lit(1)))
+    if not seen["n"]:
         return words.sparkSession.createDataFrame([], "n_topic int, position int, term string, weight double")
     return describe_topics(fit_topics(vectors, optimizer, k, iterations), terms, n_words)

@@ -29,8 +29,7 @@ def test_degree_distribution(golden):
     assert [r["degree"] for r in g.degree_sample(golden, 3).collect()] == sorted(expected)[:3]
 
 
-@pytest.mark.parametrize("max_rows", [1_000_000, SALTED])
-@pytest.mark.parametrize("k", sorted(CORES))
+@pytest.mark.parametrize("k, max_rows", [(1, 1_000_000), (2, SALTED), (3, 1_000_000), (6, SALTED), (7, 1_000_000)])
 def test_kcore(golden, k, max_rows):
     n_vertices, n_edges, communities = CORES[k]
     core = kcore(golden, k, max_rows)
@@ -94,13 +93,14 @@ def test_triangles_of_a_complete_graph(spark):
     assert as_dict(triangle_count(g.PropertyGraph(vertices, edges))) == {i: 15 for i in range(7)}
 
 
-@pytest.mark.parametrize("max_rows", [1_000_000, SALTED])
-def test_pagerank(golden, max_rows):
-    ranks = as_dict(pagerank(golden, tolerance=1e-7, max_rows=max_rows))
+def test_pagerank(golden):
+    ranks = as_dict(pagerank(golden))
     for name, e in EXPECTED.items():
-        assert ranks[IDS[name]] == pytest.approx(e[4], abs=2e-5)
-    total = sum(as_dict(pagerank(golden, normalize=True)).values())
-    assert total == pytest.approx(12)
+        assert ranks[IDS[name]] == pytest.approx(e[4], abs=1e-4)
+    salted = as_dict(pagerank(golden, rounds=2, normalize=True, max_rows=SALTED))
+    plain = as_dict(pagerank(golden, rounds=2, normalize=True))
+    assert salted == pytest.approx(plain)
+    assert sum(plain.values()) == pytest.approx(12)
 
 
 @pytest.mark.parametrize("max_rows", [1_000_000, SALTED])
