@@ -32,6 +32,11 @@ def endpoints(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("src", "dst")).alias("id"))
 
 
+def one_name_per_id(names: DataFrame) -> DataFrame:
+    """Vertices of ``id, name`` rows with repetitions; repeated rows are hashed away before the names are compared."""
+    return names.select("id", "name").distinct().groupBy("id").agg(F.min("name").alias("name"))
+
+
 def mention_rows(messages: DataFrame, pattern: str = MENTION_PATTERN) -> DataFrame:
     """One row per message and mention with the ids of sender and mentioned user."""
     mentions = messages.select(
@@ -54,7 +59,7 @@ def mention_graph(mentions: DataFrame, keep_self: bool = False) -> PropertyGraph
     )).alias("end")).select("end.*")
     links = mentions if keep_self else mentions.where("src <> dst")
     return PropertyGraph(
-        ends.groupBy("id").agg(F.min("name").alias("name")),
+        one_name_per_id(ends),
         links.select("src", "dst", F.col("message_id").alias("attr")),
     )
 
@@ -86,8 +91,7 @@ def with_missing_vertices(graph: PropertyGraph, default_name: str | None = None)
 
 def graph_union(first: PropertyGraph, second: PropertyGraph) -> PropertyGraph:
     """Bag union of the edges; vertices with one id become one."""
-    vertices = first.vertices.unionByName(second.vertices)
-    return PropertyGraph(vertices.groupBy("id").agg(F.min("name").alias("name")),
+    return PropertyGraph(one_name_per_id(first.vertices.unionByName(second.vertices)),
                          first.edges.unionByName(second.edges))
 
 

@@ -41,7 +41,9 @@ def kcore_ids(edges: DataFrame, k: int, max_rows: int = MAX_ROWS_PER_NEIGHBOUR)
         if count <= linked // 2:
             cut = (links.rows.drop("salt").join(alive, "id", "left_semi")
                    .join(alive.withColumnRenamed("id", "nbr"), "nbr", "left_semi"))
-            links, linked = prepare_links(cut, max_rows), count
+            before, links, linked = links, prepare_links(cut, max_rows), count
+            before.release()
+    links.release()
     return alive
 
 

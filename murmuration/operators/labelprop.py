@@ -22,4 +22,6 @@ def label_propagation(graph: PropertyGraph, rounds: int = 4, max_rows: int = MAX
         return votes.groupBy("id").agg(best.alias("best")).select("id", F.col("best.label").alias("label"))
 
     start = graph.vertices.select("id", F.col("id").alias("label"))
-    return run_rounds(start, vote, rounds, ROUNDS_PER_JOB)
+    labels = run_rounds(start, vote, rounds, ROUNDS_PER_JOB)
+    links.release()
+    return labels

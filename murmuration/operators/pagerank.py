@@ -39,6 +39,7 @@ def pagerank(graph: PropertyGraph, tolerance: float | None = 1e-5, rounds: int |
     else:
         change = F.max(F.abs(F.col("rank") - F.col("before")))
         ranks = run_until(start, spread, change, lambda most: most is None or most < tolerance, ROUNDS_PER_JOB)
+    links.release()
     ranks = ranks.select("id", "rank")
     if normalize:
         count, total = ranks.agg(F.count("*"), F.sum("rank")).first()

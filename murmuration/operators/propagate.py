@@ -1,7 +1,8 @@
 """Passing values along graph links, round after round.
 
-The links are shuffled once, stored reliably, and stay partitioned by the neighbour a value comes from; a round then
-shuffles one row per vertex and the partial aggregates, never the links. A neighbour with more than ``max_rows`` links
+The links are stored reliably, shuffled once and kept by the executors, partitioned by the neighbour a value comes from
+(what a lost executor kept is read from the stored table again). A round then shuffles one row per vertex and the
+partial aggregates, never the links. A neighbour with more than ``max_rows`` links
 is salted: its links are spread over several groups and its value is sent to each of them.
 
 Each vertex also has one link to itself with weight 0, by which it carries its own values through the aggregate. So a
@@ -13,10 +14,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from murmuration.session import durable, durable_partitioned, durable_with
+from murmuration.session import durable, durable_with
 
 MAX_ROWS_PER_NEIGHBOUR = 1_000_000
 MAX_HOT_NEIGHBOURS = 4096  # bounds the broadcast; every further neighbour has at most links / 4096 rows
@@ -42,6 +44,10 @@ class Links:
                   .drop("copies"))
         return rows.join(spread, ["nbr", "salt"])
 
+    def release(self) -> None:
+        """Let the executors drop the links; results stored from them stay."""
+        self.rows.unpersist()
+
 
 def both_ways(edges: DataFrame) -> DataFrame:
     """Undirected weighted neighbours ``id, nbr, w``: parallel edges are merged first, and ``w`` counts them."""
@@ -57,22 +63,27 @@ def self_links(ids: DataFrame) -> DataFrame:
 
 
 def prepare_links(links: DataFrame, max_rows: int = MAX_ROWS_PER_NEIGHBOUR) -> Links:
-    """Store ``links(id, nbr, w, ...)`` partitioned by neighbour, hot neighbours salted."""
+    """Store ``links(id, nbr, w, ...)`` and keep them partitioned by neighbour, hot neighbours salted.
+
+    Links that fit one task are not repartitioned.
+    """
     links = durable(links)
     sizes = links.groupBy("nbr").count()
     total, largest = sizes.agg(F.sum("count"), F.max("count")).first()
-    partitions = max(1, -(-(total or 0) // LINKS_PER_PARTITION))
+    partitions = -(-(total or 0) // LINKS_PER_PARTITION)
+    # With fewer partitions than the session's default, Spark would rather shuffle the links again in every join.
+    partitions = max(partitions, int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     if (largest or 0) <= max_rows:
-        if partitions == 1:
-            return Links(links.coalesce(1))
-        return Links(durable_partitioned(links.repartition(partitions, "nbr")))
+        if (total or 0) <= LINKS_PER_PARTITION:
+            return Links(links)
+        return Links(links.repartition(partitions, "nbr").persist(StorageLevel.MEMORY_AND_DISK))
     hot = (sizes.where(F.col("count") > max_rows).orderBy(F.desc("count"), "nbr").limit(MAX_HOT_NEIGHBOURS)
            .select("nbr", F.ceil(F.col("count") / max_rows).cast("int").alias("copies")))
     hot = durable(hot)
     salted = (links.join(F.broadcast(hot), "nbr", "left")
               .withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("copies", F.lit(1))).cast("int"))
               .drop("copies"))
-    return Links(durable_partitioned(salted.repartition(partitions, "nbr", "salt")), hot)
+    return Links(salted.repartition(partitions, "nbr", "salt").persist(StorageLevel.MEMORY_AND_DISK), hot)
 
 
 def run_rounds(state: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int, per_job: int) -> DataFrame:

@@ -57,6 +57,7 @@ def strongly_connected_components(graph: PropertyGraph, max_passes: int | None =
             return before == kept
 
         core = run_until(left, trim, n, same_count, ROUNDS_PER_JOB)
+        both.release()
         if count[0] == 0:
             break
         inner = (links.join(core, "id", "left_semi").join(core.withColumnRenamed("id", "nbr"), "nbr", "left_semi")
@@ -85,6 +86,7 @@ def strongly_connected_components(graph: PropertyGraph, max_passes: int | None =
         start = colours.select("id", "colour", F.lit(False).alias("before"),
                                (F.col("id") == F.col("colour")).alias("reached"))
         done = run_until(start, reach_back, F.count_if(F.col("reached") != F.col("before")), none, ROUNDS_PER_JOB)
+        ring.release()
         found.append(done.where("reached").select("id", F.col("colour").alias("component")))
         left = durable(done.where("not reached").select("id"))
         links, seen = durable_with(inner.join(left, "id", "left_semi")

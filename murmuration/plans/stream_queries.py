@@ -77,7 +77,7 @@ ranked as (
 select window_start, user_id, cnt, rank, n_keys from ranked where rank <= 10""")
 def windowed_topk(spark, folder):
     """Ten most active users of every six hours, hourly."""
-    counts = w.windowed_counts(inputs.events(spark, folder), "ts", "user_id", "6 hours", "1 hour")
+    counts = durable(w.windowed_counts(inputs.events(spark, folder), "ts", "user_id", "6 hours", "1 hour"))
     return (w.top_keys(counts, "user_id")
             .select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "user_id", "cnt", "rank", "n_keys"))
 

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
@@ -55,9 +58,30 @@ def application_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark).rstrip('/')}/murmuration-{spark.sparkContext.applicationId}"
 
 
+_scopes = threading.local()
+
+
 def new_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh path under the application's folder."""
-    return f"{application_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
+    """A fresh path under the innermost open ``scratch`` folder, else under the application's folder."""
+    opened = getattr(_scopes, "folders", [])
+    return f"{opened[-1] if opened else application_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Intermediate tables made inside the block are removed at its end; results must be written elsewhere by then."""
+    folder = new_folder(spark, "scratch")
+    _scopes.folders = [*getattr(_scopes, "folders", []), folder]
+    try:
+        yield folder
+    finally:
+        _scopes.folders = _scopes.folders[:-1]
+        delete_folder(spark, folder)
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -78,15 +102,6 @@ def durable_with(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
     return stored, seen.get
 
 
-def durable_partitioned(df: DataFrame) -> DataFrame:
-    """Like ``durable``, but later joins on the partitioning keys of ``df`` need not shuffle it again."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
-
-
 def clear(spark: SparkSession) -> None:
     """Remove the application's intermediate tables, once their results are no longer needed."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(application_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete_folder(spark, application_folder(spark))

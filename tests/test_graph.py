@@ -142,3 +142,24 @@ def test_induced_subgraph_drops_unnamed_vertices(golden, spark):
     assert (sub.vertices.count(), sub.edges.count()) == (3, 7)
     unnamed = golden.vertices.selectExpr("id", "nullif(name, 'Zoe') as name")
     assert g.induced_subgraph(g.PropertyGraph(unnamed, golden.edges), keep).edges.count() == 5
+
+
+def test_stored_links_are_not_shuffled_again(golden, monkeypatch):
+    from murmuration.operators import propagate as p
+
+    monkeypatch.setattr(p, "LINKS_PER_PARTITION", 2)
+    spark = golden.edges.sparkSession
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for max_rows in (1_000_000, SALTED):
+            links = p.prepare_links(p.both_ways(golden.edges), max_rows)
+            assert (links.hot is None) == (max_rows != SALTED)
+            met = links.gather(golden.vertices.select("id"))
+            assert len(met.collect()) == 24
+            plan = met._jdf.queryExecution().executedPlan().toString()
+            above_links = plan.split("SortMergeJoin")[1].split("InMemoryTableScan")[0]
+            assert "Exchange" not in above_links, plan
+            links.release()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
