@@ -50,8 +50,9 @@ class Links:
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
-    """Undirected weighted neighbours ``id, nbr, w``: parallel edges are merged first, and ``w`` counts them."""
-    pairs = edges.groupBy("src", "dst").agg(F.count("*").alias("w"))
+    """Undirected weighted neighbours ``id, nbr, w``: edges between two vertices are merged first, ``w`` counts them."""
+    pairs = (edges.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+             .agg(F.count("*").alias("w")))
     return pairs.select(F.explode(F.array(
         F.struct(F.col("src").alias("id"), F.col("dst").alias("nbr"), "w"),
         F.struct(F.col("dst").alias("id"), F.col("src").alias("nbr"), "w"),
