@@ -4,8 +4,9 @@ Every round ranks the vertices at random. A vertex moves to the lowest-ranked ve
 rewritten accordingly. The graph shrinks by a constant factor per round in expectation, whatever its shape, so long
 paths and large stars need few rounds alike. The moves are composed backwards at the end, smallest table first.
 
-The joins here are of edges with one row per vertex, both sides shuffled; a vertex that owns many of the edges is split
-by adaptive skew-join handling, and the aggregates combine before they shuffle.
+The joins here are of edges with one row per vertex. The latter is stored first: a side that is an aggregate on the join
+key would be joined without a shuffle of its own, and adaptive skew-join handling splits a vertex that owns many of the
+edges only where both sides are shuffled. The aggregates combine before they shuffle.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ def _moves(pairs: DataFrame, seed: int) -> DataFrame:
         return F.xxhash64(vertex, F.lit(str(seed)))
 
     best = ends.groupBy("id").agg(F.min_by("nbr", rank("nbr")).alias("best"))
-    nearest = best.select(F.col("id").alias("nbr"),
-                          F.when(rank("best") < rank("id"), F.col("best")).otherwise(F.col("id")).alias("seen"))
+    nearest = durable(best.select(F.col("id").alias("nbr"),
+                                  F.when(rank("best") < rank("id"), F.col("best")).otherwise(F.col("id")).alias("seen")))
     # The choices of all neighbours include the best of the vertex's own neighbours: they see at least themselves.
     return (ends.join(nearest, "nbr").groupBy("id").agg(F.min_by("seen", rank("seen")).alias("seen"))
             .select("id", F.when(rank("seen") < rank("id"), F.col("seen")).otherwise(F.col("id")).alias("rep")))
@@ -61,6 +62,6 @@ def connected_components(vertices: DataFrame, edges: DataFrame, seed: int = 0) -
         final = (rounds.pop().join(later, "rep", "left")
                  .select("id", F.coalesce("last", "rep").alias("rep")))
     final = durable(final)
-    lowest = final.groupBy("rep").agg(F.min("id").alias("component"))
+    lowest = durable(final.groupBy("rep").agg(F.min("id").alias("component")))
     linked = final.join(lowest, "rep").select("id", "component")
     return everyone.join(linked, "id", "full").select("id", F.coalesce("component", "id").alias("component"))

@@ -1,7 +1,8 @@
 """The property graph: building, merging, degrees, labels, triplets, induced subgraphs and lookups.
 
-Edges form a directed multigraph: parallel edges are kept and count in degrees. Joins against edges use the vertex id;
-a vertex with very many edges is split by adaptive skew-join handling, because both sides of these joins are shuffled.
+Edges form a directed multigraph: parallel edges are kept and count in degrees. Joins against edges use the vertex id; a
+vertex with very many edges is split by adaptive skew-join handling. That needs a shuffle on both sides, and an aggregate
+on the join key has none of its own, so vertices that come from one are stored first.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from murmuration.functions.ids import name_id
 from murmuration.functions.text import MENTION_PATTERN, all_mentions
+from murmuration.session import durable
 
 UNKNOWN_NAME = "user not found"
 UNKNOWN_ID = "0"
@@ -33,8 +35,8 @@ def endpoints(edges: DataFrame) -> DataFrame:
 
 
 def one_name_per_id(names: DataFrame) -> DataFrame:
-    """Vertices of ``id, name`` rows with repetitions; repeated rows are hashed away before the names are compared."""
-    return names.select("id", "name").distinct().groupBy("id").agg(F.min("name").alias("name"))
+    """Stored vertices of ``id, name`` rows; repeated rows are hashed away before the names are compared."""
+    return durable(names.select("id", "name").distinct().groupBy("id").agg(F.min("name").alias("name")))
 
 
 def mention_rows(messages: DataFrame, pattern: str = MENTION_PATTERN) -> DataFrame:
@@ -57,11 +59,13 @@ def mention_graph(mentions: DataFrame, keep_self: bool = False) -> PropertyGraph
         F.struct(F.col("src").alias("id"), F.col("sender_name").alias("name")),
         F.struct(F.col("dst").alias("id"), F.col("dest_name").alias("name")),
     )).alias("end")).select("end.*")
+    return PropertyGraph(one_name_per_id(ends), mention_edges(mentions, keep_self))
+
+
+def mention_edges(mentions: DataFrame, keep_self: bool = False) -> DataFrame:
+    """One edge per mention, its attribute the message id; mentions of oneself are left out unless asked for."""
     links = mentions if keep_self else mentions.where("src <> dst")
-    return PropertyGraph(
-        one_name_per_id(ends),
-        links.select("src", "dst", F.col("message_id").alias("attr")),
-    )
+    return links.select("src", "dst", F.col("message_id").alias("attr"))
 
 
 def id_collisions(names: DataFrame) -> DataFrame:
@@ -86,7 +90,7 @@ def with_missing_vertices(graph: PropertyGraph, default_name: str | None = None)
                                                     F.lit(0).alias("known"))
     merged = known.unionByName(ends).groupBy("id").agg(F.max("name").alias("name"), F.max("known").alias("known"))
     name = F.when(F.col("known") == 1, F.col("name")).otherwise(F.lit(default_name).cast("string"))
-    return PropertyGraph(merged.select("id", name.alias("name")), graph.edges)
+    return PropertyGraph(durable(merged.select("id", name.alias("name"))), graph.edges)
 
 
 def graph_union(first: PropertyGraph, second: PropertyGraph) -> PropertyGraph:
@@ -146,7 +150,7 @@ def triplets(graph: PropertyGraph) -> DataFrame:
 
 def induced_subgraph(graph: PropertyGraph, keep: DataFrame) -> PropertyGraph:
     """Named vertices whose id is in ``keep``, and the edges between them."""
-    vertices = graph.vertices.where("name is not null").join(keep.select("id"), "id", "left_semi")
+    vertices = durable(graph.vertices.where("name is not null").join(keep.select("id"), "id", "left_semi"))
     return PropertyGraph(vertices, edges_between(graph.edges, vertices.select("id")))
 
 

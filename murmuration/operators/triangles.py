@@ -17,7 +17,7 @@ def triangle_count(graph: PropertyGraph) -> DataFrame:
     """``id, triangles`` for every vertex."""
     pairs = durable(graph.edges.where("src <> dst")
                     .select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
-    degree = endpoints(pairs).groupBy("id").agg(F.count("*").alias("degree"))
+    degree = durable(endpoints(pairs).groupBy("id").agg(F.count("*").alias("degree")))
     ranked = (pairs.join(degree.select(F.col("id").alias("src"), F.col("degree").alias("src_degree")), "src")
               .join(degree.select(F.col("id").alias("dst"), F.col("degree").alias("dst_degree")), "dst"))
     forward = F.struct("src_degree", "src") < F.struct(F.col("dst_degree").alias("src_degree"),

@@ -40,7 +40,7 @@ def _mention_graph(spark, folder):
 
 @query("mention_edges", f"{MENTIONS}, {LINKS} select src, dst, attr from link")
 def mention_edges(spark, folder):
-    return g.mention_graph(inputs.message_mentions(spark, folder)).edges
+    return g.mention_edges(inputs.message_mentions(spark, folder))
 
 
 @query("mention_vertices", f"{MENTIONS}, {VERTEX} select id, name from vertex")

@@ -98,7 +98,7 @@ def part_edges(spark: SparkSession, folder: str, least_quantity: float) -> DataF
     """Parts of an order's large lines, each linked to the lowest such part: as many edges as lines, not as pairs."""
     lines = (table(spark, folder, "lineitem").where(F.col("l_quantity") >= least_quantity)
              .select("l_orderkey", "l_partkey"))
-    lowest = lines.groupBy("l_orderkey").agg(F.min("l_partkey").alias("dst"))
+    lowest = durable(lines.groupBy("l_orderkey").agg(F.min("l_partkey").alias("dst")))
     return (lines.join(lowest, "l_orderkey").where("l_partkey <> dst")
             .select(F.col("l_partkey").alias("src"), "dst", F.col("l_orderkey").cast("string").alias("attr")))
 

@@ -163,3 +163,27 @@ def test_stored_links_are_not_shuffled_again(golden, monkeypatch):
             links.release()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_a_hub_is_split_in_joins_with_stored_vertices(spark):
+    """Adaptive skew-join handling applies to edges joined with the vertices of a mention graph."""
+    from murmuration.session import durable
+
+    edges = durable(spark.range(60_000).selectExpr("if(id % 3 = 0, 1, id) as src", "id + 100000 as dst",
+                                                   "string(id) as attr").repartition(8))
+    names = g.one_name_per_id(edges.selectExpr("src as id", "'v' as name"))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10000",
+                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000",
+                "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2"}
+    before = {key: spark.conf.get(key, None) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        kept = g.edges_between(edges.selectExpr("src", "src as dst", "attr"), names)
+        assert len(kept.collect()) == 60_000
+        assert "skew=true" in kept._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
