@@ -83,14 +83,14 @@ def fit_topics(vectors: DataFrame, optimizer: str = "online", k: int = N_TOPICS,
     if optimizer == "online" and first is not None and first["features"].size > ONLINE_TERMS:
         raise ValueError(f"{first['features'].size} terms are too many for optimizer='online'; use 'em'")
     default = EM_ITERATIONS if optimizer == "em" else ONLINE_ITERATIONS
-    spread = vectors.repartition(3 * vectors.sparkSession.sparkContext.defaultParallelism)
-    spread.persist(StorageLevel.MEMORY_AND_DISK)  # read once per iteration
+    # Kept for the iterations, in the partitions it comes in: each adds a topics-by-terms matrix to every iteration.
+    kept = vectors.persist(StorageLevel.MEMORY_AND_DISK)
     lda = LDA(k=k, maxIter=iterations or default, optimizer=optimizer, docConcentration=[DOC_CONCENTRATION],
               topicConcentration=TOPIC_CONCENTRATION, seed=seed)
     try:
-        return lda.fit(spread)
+        return lda.fit(kept)
     finally:
-        spread.unpersist()
+        kept.unpersist()
 
 
 def describe_topics(model: LDAModel, terms: DataFrame, n_words: int = WORDS_PER_TOPIC) -> DataFrame:
