@@ -61,7 +61,7 @@ def id_collisions(spark, folder):
 select n.n_nationkey as id, n.n_name as name, count(s.s_suppkey) as n_edges
 from nation n left join supplier s on s.s_nationkey = n.n_nationkey group by n.n_nationkey, n.n_name""")
 def graph_from_tables(spark, folder):
-    """Nations as users, suppliers as messages from their nation to region-wide customers: the degree per vertex."""
+    """Nations as users, each supplier a message sent by its nation: messages sent per user, none included."""
     users = inputs.table(spark, folder, "nation").select(F.col("n_nationkey").alias("local_id"),
                                                          F.col("n_name").alias("screen_name"))
     comms = inputs.table(spark, folder, "supplier").select(

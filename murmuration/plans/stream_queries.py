@@ -128,7 +128,7 @@ LEAST_VALUE = 100  # messages of events of at least this value take part
 SETTINGS = p.Settings(k=6, prune_every=2, topics=False)
 
 
-def _pipeline_sql(periods: int = 3) -> str:
+def _periods_sql(periods: int = 3) -> str:
     """Periods of ten days; the second is a pruning period."""
     parts = [f"""with recursive {inputs.MENTIONS_SQL},
 link as (
@@ -172,14 +172,14 @@ def _run_pipeline(spark, folder, settings, value=LEAST_VALUE):
     return tables
 
 
-@query("community_pipeline", _pipeline_sql())
-def community_pipeline(spark, folder):
+@query("community_periods", _periods_sql())
+def community_periods(spark, folder):
     tables = _run_pipeline(spark, folder, SETTINGS)
     return tables.communities().select("period", "nbv", "com_id", "src", "dst", "attr")
 
 
-@query("pipeline_topics")
-def pipeline_topics(spark, folder):
+@query("period_topics")
+def period_topics(spark, folder):
     """The pipeline with topics: scores of every community per period against that period's topics."""
     from murmuration.sources.export import ranked_topics
 

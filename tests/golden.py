@@ -50,6 +50,6 @@ LABELS = {
     "Fabien": 2564641105, "Nicolas": 1518391292,
 }
 NAME_IDS = {
-    "MichaelCaraccio": 7197344386609240948, "Michael": 3558116964364420258, "bob": 8721129839403347642,
+    "Customer#000000017": 261608698353674981, "Michael": 3558116964364420258, "bob": 8721129839403347642,
     "abcdefgh": 889920568008030873, "Zoë": 3589520574056869333, "": 2819277119954315470,
 }
