@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+# Send this module's functions to executors by value, so that they work where the package is not installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Stored ids depend on them.
 MULTIPLIER = 0xC6A4A7935BD1E995
 SHIFT = 47
