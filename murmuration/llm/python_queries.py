@@ -8,6 +8,7 @@ from murmuration.llm import language, toxicity
 from murmuration.llm.common import query, table
 from murmuration.llm.decontaminate import leaks
 from murmuration.llm.html_text import extract_main_text
+from murmuration.llm.jaccard import similar_groups
 from murmuration.llm.packing import packed
 
 
@@ -51,3 +52,9 @@ def op7_language_spans(spark: SparkSession, folder: str) -> DataFrame:
 def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Every benchmark item found in a document, with its edit distance."""
     return leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op3_jaccard_join")
+def op3_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Group of every document among those linked by shared five-word shingles."""
+    return similar_groups(table(spark, folder, "documents"))

@@ -140,12 +140,12 @@ def fit(docs: DataFrame, labels: DataFrame, shape: Shape = Shape()) -> Model:
     return _train(pairs, rows["toxic"].to_numpy(), clean_weight, shape)
 
 
-def scores(docs: DataFrame, model: Model) -> DataFrame:
+def scores(docs: DataFrame, model: Model, score_name: str = "score", predicted_name: str = "predicted") -> DataFrame:
     """``docs`` with ``score`` (double, 0 to 1) and ``predicted`` (int) for every row's whole text.
 
     Being linear after training, the model adds up one number per word, which a worker remembers for recent words.
     A null or empty text, or one without words, has the score of the bias alone. Rows and other columns are unchanged;
-    columns named ``score`` or ``predicted`` are replaced. No rows give no rows.
+    columns of the two result names are replaced. No rows give no rows.
     """
     opened, name = shared(docs.sparkSession, model)  # one float per bucket
 
@@ -167,5 +167,5 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
             out[i] = total / max(1, len(words)) + model.bias
         return pd.Series(1 / (1 + np.exp(-np.clip(out, -60, 60))))
 
-    return (docs.withColumn("score", score(F.col("text")))
-            .withColumn("predicted", (F.col("score") >= 0.5).cast("int")))
+    return (docs.withColumn(score_name, score(F.col("text")))
+            .withColumn(predicted_name, (F.col(score_name) >= 0.5).cast("int")))
