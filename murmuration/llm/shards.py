@@ -33,6 +33,7 @@ class Cut:
     enough: float  # a bin of this weight need not be divided
     value: int | None = None  # found; then the search goes on among the rows that have it,
     tied: str | None = None  # in this dimension
+    closed: bool = False  # rows from ``low`` on lie after the cut; no ties are left to divide
 
 
 def _refine(rows: DataFrame, cuts: list[Cut], bins: int) -> None:
@@ -57,7 +58,7 @@ def _refine(rows: DataFrame, cuts: list[Cut], bins: int) -> None:
         if n == 1 or weight <= cut.enough:  # all of the bin goes to the nearer side
             if cut.target > weight / 2:
                 cut.low = cut.high + 1
-            cut.high = cut.low
+            cut.high, cut.closed = cut.low, True
 
 
 def kd_assign(rows: DataFrame, dims: list[str], shards: int, bins: int = 1024, tolerance: float = 1e-4) -> DataFrame:
@@ -92,7 +93,7 @@ def kd_assign(rows: DataFrame, dims: list[str], shards: int, bins: int = 1024, t
             _refine(rows, open_, bins)
         for cut in cuts:  # the value is known; now cut the rows that have it, unless none is left to divide
             cut.value, cut.tied = cut.low, cut.dim
-            cut.dim, cut.low, cut.high = "tie", 0, (1 << TIE_BITS) - 1
+            cut.dim, cut.low, cut.high = "tie", 0, 0 if cut.closed else (1 << TIE_BITS) - 1
         while open_ := [cut for cut in cuts if cut.low < cut.high]:
             _refine(rows, open_, bins)
         moved = F.col("node")
