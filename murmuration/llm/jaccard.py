@@ -42,7 +42,10 @@ def _class_of(hashes: np.ndarray) -> bytes:
 
 
 def _sketches(batches):
-    """doc_id, n, cls, mark, low: size and digest of a text's set, the digest's first half, and its lowest hashes."""
+    """doc_id, n, cls, mark, n_used, low: size and digest of a text's set, the digest's first half, and its lowest hashes.
+
+    The set is judged by the first ``n_used`` of them; the others are there for sets that are judged by more.
+    """
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
@@ -51,8 +54,9 @@ def _sketches(batches):
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.binary()),
                  pa.array([int.from_bytes(c[:8], "little", signed=True) for c in classes], pa.int64()),
+                 pa.array([below(s, share_used(len(s))) for s in sets], pa.int32()),
                  list_array([s[:emitted(s)] for s in sets])],
-                names=["doc_id", "n", "cls", "mark", "low"])
+                names=["doc_id", "n", "cls", "mark", "n_used", "low"])
 
 
 def _full_sets(batches):
@@ -90,8 +94,9 @@ def _compare(pairs: DataFrame, sets: DataFrame, *kept: str) -> DataFrame:
 
 def _survivors(sketch: DataFrame, classes: DataFrame) -> DataFrame:
     """Classes that do not have more hashes of their own than a linked set could miss."""
-    own = (sketch.where("n > 0 and doc_id is not null").select("mark", F.explode("low").alias("hash"))
-           .groupBy("hash").agg(F.min("mark").alias("mark"), F.max("mark").alias("other")).where("mark = other")
+    own = (sketch.where("n > 0 and doc_id is not null").select("mark", "n_used", F.posexplode("low").alias("place", "hash"))
+           .groupBy("hash").agg(F.min("mark").alias("mark"), F.max("mark").alias("other"),
+                                F.max(F.col("place") < F.col("n_used")).alias("used")).where("used and mark = other")
            .groupBy("mark").agg(F.count(F.lit(1)).alias("own")))
     return (classes.join(own, "mark", "left")
             .where(F.coalesce("own", F.lit(0)) <= F.floor(F.col("n") / 5)).select("cls", "n", "rep"))
@@ -207,7 +212,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     """
     tables = Tables(docs.sparkSession)
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
-    sketch = tables.put("sketch", texts.mapInArrow(_sketches, "doc_id long, n long, cls binary, mark long, low array<long>"))
+    sketch = tables.put("sketch", texts.mapInArrow(_sketches, "doc_id long, n long, cls binary, mark long, n_used int, low array<long>"))
     classes = (sketch.where("n > 0 and doc_id is not null").groupBy("cls", "mark", "n")
                .agg(F.min("doc_id").alias("rep")))
     classes = tables.put("classes", classes)
