@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from murmuration.llm.common import Tables
+
 # Public licence texts and notices, as (id, text). Canonical forms ignore case, punctuation and line breaks.
 _MIT_BODY = (
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
@@ -71,30 +73,31 @@ COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
 PUNCTUATION = r"[!-/:-@\[-`{-~‘’“”–—…•©]+"
 
 
-def canonical_lines(text: Column) -> Column:
-    """The text's lines in canonical form, empty ones included.
+def with_canonical_lines(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``text`` replaced by ``lines``: its lines in canonical form, empty ones included.
 
     Lower case; lines that begin with a copyright mark are emptied; punctuation is a space; spaces and tabs are one space;
-    equivalent spellings have one form. Only texts with such a spelling pay for the replacements.
+    equivalent spellings have one form. Only texts with such a spelling pay for the replacements. The steps are columns
+    of their own, so that each is computed once.
     """
-    lines = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "")
+    lines = F.regexp_replace(F.lower("text"), COPYRIGHT_LINE, "")
     lines = F.regexp_replace(F.regexp_replace(lines, PUNCTUATION, " "), r"[ \t\r\f\x0B]+", " ")
-    spaced = F.regexp_replace(F.concat(F.lit(" "), lines, F.lit(" ")), r" ?\n ?", " \n ")
-    variant = spaced.rlike("|".join(pattern for pattern, _ in EQUIVALENT))
-    same = spaced
+    rows = rows.withColumn("lines", F.regexp_replace(F.concat(F.lit(" "), lines, F.lit(" ")), r" ?\n ?", " \n "))
+    same = F.col("lines")
     for pattern, form in EQUIVALENT:
         same = F.regexp_replace(same, pattern, form)
-    return F.when(variant, same).otherwise(spaced)
+    variant = F.col("lines").rlike("|".join(pattern for pattern, _ in EQUIVALENT))
+    return rows.withColumn("lines", F.when(variant, same).otherwise(F.col("lines"))).drop("text")
 
 
-def canonical_text(lines: Column) -> Column:
+def canonical_text(lines: str) -> Column:
     return F.trim(F.regexp_replace(lines, r"[ \n]+", " "))
 
 
 def known_digests(spark: SparkSession, texts=KNOWN_LICENSES) -> DataFrame:
     """``digest, license_id`` of the known texts: as many rows as texts are given, so a broadcast of it is bounded."""
     rows = spark.createDataFrame(list(texts), "license_id string, text string")
-    return (rows.select(F.sha2(canonical_text(canonical_lines(F.col("text"))), 256).alias("digest"), "license_id")
+    return (with_canonical_lines(rows).select(F.sha2(canonical_text("lines"), 256).alias("digest"), "license_id")
             .groupBy("digest").agg(F.min("license_id").alias("license_id")))
 
 
@@ -107,14 +110,17 @@ def license_scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     Nulls: a null text is empty and matches nothing, as does a text without words. Rows that repeat a ``doc_id`` share
     the lines found under it. No rows give no rows.
     """
-    rows = docs.select("doc_id", canonical_lines(F.coalesce("text", F.lit(""))).alias("lines"))
-    rows = rows.select("doc_id", "lines", canonical_text(F.col("lines")).alias("whole"))
-    rows = rows.select("doc_id", "lines", F.sha2("whole", 256).alias("text_digest"), (F.col("whole") != "").alias("full"))
+    rows = with_canonical_lines(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    rows = rows.withColumn("whole", canonical_text("lines"))
+    # Texts are brought to their form once; what follows reads the digests.
+    rows = Tables(docs.sparkSession).put("digests", rows.select(
+        "doc_id", F.sha2("whole", 256).alias("text_digest"), (F.col("whole") != "").alias("full"),
+        F.transform(F.split("lines", "\n"), lambda line: F.unhex(F.sha2(F.trim(line), 256))).alias("lines")))
     known = F.broadcast(known)  # as many rows as known texts
-    whole = (rows.join(known, F.col("full") & (rows["text_digest"] == known["digest"]), "left")
+    whole = (rows.join(known, F.col("full") & (F.col("text_digest") == F.col("digest")), "left")
              .select("doc_id", "text_digest", "license_id"))
-    digests = F.transform(F.split("lines", "\n"), lambda line: F.sha2(F.trim(line), 256))
-    found = (rows.where("full").select("doc_id", F.explode(digests).alias("digest")).join(known, "digest")
+    lines = rows.where("full").select("doc_id", F.explode("lines").alias("line"))
+    found = (lines.join(known, F.col("line") == F.unhex("digest"))
              .groupBy("doc_id", "license_id").agg(F.count(F.lit(1)).alias("n"))
              .groupBy("doc_id").agg(F.sort_array(F.collect_list("license_id")).alias("line_licenses"),
                                     F.sum("n").alias("n_lines")))  # at most one entry per known licence
