@@ -24,10 +24,9 @@ VERTEX = """vertex as (
   select id, min(name) as name
   from (select src as id, sender_name as name from mention union all select dst, dest_name from mention) group by id
 )"""
-FLOW = "with recursive " + inputs.flow_sql("edge", inputs.FLOW_VALUE)
-WARM = "with recursive " + inputs.flow_sql("edge", inputs.WARM_VALUE)
-PART = "with recursive " + inputs.part_sql("edge", inputs.PART_QUANTITY)
-BULK = "with recursive " + inputs.part_sql("edge", inputs.BULK_QUANTITY)
+FLOW = "with recursive " + inputs.flow_sql("edge")
+DAILY = "with recursive " + inputs.flow_sql("edge", inputs.DAY)
+PART = "with recursive " + inputs.part_sql("edge")
 DEGREE = """degree as (
   select id, sum(is_in) as in_degree, sum(1 - is_in) as out_degree, count(*) as degree
   from (select src as id, 0 as is_in from edge union all select dst, 1 from edge) group by id
@@ -120,15 +119,14 @@ def graph_stats(spark, folder):
     return g.graph_stats(inputs.part_graph(spark, folder))
 
 
-@query("graph_union", f"""{inputs.flow_sql("a", inputs.FLOW_VALUE).replace("a as", "with a as", 1)},
-{inputs.flow_sql("b", inputs.WARM_VALUE)},
+@query("graph_union", f"""with {inputs.flow_sql("a")},
+{inputs.flow_sql("b", step=2)},
 edge as (select src, dst, attr from a union all select src, dst, attr from b), {DEGREE}
 select id, cast(id as varchar) as name, cast(in_degree as bigint) as in_degree,
        cast(out_degree as bigint) as out_degree, degree from degree""")
 def graph_union(spark, folder):
     """Degrees after merging two graphs: edges add up, vertices do not."""
-    return g.degrees(g.graph_union(inputs.flow_graph(spark, folder),
-                                   inputs.flow_graph(spark, folder, inputs.WARM_VALUE)))
+    return g.degrees(g.graph_union(inputs.flow_graph(spark, folder), inputs.flow_graph(spark, folder, step=2)))
 
 
 @query("kcore_2", f"{PART},{kcore_sql('core', 'edge', 2)} select src, dst, attr from core")
@@ -136,17 +134,17 @@ def kcore_2(spark, folder):
     return kcore(inputs.part_graph(spark, folder), 2).edges
 
 
-@query("kcore_3", f"{BULK},{kcore_sql('core', 'edge', 3)} select src, dst, attr from core")
+@query("kcore_3", f"{DAILY},{kcore_sql('core', 'edge', 3)} select src, dst, attr from core")
 def kcore_3(spark, folder):
-    return kcore(inputs.part_graph(spark, folder, inputs.BULK_QUANTITY), 3).edges
+    return kcore(inputs.flow_graph(spark, folder, inputs.DAY), 3).edges
 
 
-@query("kcore_stats", f"""{BULK},{kcore_sql('core', 'edge', 3)},
+@query("kcore_stats", f"""{DAILY},{kcore_sql('core', 'edge', 3)},
 deg as (select id, count(*) as degree from (select src as id from core union all select dst from core) group by id)
 select count(*) as n_vertices, (select count(*) from core) as n_edges, min(degree) as min_degree,
        max(degree) as max_degree, cast(sum(degree) as bigint) as sum_degree from deg""")
 def kcore_stats_query(spark, folder):
-    return kcore_stats(kcore(inputs.part_graph(spark, folder, inputs.BULK_QUANTITY), 3))
+    return kcore_stats(kcore(inputs.flow_graph(spark, folder, inputs.DAY), 3))
 
 
 @query("connected_components", f"{PART},{components_sql('comp', 'edge')} select id, component from comp")
@@ -161,7 +159,7 @@ size as (select component as com_id, count(*) as nbv from comp group by componen
 
 @query("communities", f"""{COMMUNITIES}
 select p.id as id, n.p_name as name, p.component as com_id, s.nbv as nbv
-from comp p join size s on s.com_id = p.component left join part n on n.p_partkey = p.id""")
+from comp p join size s on s.com_id = p.component left join part n on n.p_partkey = p.id // {inputs.YEARS}""")
 def communities(spark, folder):
     found = c.communities(inputs.part_graph(spark, folder), 2)
     return found.members.join(found.sizes, "com_id").select("id", "name", "com_id", "nbv")
@@ -272,13 +270,13 @@ def labels(spark, folder):
 
 
 @query("lookup_vertex", f"""
-with recursive {inputs.part_sql("edge", inputs.PART_QUANTITY)},{ends_sql("vertex", "edge")},
-named as (select v.id as id, p.p_name as name from vertex v left join part p on p.p_partkey = v.id)
-select p.p_partkey as id, coalesce(n.name, 'user not found') as name
-from part p left join named n on n.id = p.p_partkey""")
+{PART},{ends_sql("vertex", "edge")},
+named as (select v.id as id, p.p_name as name from vertex v left join part p on p.p_partkey = v.id // {inputs.YEARS})
+select k.id as id, coalesce(n.name, 'user not found') as name
+from (select distinct id from edge_lines) k left join named n on n.id = k.id""")
 def lookup_vertex(spark, folder):
-    """Every part looked up among the graph's vertices; many are not in it."""
-    keys = inputs.table(spark, folder, "part").select(F.col("p_partkey").alias("id"))
+    """The vertex of every order line looked up in the graph; one without an edge is not in it."""
+    keys = inputs.part_lines(spark, folder).select("id").distinct()
     return g.lookup_by_id(inputs.part_graph(spark, folder).vertices, keys)
 
 
@@ -313,17 +311,17 @@ def user_messages(spark, folder):
     return g.user_messages(sent, keys)
 
 
-@query("edge_texts", f"""with {inputs.flow_sql("edge", inputs.FLOW_VALUE)}
+@query("edge_texts", f"""with {inputs.flow_sql("edge")}
 select e.src as src, e.dst as dst, e.attr as attr, d.text as text
 from edge e join documents d on cast(d.doc_id as varchar) = e.attr""")
 def edge_texts(spark, folder):
     """Stored documents of the flow edges' messages; most messages have none and drop out."""
     stored = inputs.table(spark, folder, "documents").select(F.col("doc_id").alias("message_id"), "text")
-    return g.edge_texts(inputs.flow_edges(spark, folder, inputs.FLOW_VALUE), stored)
+    return g.edge_texts(inputs.flow_edges(spark, folder), stored)
 
 
 CURRENT_FROM = "2024-01-16"
-WARM_CORE = f"""{WARM},{kcore_sql('core', 'edge', 4, 12)},{components_sql('comp', 'core')},
+FLOW_CORE = f"""{FLOW},{kcore_sql('core', 'edge', 2)},{components_sql('comp', 'core')},
 {inputs.MESSAGES_SQL},
 com_text as (
   select p.component as com_id, e.attr as attr, coalesce(m.text, '') as text
@@ -332,21 +330,21 @@ com_text as (
 )"""
 
 
-def _warm_texts(spark, folder):
-    found = c.communities(inputs.flow_graph(spark, folder, inputs.WARM_VALUE), 4)
+def _flow_texts(spark, folder):
+    found = c.communities(inputs.flow_graph(spark, folder), 2)
     current = inputs.messages(spark, folder).where(F.col("created_at") >= F.lit(CURRENT_FROM).cast("timestamp"))
     return c.community_texts(found, current)
 
 
-@query("community_text", f"{WARM_CORE} select com_id, attr, text from com_text")
+@query("community_text", f"{FLOW_CORE} select com_id, attr, text from com_text")
 def community_text(spark, folder):
     """Texts behind the communities' edges; only the later half of the period counts as current."""
-    return _warm_texts(spark, folder)
+    return _flow_texts(spark, folder)
 
 
-@query("community_tokens", f"""{WARM_CORE},
+@query("community_tokens", f"""{FLOW_CORE},
 words as (select com_id, attr, unnest({topic_words_sql(punctuation_sql('text'))}) as term from com_text)
 select com_id, attr, term, count(*) as cnt from words group by com_id, attr, term""")
 def community_tokens(spark, folder):
-    words = c.community_words(_warm_texts(spark, folder))
+    words = c.community_words(_flow_texts(spark, folder))
     return words.groupBy("com_id", "attr", "term").agg(F.count("*").alias("cnt"))

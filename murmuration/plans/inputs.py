@@ -7,16 +7,17 @@ are found by equi-joins, not by a window over all rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmuration.operators.graph import PropertyGraph, endpoints, mention_rows
 from murmuration.session import durable
 
-FLOW_VALUE = 200  # an event of at least this value is a flow to the next event's user
-WARM_VALUE = 150
-PART_QUANTITY = 45  # order lines of at least this quantity link parts
-BULK_QUANTITY = 40
+# A vertex of the event graphs is a user within a stretch of time, one of the part graph a part within a ship year.
+HOUR, DAY = 3_600, 86_400
+ORIGIN_SECONDS = 1_704_067_200  # 2024-01-01
+STRETCHES = 100_000  # places for the number of the stretch in a vertex id
+YEARS = 10_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -78,60 +79,87 @@ msg as (
 )"""
 
 
-def flow_edges(spark: SparkSession, folder: str, least_value: float) -> DataFrame:
-    """Directed edges from the user of an event of enough value to the user of the next event."""
+def stretch(ts: str, seconds: int) -> Column:
+    return F.floor((F.unix_timestamp(ts) - ORIGIN_SECONDS) / seconds).cast("long")
+
+
+def stretch_sql(ts: str, seconds: int) -> str:
+    return f"cast(floor((epoch({ts}) - {ORIGIN_SECONDS}) / {seconds}) as bigint)"
+
+
+def flow_edges(spark: SparkSession, folder: str, seconds: int = HOUR, step: int = 1) -> DataFrame:
+    """One directed edge per event, from its user to the user of the ``step``-th next event, both within its stretch of time."""
     rows = events(spark, folder)
-    return (rows.where(F.col("value") >= least_value).join(_next_users(rows), "event_id").where("nxt <> user_id")
-            .select(F.col("user_id").alias("src"), F.col("nxt").alias("dst"), F.col("event_id").cast("string").alias("attr")))
+    after = rows.select((F.col("event_id") - step).alias("event_id"), F.col("user_id").alias("nxt"))
+    when = stretch("ts", seconds)
+    return (rows.join(after, "event_id").where("nxt <> user_id")
+            .select((F.col("user_id") * STRETCHES + when).alias("src"), (F.col("nxt") * STRETCHES + when).alias("dst"),
+                    F.col("event_id").cast("string").alias("attr")))
 
 
-def flow_sql(name: str, least_value: float) -> str:
+def flow_sql(name: str, seconds: int = HOUR, step: int = 1) -> str:
+    when = stretch_sql("e.ts", seconds)
     return f"""
-{name} as (
-  select e.user_id as src, n.user_id as dst, cast(e.event_id as varchar) as attr
-  from events e join events n on n.event_id = e.event_id + 1
-  where e.value >= {least_value} and e.user_id <> n.user_id
+{name} as materialized (
+  select e.user_id * {STRETCHES} + {when} as src, n.user_id * {STRETCHES} + {when} as dst,
+         cast(e.event_id as varchar) as attr
+  from events e join events n on n.event_id = e.event_id + {step} where e.user_id <> n.user_id
 )"""
 
 
-def part_edges(spark: SparkSession, folder: str, least_quantity: float) -> DataFrame:
-    """Parts of an order's large lines, each linked to the lowest such part: as many edges as lines, not as pairs."""
-    lines = (table(spark, folder, "lineitem").where(F.col("l_quantity") >= least_quantity)
-             .select("l_orderkey", "l_partkey"))
-    lowest = durable(lines.groupBy("l_orderkey").agg(F.min("l_partkey").alias("dst")))
-    return (lines.join(lowest, "l_orderkey").where("l_partkey <> dst")
-            .select(F.col("l_partkey").alias("src"), "dst", F.col("l_orderkey").cast("string").alias("attr")))
+def part_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Every order line as ``order, year, id``: the vertex of its part in the year it is shipped."""
+    year = F.year("l_shipdate").cast("long")
+    return table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").alias("order"), year.alias("year"), (F.col("l_partkey") * YEARS + year).alias("id"))
+
+
+def part_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts of an order shipped in one year, each linked to the lowest of them: as many edges as lines, not as pairs."""
+    lines = part_lines(spark, folder)
+    lowest = durable(lines.groupBy("order", "year").agg(F.min("id").alias("dst")))
+    return (lines.join(lowest, ["order", "year"]).where("id <> dst")
+            .select(F.col("id").alias("src"), "dst", F.col("order").cast("string").alias("attr")))
 
 
-def part_sql(name: str, least_quantity: float) -> str:
+def part_sql(name: str) -> str:
     return f"""
-{name}_lines as (select l_orderkey, l_partkey from lineitem where l_quantity >= {least_quantity}),
-{name}_lowest as (select l_orderkey, min(l_partkey) as dst from {name}_lines group by l_orderkey),
-{name} as (
-  select l.l_partkey as src, m.dst as dst, cast(l.l_orderkey as varchar) as attr
-  from {name}_lines l join {name}_lowest m on l.l_orderkey = m.l_orderkey where l.l_partkey <> m.dst
+{name}_lines as (
+  select l_orderkey, year(l_shipdate) as y, l_partkey * {YEARS} + year(l_shipdate) as id from lineitem
+),
+{name}_lowest as (select l_orderkey, y, min(id) as dst from {name}_lines group by l_orderkey, y),
+{name} as materialized (
+  select l.id as src, m.dst as dst, cast(l.l_orderkey as varchar) as attr
+  from {name}_lines l join {name}_lowest m on l.l_orderkey = m.l_orderkey and l.y = m.y where l.id <> m.dst
 )"""
 
 
-def graph_of(edges: DataFrame, names: DataFrame | None = None) -> PropertyGraph:
-    """Graph of edges; vertex names come from ``names(id, name)`` or are the ids."""
+def graph_of(edges: DataFrame) -> PropertyGraph:
+    """Graph of edges whose vertices are named by their ids."""
     edges = durable(edges)
     ids = endpoints(edges).distinct()
-    named = ids.join(names, "id", "left") if names is not None else ids.withColumn("name", F.col("id").cast("string"))
-    return PropertyGraph(durable(named), edges)
+    return PropertyGraph(durable(ids.withColumn("name", F.col("id").cast("string"))), edges)
 
 
-def flow_graph(spark: SparkSession, folder: str, least_value: float = FLOW_VALUE) -> PropertyGraph:
-    return graph_of(flow_edges(spark, folder, least_value))
+def flow_graph(spark: SparkSession, folder: str, seconds: int = HOUR, step: int = 1) -> PropertyGraph:
+    return graph_of(flow_edges(spark, folder, seconds, step))
 
 
-def part_graph(spark: SparkSession, folder: str, least_quantity: float = PART_QUANTITY) -> PropertyGraph:
-    names = table(spark, folder, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
-    return graph_of(part_edges(spark, folder, least_quantity), names)
+def part_graph(spark: SparkSession, folder: str) -> PropertyGraph:
+    """The part graph, its vertices named by their parts."""
+    graph = graph_of(part_edges(spark, folder))
+    names = table(spark, folder, "part").select(F.col("p_partkey").alias("part"), F.col("p_name").alias("name"))
+    named = (graph.vertices.select("id", F.floor(F.col("id") / YEARS).cast("long").alias("part"))
+             .join(names, "part", "left").select("id", "name"))
+    return PropertyGraph(durable(named), graph.edges)
 
 
-def message_mentions(spark: SparkSession, folder: str) -> DataFrame:
-    return mention_rows(messages(spark, folder))
+def scoped_messages(spark: SparkSession, folder: str, seconds: int) -> DataFrame:
+    """``messages`` in which a screen name stands for a user within the message's stretch of time."""
+    when = stretch("created_at", seconds).cast("string")
+    return (messages(spark, folder)
+            .withColumn("text", F.regexp_replace("text", F.lit(r"@member(\d+)"), F.concat(F.lit("@member$1t"), when)))
+            .withColumn("user", F.col("user").withField("screen_name", F.concat("user.screen_name", F.lit("t"), when))))
 
 
 def ids_sql(names: str) -> str:
@@ -162,7 +190,8 @@ ids as (
 )"""
 
 
-MENTIONS_SQL = f"""{MESSAGES_SQL},
+def _mentions_sql(messages_sql: str) -> str:
+    return f"""{messages_sql},
 found as (
   select message_id, user_id, screen_name, unnest(regexp_extract_all(text, '@(\\w{{3,}})', 1)) as dest_name from msg
 ),
@@ -172,3 +201,17 @@ mention as (
          f.screen_name as sender_name, f.dest_name as dest_name, s.id as src, d.id as dst
   from found f join ids s on s.name = f.screen_name join ids d on d.name = f.dest_name
 )"""
+
+
+def scoped_mentions_sql(seconds: int) -> str:
+    """``MENTIONS_SQL`` over ``scoped_messages``."""
+    when = stretch_sql("created_at", seconds)
+    return _mentions_sql(f"""{MESSAGES_SQL.replace("msg as (", "msg_base as (", 1)},
+msg as (
+  select * replace (concat(screen_name, 't', cast({when} as varchar)) as screen_name,
+                    regexp_replace(text, '@member(\\d+)', concat('@member\\1t', cast({when} as varchar)), 'g') as text)
+  from msg_base
+)""")
+
+
+MENTIONS_SQL = _mentions_sql(MESSAGES_SQL)

@@ -124,18 +124,17 @@ def tumbling_periods(spark, folder):
 
 
 PERIOD_DAYS = 10
-LEAST_VALUE = 100  # messages of events of at least this value take part
-SETTINGS = p.Settings(k=6, prune_every=2, topics=False)
+SETTINGS = p.Settings(k=3, prune_every=2, topics=False)
 
 
 def _periods_sql(periods: int = 3) -> str:
     """Periods of ten days; the second is a pruning period."""
-    parts = [f"""with recursive {inputs.MENTIONS_SQL},
+    parts = [f"""with recursive {inputs.scoped_mentions_sql(inputs.DAY)},
 link as (
   select m.src as src, m.dst as dst, m.message_id as attr,
          cast(floor(date_diff('second', timestamp '2024-01-01', e.ts) / {PERIOD_DAYS * DAY}) + 1 as int) as period
   from mention m join events e on cast(e.event_id as varchar) = m.message_id
-  where m.src <> m.dst and e.value >= {LEAST_VALUE}
+  where m.src <> m.dst
 ),
 g0 as (select src, dst, attr from link where false)"""]
     for i in range(1, periods + 1):
@@ -157,13 +156,11 @@ from c{i} e join l{i} l on l.id = e.src join s{i} s on s.com_id = l.component"""
     return ",".join(parts) + "\nunion all".join(selects)
 
 
-def _run_pipeline(spark, folder, settings, value=LEAST_VALUE):
+def _run_pipeline(spark, folder, settings):
     """Messages land period by period; each run of the stream takes what is new and ends."""
     tables = p.PeriodTables(spark, new_folder(spark, "state"))
     source, checkpoint = new_folder(spark, "messages"), new_folder(spark, "stream")
-    rows = inputs.messages(spark, folder).join(
-        inputs.events(spark, folder).where(F.col("value") >= value).select(F.col("event_id").alias("message_id")),
-        "message_id", "left_semi")
+    rows = inputs.scoped_messages(spark, folder, inputs.DAY)
     rows = durable(rows.withColumn("period", w.period_number(F.col("created_at"), PERIOD_DAYS * DAY, ORIGIN)))
     periods = rows.agg(F.max("period")).first()[0] or 0
     for period in range(1, periods + 1):
@@ -183,25 +180,20 @@ def period_topics(spark, folder):
     """The pipeline with topics: scores of every community per period against that period's topics."""
     from murmuration.sources.export import ranked_topics
 
-    tables = _run_pipeline(spark, folder, p.Settings(k=6, prune_every=2, n_topics=5, iterations=10))
+    tables = _run_pipeline(spark, folder, p.Settings(k=3, prune_every=2, n_topics=5, iterations=10))
     ranked = ranked_topics(tables.communities(), tables.topics())
     return ranked.withColumn("cosine", F.round("cosine", 6))
 
 
 @query("flagship", f"""
-with recursive {inputs.MENTIONS_SQL},
-link as (
-  select m.src as src, m.dst as dst, m.message_id as attr
-  from mention m join events e on cast(e.event_id as varchar) = m.message_id where m.src <> m.dst and e.value >= 150
-),{kcore_sql("core", "link", 2, 12)},{components_sql("comp", "core")},
+with recursive {inputs.scoped_mentions_sql(inputs.HOUR)},
+link as (select src, dst, message_id as attr from mention where src <> dst),{kcore_sql("core", "link", 2)},{components_sql("comp", "core")},
 edges as (select component as com_id, count(*) as n_edges from core join comp on comp.id = core.src group by component)
 select c.component as com_id, count(*) as nbv, max(e.n_edges) as n_edges
 from comp c join edges e on e.com_id = c.component group by c.component""")
 def flagship(spark, folder):
-    """Messages of high-value events to communities: one row per community of the 2-core."""
-    keep = (inputs.events(spark, folder).where(F.col("value") >= inputs.WARM_VALUE)
-            .select(F.col("event_id").alias("message_id")))
-    messages = inputs.messages(spark, folder).join(keep, "message_id", "left_semi")
+    """All messages to communities of users within an hour: one row per community of the 2-core."""
+    messages = inputs.scoped_messages(spark, folder, inputs.HOUR)
     found = c.communities(g.mention_graph(durable(g.mention_rows(messages))), 2)
     edges = found.edges.groupBy("com_id").agg(F.count("*").alias("n_edges"))
     return found.sizes.join(edges, "com_id").select("com_id", "nbv", "n_edges")
