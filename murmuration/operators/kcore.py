@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from murmuration.operators.graph import PropertyGraph, degrees, induced_subgraph
 from murmuration.operators.propagate import MAX_ROWS_PER_NEIGHBOUR, both_ways, prepare_links
-from murmuration.session import durable_with
+from murmuration.session import discard, durable_with
 
 ROUNDS_PER_JOB = 4
 
@@ -37,6 +37,7 @@ def kcore_ids(edges: DataFrame, k: int, max_rows: int = MAX_ROWS_PER_NEIGHBOUR)
         after, seen = durable_with(after, n=n)
         if seen["n"] == count:
             break
+        discard(alive)
         alive, count = after, seen["n"]
         if count <= linked // 2:
             cut = (links.rows.drop("salt").join(alive, "id", "left_semi")

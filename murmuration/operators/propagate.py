@@ -2,8 +2,8 @@
 
 The links are stored reliably, shuffled once and kept by the executors, partitioned by the neighbour a value comes from
 (what a lost executor kept is read from the stored table again). A round then shuffles one row per vertex and the
-partial aggregates, never the links. A neighbour with more than ``max_rows`` links
-is salted: its links are spread over several groups and its value is sent to each of them.
+partial aggregates, never the links. Every neighbour with more than ``max_rows`` links is salted: its links are spread
+over several groups and its value is sent to each of them.
 
 Each vertex also has one link to itself with weight 0, by which it carries its own values through the aggregate. So a
 round uses the state once, and several rounds can be chained into one job without the plan growing exponentially.
@@ -18,10 +18,9 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from murmuration.session import durable, durable_with
+from murmuration.session import discard, durable, durable_with
 
 MAX_ROWS_PER_NEIGHBOUR = 1_000_000
-MAX_HOT_NEIGHBOURS = 4096  # bounds the broadcast; every further neighbour has at most links / 4096 rows
 LINKS_PER_PARTITION = 500_000
 
 
@@ -31,6 +30,7 @@ class Links:
 
     rows: DataFrame
     hot: DataFrame | None = None
+    stored: tuple[DataFrame, ...] = ()
 
     def gather(self, state: DataFrame, only: str | None = None) -> DataFrame:
         """One row per link with the neighbour's state, that is the columns of ``state`` other than ``id``."""
@@ -39,14 +39,16 @@ class Links:
         if self.hot is None:
             return rows.join(state, "nbr")
         copies = F.coalesce(F.col("copies"), F.lit(1))
-        spread = (state.join(F.broadcast(self.hot), "nbr", "left")
+        spread = (state.join(self.hot, "nbr", "left")  # broadcast or not by its measured size
                   .withColumn("salt", F.explode(F.sequence(F.lit(0), copies - 1)))
                   .drop("copies"))
         return rows.join(spread, ["nbr", "salt"])
 
     def release(self) -> None:
-        """Let the executors drop the links; results stored from them stay."""
+        """Drop the links and their tables; results stored from them stay."""
         self.rows.unpersist()
+        for table in self.stored:
+            discard(table)
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -64,44 +66,44 @@ def self_links(ids: DataFrame) -> DataFrame:
 
 
 def prepare_links(links: DataFrame, max_rows: int = MAX_ROWS_PER_NEIGHBOUR) -> Links:
-    """Store ``links(id, nbr, w, ...)`` and keep them partitioned by neighbour, hot neighbours salted.
-
-    Links that fit one task are not repartitioned.
-    """
+    """Store ``links(id, nbr, w, ...)`` and keep them partitioned by neighbour, every hot neighbour salted."""
     links = durable(links)
     sizes = links.groupBy("nbr").count()
     total, largest = sizes.agg(F.sum("count"), F.max("count")).first()
-    partitions = -(-(total or 0) // LINKS_PER_PARTITION)
     # With fewer partitions than the session's default, Spark would rather shuffle the links again in every join.
-    partitions = max(partitions, int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    partitions = max(-(-(total or 0) // LINKS_PER_PARTITION),
+                     int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     if (largest or 0) <= max_rows:
-        if (total or 0) <= LINKS_PER_PARTITION:
-            return Links(links)
-        return Links(links.repartition(partitions, "nbr").persist(StorageLevel.MEMORY_AND_DISK))
-    hot = (sizes.where(F.col("count") > max_rows).orderBy(F.desc("count"), "nbr").limit(MAX_HOT_NEIGHBOURS)
-           .select("nbr", F.ceil(F.col("count") / max_rows).cast("int").alias("copies")))
-    hot = durable(hot)
-    salted = (links.join(F.broadcast(hot), "nbr", "left")
+        return Links(links.repartition(partitions, "nbr").persist(StorageLevel.MEMORY_AND_DISK), None, (links,))
+    hot = durable(sizes.where(F.col("count") > max_rows)
+                  .select("nbr", F.ceil(F.col("count") / max_rows).cast("int").alias("copies")))
+    salted = (links.join(hot, "nbr", "left")
               .withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("copies", F.lit(1))).cast("int"))
               .drop("copies"))
-    return Links(salted.repartition(partitions, "nbr", "salt").persist(StorageLevel.MEMORY_AND_DISK), hot)
+    return Links(salted.repartition(partitions, "nbr", "salt").persist(StorageLevel.MEMORY_AND_DISK), hot, (links, hot))
 
 
 def run_rounds(state: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int, per_job: int) -> DataFrame:
     """Exactly ``rounds`` rounds, stored every ``per_job`` of them."""
+    before = None
     for done in range(1, rounds + 1):
         state = step(state)
         if done % per_job == 0 or done == rounds:
             state = durable(state)
+            discard(before)  # the table two jobs back is read by nothing
+            before = state
     return state
 
 
 def run_until(state: DataFrame, step: Callable[[DataFrame], DataFrame], measure: Column,
               settled: Callable[[object], bool], per_job: int) -> DataFrame:
     """Rounds until ``settled`` holds for an aggregate of the state, evaluated as each job stores its result."""
+    before = None
     while True:
         for _ in range(per_job):
             state = step(state)
         state, seen = durable_with(state, measure=measure)
+        discard(before)
+        before = state
         if settled(seen["measure"]):
             return state

@@ -7,13 +7,14 @@ from __future__ import annotations
 
 from pyspark import StorageLevel
 from pyspark.ml.clustering import LDA, LDAModel
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from murmuration.functions.ranking import with_dense_index
 from murmuration.functions.text import is_topic_word, split_words
-from murmuration.session import durable, durable_with
+from murmuration.session import durable
 
 # Settings of the topic model.
 N_TOPICS = 10
@@ -23,8 +24,6 @@ EM_ITERATIONS = 20
 ONLINE_ITERATIONS = 50
 WORDS_PER_TOPIC = 12
 
-ONLINE_TERMS = 5_000_000  # the online optimiser holds topics x terms numbers on the driver
-
 
 def document_words(documents: DataFrame, doc: str = "doc_id", text: str = "text", **rule) -> DataFrame:
     """``doc_id, term``: the topic words of whole texts, one row per occurrence."""
@@ -58,30 +57,28 @@ def term_vectors(counts: DataFrame, terms: DataFrame) -> DataFrame:
     """``doc_id, features``: sparse counts over the vocabulary, from ``doc_term_counts``.
 
     Terms come counted per document, so that a row is bounded by the number of distinct terms, however long the
-    document. The vocabulary is joined, never brought to the driver.
+    document. The vocabulary is joined, never brought to the driver. The vectors are stored in the form in which Spark
+    keeps sparse vectors and read back as such, so no row passes through Python.
     """
     size = terms.count()
-
-    def sparse(ids, counts):
-        return SparseVector(size, ids, counts)
-
-    to_vector = F.udf(sparse, VectorUDT(), useArrow=True)
     known = counts.join(terms.select("term", "term_id"), "term")
     entries = F.sort_array(F.collect_list(F.struct("term_id", F.col("cnt").cast("double").alias("cnt"))))
-    return (known.groupBy("doc_id").agg(entries.alias("e"))
-            .select("doc_id", to_vector("e.term_id", "e.cnt").alias("features")))
+    stored = durable(known.groupBy("doc_id").agg(entries.alias("e")).select("doc_id", F.struct(
+        F.lit(0).cast("tinyint").alias("type"), F.lit(size).cast("int").alias("size"),
+        F.col("e.term_id").alias("indices"), F.col("e.cnt").alias("values")).alias("features")))
+    schema = StructType([stored.schema["doc_id"], StructField("features", VectorUDT())])
+    vectors = stored.sparkSession.read.schema(schema).parquet(stored.stored_at)
+    vectors.stored_at = stored.stored_at
+    return vectors
 
 
-def fit_topics(vectors: DataFrame, optimizer: str = "online", k: int = N_TOPICS, iterations: int | None = None,
+def fit_topics(vectors: DataFrame, optimizer: str = "em", k: int = N_TOPICS, iterations: int | None = None,
                seed: int = 7) -> LDAModel:
     """LDA by expectation maximisation (``em``) or online variational Bayes (``online``).
 
-    ``online`` keeps the topics-by-terms matrix on the driver, so it is refused for a vocabulary beyond
-    ``ONLINE_TERMS``; ``em`` keeps it distributed.
+    ``em`` keeps the topics distributed. ``online`` needs a driver, and executors, that hold the topics-by-terms matrix
+    several times over: 8 bytes x topics x terms each.
     """
-    first = vectors.select("features").first()
-    if optimizer == "online" and first is not None and first["features"].size > ONLINE_TERMS:
-        raise ValueError(f"{first['features'].size} terms are too many for optimizer='online'; use 'em'")
     default = EM_ITERATIONS if optimizer == "em" else ONLINE_ITERATIONS
     # Kept for the iterations, in the partitions it comes in: each adds a topics-by-terms matrix to every iteration.
     kept = vectors.persist(StorageLevel.MEMORY_AND_DISK)
@@ -160,7 +157,7 @@ def score_communities(edges: DataFrame, cosines: DataFrame) -> DataFrame:
     return edges.join(cosines, "com_id").select("nbv", "com_id", "src", "dst", "attr", "cosines")
 
 
-def topic_model(words: DataFrame, optimizer: str = "online", k: int = N_TOPICS, iterations: int | None = None,
+def topic_model(words: DataFrame, optimizer: str = "em", k: int = N_TOPICS, iterations: int | None = None,
                 drop_most_frequent: int = 0, n_words: int = WORDS_PER_TOPIC) -> DataFrame:
     """Topics of a corpus: vocabulary, vectors, fit and description in one call.
 
@@ -168,7 +165,7 @@ def topic_model(words: DataFrame, optimizer: str = "online", k: int = N_TOPICS,
     """
     counts = durable(doc_term_counts(words))
     terms = vocabulary(counts, drop_most_frequent)
-    vectors, seen = durable_with(term_vectors(counts, terms), n=F.count(F.lit(1)))
-    if not seen["n"]:
+    vectors = term_vectors(counts, terms)
+    if vectors.isEmpty():
         return words.sparkSession.createDataFrame([], "n_topic int, position int, term string, weight double")
     return describe_topics(fit_topics(vectors, optimizer, k, iterations), terms, n_words)

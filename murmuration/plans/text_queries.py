@@ -12,7 +12,7 @@ from murmuration.plans.registry import query
 from murmuration.plans.sql import clean_sql, topic_words_sql
 from murmuration.session import new_folder
 from murmuration.sources import messages as m
-from murmuration.sources.tables import read_table, scan, write_periods
+from murmuration.sources.tables import read_table, scan, write_period, write_periods
 
 MSG = f"with {inputs.MESSAGES_SQL}\n"
 MENTIONS = f"with recursive {inputs.MENTIONS_SQL}\n"
@@ -38,13 +38,15 @@ select user_id, count(*) as n_events, max(event_id) as last_event, cast(date_tru
        cast(day(ts) as int) as period
 from events group by user_id, date_trunc('month', ts), day(ts)""")
 def sink_roundtrip(spark, folder):
-    """Written by period twice (the second time replaces the first) and read back."""
+    """Written by period with other rows first, then replaced: by all rows, and twice by fewer and by none on the way."""
     rows = (inputs.events(spark, folder)
             .groupBy("user_id", F.date_trunc("month", "ts").cast("date").alias("month"), F.dayofmonth("ts").alias("period"))
             .agg(F.count("*").alias("n_events"), F.max("event_id").alias("last_event")))
     path = new_folder(spark, "roundtrip")
-    for _ in range(2):
-        write_periods(rows, path)
+    for period in (1, 40):
+        write_period(rows.unionByName(rows), path, period)
+        write_period(rows.where("false"), path, period)
+    write_periods(rows, path)
     return read_table(spark, path)
 
 
@@ -143,16 +145,23 @@ def hashtags(spark, folder):
 @query("mention_enrich", MSG + """,
 named as (select message_id, regexp_extract(text, '@(\\w+)', 1) as dest_name from msg),
 users as (
-  select distinct screen_name, user_name, user_id from msg
+  select screen_name, arg_max(user_name, user_id) as user_name, max(user_id) as user_id from (
+    select screen_name, user_name, user_id from msg
+    union all select concat('member', cast(c_custkey as varchar)), 'renamed', 0 from customer
+  ) group by screen_name
 )
 select n.message_id as message_id, n.dest_name as dest_name, coalesce(u.user_name, '') as mentioned_name,
        coalesce(cast(u.user_id as varchar), '') as mentioned_id
 from named n left join users u on u.screen_name = n.dest_name""")
 def mention_enrich(spark, folder):
+    """Every screen name belongs to a second, renamed account too; no message is told twice."""
     messages = inputs.messages(spark, folder)
     users = (messages.select(F.col("user.id").cast("string").alias("user_id"), "user.name", "user.screen_name")
              .distinct())
-    return m.enrich_mentions(messages, users)
+    renamed = inputs.table(spark, folder, "customer").select(
+        F.lit("0").alias("user_id"), F.lit("renamed").alias("name"),
+        F.concat(F.lit("member"), F.col("c_custkey").cast("string")).alias("screen_name"))
+    return m.enrich_mentions(messages, users.unionByName(renamed))
 
 
 @query("line_counts", """

@@ -28,8 +28,6 @@ def build_session(app_name: str = "murmuration", master: str | None = None, **se
         builder = builder.master(master)
     for key, value in RUNTIME_SETTINGS.items():
         builder = builder.config(key, value)
-    # Checkpoint files of a finished loop are dropped with the DataFrame that owns them.
-    builder = builder.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     for key, value in settings.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
@@ -92,7 +90,16 @@ def durable(df: DataFrame) -> DataFrame:
     """
     path = new_folder(df.sparkSession, "table")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored.stored_at = path
+    return stored
+
+
+def discard(stored: DataFrame | None) -> None:
+    """Delete a table that ``durable`` made, once nothing reads it any more; any other frame is left alone."""
+    path = getattr(stored, "stored_at", None)
+    if isinstance(path, str):
+        delete_folder(stored.sparkSession, path)
 
 
 def durable_with(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:

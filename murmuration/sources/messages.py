@@ -12,6 +12,7 @@ from murmuration.functions.ids import name_id
 from murmuration.functions.text import (SHORT_MENTION_PATTERN, clean_text, contains_any, first_mention,
                                         format_timestamp)
 from murmuration.schemas import MESSAGE_SCHEMA
+from murmuration.session import durable
 
 # Fixed values.
 TRACK_WORDS = [" @"]
@@ -127,10 +128,18 @@ def project_geo(messages: DataFrame) -> DataFrame:
 
 
 def enrich_mentions(messages: DataFrame, users: DataFrame, pattern: str = SHORT_MENTION_PATTERN) -> DataFrame:
-    """Name and id of the first mentioned user, empty if there is none or it is unknown."""
-    mentioned = users.select(F.col("screen_name").alias("dest_name"), F.col("name").alias("known_name"),
-                             F.col("user_id").alias("known_id"))
-    return (messages.select("message_id", first_mention(F.col("text"), pattern).alias("dest_name"))
-            .join(mentioned, "dest_name", "left")
-            .select("message_id", "dest_name", F.coalesce("known_name", F.lit("")).alias("mentioned_name"),
-                    F.coalesce("known_id", F.lit("")).alias("mentioned_id")))
+    """Name and id of the first mentioned user, empty if there is none or it is unknown: one row per message.
+
+    Of users that share a screen name (renamed accounts) the one with the largest id is meant. Messages without a mention
+    are not joined; the users' side is stored, so that the messages to a much-mentioned user can be split among tasks.
+    """
+    known = durable(users.where("screen_name <> ''").groupBy(F.col("screen_name").alias("dest_name")).agg(
+        F.max_by(F.struct(F.col("name").alias("known_name"), F.col("user_id").alias("known_id")), F.struct("user_id", "name"))
+        .alias("known"))).select("dest_name", "known.*")
+    named = messages.select("message_id", first_mention(F.col("text"), pattern).alias("dest_name"))
+    found = named.where("dest_name <> ''").join(known, "dest_name", "left").select("message_id", "dest_name", "known_name", "known_id")
+    plain = named.where("dest_name = '' or dest_name is null").select(
+        "message_id", "dest_name", F.lit(None).cast("string").alias("known_name"), F.lit(None).cast("string").alias("known_id"))
+    return found.unionByName(plain).select(
+        "message_id", "dest_name", F.coalesce("known_name", F.lit("")).alias("mentioned_name"),
+        F.coalesce("known_id", F.lit("")).alias("mentioned_id"))

@@ -3,6 +3,8 @@ from collections import Counter
 import pytest
 from golden import CORES, EDGES, EXPECTED, IDS, LABELS, VERTICES
 
+from pyspark.sql import functions as F
+
 from murmuration.operators import graph as g
 from murmuration.operators.components import connected_components
 from murmuration.operators.kcore import kcore, kcore_stats, prune
@@ -165,6 +167,36 @@ def test_stored_links_are_not_shuffled_again(golden, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
 
 
+def test_every_hot_neighbour_is_split(spark):
+    """Many hot vertices: none is left unsplit, and the values passed along do not change."""
+    from murmuration.operators import propagate as p
+
+    links = spark.range(30_000).selectExpr("id", "id % 5000 as nbr", "1L as w")
+    split = p.prepare_links(links, max_rows=2)
+    assert split.hot.count() == 5000
+    assert split.rows.groupBy("nbr", "salt").count().where("count > 6").count() == 0
+    assert split.rows.select("nbr").where("salt > 0").distinct().count() > 4500
+    state = spark.range(5000).selectExpr("id", "id * 2 as v")
+    assert split.gather(state).where("v = 2 * nbr").count() == 30_000
+    split.release()
+
+
+def test_a_loop_keeps_few_tables(spark):
+    import os
+
+    from murmuration.operators import propagate as p
+    from murmuration.session import scratch
+
+    with scratch(spark) as folder:
+        def step(state):
+            return state.selectExpr("id", "least(v + 1, 12) as v", "v as before")
+
+        start = spark.range(10).selectExpr("id", "0L as v", "-1L as before")
+        last = p.run_until(start, step, F.count_if(F.col("v") != F.col("before")), lambda n: n == 0, 1)
+        assert last.where("v = 12").count() == 10
+        assert len(os.listdir(folder.removeprefix("file://"))) == 1
+
+
 def test_a_hub_is_split_in_joins_with_stored_vertices(spark):
     """Adaptive skew-join handling applies to edges joined with the vertices of a mention graph."""
     from murmuration.session import durable

@@ -80,6 +80,8 @@ def test_projections(spark, messages):
     told = m.enrich_mentions(messages, users).where("message_id = 1").first()
     assert (told["dest_name"], told["mentioned_name"]) == ("David", "David")
     assert m.enrich_mentions(messages, users.where("false")).first()["mentioned_id"] == ""
+    renamed = users.unionByName(users.withColumn("user_id", F.concat(F.lit("0"), "user_id")))
+    assert m.enrich_mentions(messages, renamed).count() == messages.count()
 
 
 def test_period_table_replay_and_scan(spark):
@@ -87,7 +89,9 @@ def test_period_table_replay_and_scan(spark):
     assert read_table(spark, path, "v int, period int").count() == 0
     for period in (1, 2, 3, 2):
         write_period(spark.range(period).selectExpr("cast(id as int) as v"), path, period)
-    table = read_table(spark, path)
+    write_period(spark.range(5).selectExpr("cast(id as int) as v"), path, 4)
+    write_period(spark.range(0).selectExpr("cast(id as int) as v"), path, 4)
+    table = read_table(spark, path, "v int, period int")
     assert table.groupBy("period").count().orderBy("period").collect() == [(1, 1), (2, 2), (3, 3)]
     one = scan(table, ["v"], period=2)
     assert one.columns == ["v"] and one.count() == 2

@@ -62,11 +62,10 @@ def test_lda_repeats_with_its_seed(spark, words):
     assert all(math.isclose(a[3], b[3], rel_tol=1e-6) for a, b in zip(first, second))
 
 
-def test_online_refuses_a_vocabulary_beyond_the_driver(spark, words, monkeypatch):
-    monkeypatch.setattr(t, "ONLINE_TERMS", 3)
+def test_vectors_need_no_python(words):
     counts = t.doc_term_counts(words)
-    with pytest.raises(ValueError, match="use 'em'"):
-        t.fit_topics(t.term_vectors(counts, t.vocabulary(counts)), "online", k=2, iterations=1)
+    plan = t.term_vectors(counts, t.vocabulary(counts))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Scan parquet" in plan
 
 
 def test_empty_corpus_has_no_topics(spark, words):
