@@ -1,15 +1,16 @@
 """Exact Jaccard join of word shingles by set relations: similar sets share answers, lists are skipped in blocks.
 
 1. Rows with equal sets form a class. A class may miss at most a fifth of its shingles in a linked one, so a class with more
-   shingles that no other class has is linked with nothing. That is counted on each set's lowest hashes and settles
-   nearly all unrelated texts with one aggregation; only the others are looked at again.
-2. Highly similar sets find a common pivot by min-hashes and are verified against it: a star of members around a centre,
-   with exact distances. Copies of a text, however many, cost one comparison each.
+   shingles that no other class has is linked with nothing. That is counted on each set's lowest hashes first, which settles
+   unrelated texts with one aggregation, and then on the whole sets of what is left until few more drop out.
+2. Highly similar sets find a common pivot by min-hashes, the one with the fewest shingles of its own, and are verified
+   against it: a star of members around a centre, with exact distances. Copies, however many, cost one comparison each.
 3. Candidates of the rest: every set must share one of its ``a fifth + 1`` rarest hashes with a linked set. Inverted lists
-   hold centres, not sets, and are cut into blocks by size. A hash at position i of a set is of use only for partners
-   of at most 5/4 n - 9/4 i shingles (i are missing already), so whole blocks are skipped by position.
+   hold centres, not sets, and are cut into blocks by size and by the number of hashes that no other star has. A hash at
+   position i of a set (i are missing already) and a partner with u hashes of its own are at a distance of at least i + u,
+   so a hash looks up only the blocks in which that is near enough: the others are skipped by position.
 4. Centres are compared exactly. A member's overlap with another centre follows from its centre's overlap and the few
-   shingles in which the two differ, and by the triangle inequality most members need no comparison at all.
+   shingles in which the two differ, and by the triangle inequality and the own shingles most members need no comparison.
 
 Distance here is the size of the symmetric difference: sets of a and b shingles are linked if it is at most (a + b) / 9.
 """
@@ -35,6 +36,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no
 
 PIVOT_KEYS = 6  # min-hashes by which a set finds pivots
 BLOCK = math.log(1.1)  # an index block holds sizes within a factor of 1.1
+OWN_STEPS = 20  # and own hashes within a twentieth of the size
+SHRINK = 0.9  # whole sets are counted again while more than a tenth drops out
 
 
 def _class_of(hashes: np.ndarray) -> bytes:
@@ -60,7 +63,7 @@ def _sketches(batches):
 
 
 def _full_sets(batches):
-    """cls, n, hashes, n_low, n_used, keys of the texts that have the set expected of them."""
+    """id, n, hashes, keys of the texts that have the set expected of them; the id is the class's mark."""
     salts = numbers(PIVOT_KEYS, 4)
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
@@ -69,11 +72,10 @@ def _full_sets(batches):
                     if _class_of(s) == c]
             sets = [s for _, s in rows]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([c for c, _ in rows], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
-                 list_array(sets), pa.array([emitted(s) for s in sets], pa.int32()),
-                 pa.array([below(s, share_used(len(s))) for s in sets], pa.int32()),
+                [pa.array([int.from_bytes(c[:8], "little", signed=True) for c, _ in rows], pa.int64()),
+                 pa.array([len(s) for s in sets], pa.int64()), list_array(sets),
                  list_array([np.array([mixed(s ^ salt).min() for salt in salts], dtype=np.uint64) for s in sets])],
-                names=["cls", "n", "hashes", "n_low", "n_used", "keys"])
+                names=["id", "n", "hashes", "keys"])
 
 
 def linked(inter: str = "inter", a: str = "n_a", b: str = "n_b") -> Column:
@@ -86,8 +88,8 @@ def distance(inter: str = "inter", a: str = "n_a", b: str = "n_b") -> Column:
 
 def _compare(pairs: DataFrame, sets: DataFrame, *kept: str) -> DataFrame:
     """``a, b, n_a, n_b, inter`` and ``kept`` of every pair of classes ``a, b``."""
-    left = sets.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("hashes").alias("h_a"))
-    right = sets.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("hashes").alias("h_b"))
+    left = sets.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("hashes").alias("h_a"))
+    right = sets.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("hashes").alias("h_b"))
     return (pairs.join(left, "a").join(right, "b")
             .select("a", "b", "n_a", "n_b", F.size(F.array_intersect("h_a", "h_b")).cast("long").alias("inter"), *kept))
 
@@ -102,18 +104,37 @@ def _survivors(sketch: DataFrame, classes: DataFrame) -> DataFrame:
             .where(F.coalesce("own", F.lit(0)) <= F.floor(F.col("n") / 5)).select("cls", "n", "rep"))
 
 
+def _close_sets(sets: DataFrame, tables: Tables) -> DataFrame:
+    """``sets`` with ``own``, the number of hashes that no other set has, without those that have too many."""
+    before, round_ = sets.count(), 0
+    while True:
+        own = (sets.select("id", F.explode("hashes").alias("hash")).groupBy("hash")
+               .agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other")
+               .groupBy("id").agg(F.count(F.lit(1)).alias("own")))
+        kept = (sets.drop("own").join(own, "id", "left").withColumn("own", F.coalesce("own", F.lit(0).cast("long")))
+                .where(F.col("own") <= F.floor(F.col("n") / 5)))
+        round_ += 1
+        sets = tables.put(f"sets{round_}", kept)
+        tables.drop(f"sets{round_ - 1}")
+        after = sets.count()
+        if after >= SHRINK * before:
+            return sets
+        before = after
+
+
 def _stars(sets: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
-    """Verified pairs with pivots, and ``cls, centre, d`` of the classes that are members of a star."""
-    keys = sets.select("cls", F.posexplode("keys").alias("k", "key"))
-    pivots = tables.put("pivots", keys.groupBy("k", "key").agg(F.min("cls").alias("b"), F.count(F.lit(1)).alias("size"))
-                        .where("size > 1").drop("size"))
-    pairs = (keys.join(pivots, ["k", "key"]).select(F.col("cls").alias("a"), "b").where("a <> b").distinct())
+    """Verified pairs with pivots, and ``id, centre, d, own, n`` of the sets that are members of a star."""
+    keys = sets.select("id", "own", F.posexplode("keys").alias("k", "key"))
+    pivots = tables.put("pivots", keys.groupBy("k", "key").agg(
+        F.min(F.struct("own", "id")).alias("b"), F.count(F.lit(1)).alias("size")).where("size > 1")
+        .select("k", "key", F.col("b.id").alias("b")))
+    pairs = keys.join(pivots, ["k", "key"]).select(F.col("id").alias("a"), "b").where("a <> b").distinct()
     found = tables.put("pivot_pairs", _compare(pairs, sets).where(linked()))
-    outer = found.select(F.col("a").alias("b")).distinct()  # has a smaller pivot of its own
+    outer = found.select(F.col("a").alias("b")).distinct()  # has a pivot of its own
     member = (found.join(outer, "b", "left_anti").groupBy("a")
               .agg(F.min(F.struct(distance().alias("d"), F.col("b").alias("centre"))).alias("best"))
-              .select(F.col("a").alias("cls"), "best.centre", "best.d"))
-    return found, tables.put("members", member)
+              .select(F.col("a").alias("id"), "best.centre", "best.d"))
+    return found, tables.put("members", member.join(sets.select("id", "own", "n"), "id"))
 
 
 def _block(n: Column) -> Column:
@@ -122,82 +143,72 @@ def _block(n: Column) -> Column:
 
 def _candidates(sets: DataFrame, members: DataFrame, tables: Tables) -> DataFrame:
     """``a, b`` (a < b): pairs of centres of which some sets share what linked sets must share."""
-    placed = (sets.join(members.select("cls", "centre"), "cls", "left")
-              .withColumn("centre", F.coalesce("centre", "cls")))
-    rows = tables.put("placed", placed.select("cls", "centre", "n", "n_used", F.slice("hashes", F.lit(1), F.col("n_low")).alias("low")))
-    index = (rows.select("centre", _block(F.col("n")).alias("block"), F.explode("low").alias("hash"))
-             .groupBy("hash", "block", "centre").agg(F.lit(1).alias("one")).drop("one"))
-    index = tables.put("index", index)
-    lists = (index.groupBy("hash").agg(F.count(F.lit(1)).alias("size"), F.min("centre").alias("low"), F.max("centre").alias("high"))
-             .where("low <> high").select("hash", "size"))
-    lists = tables.put("lists", lists)
-    probes = (rows.select("cls", "centre", "n", "n_used", F.explode(F.slice("low", F.lit(1), F.col("n_used"))).alias("hash"))
-              .join(lists, "hash"))
-    order = Window.partitionBy("cls").orderBy("size", "hash")
-    probes = (probes.withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy("cls")))
-              .withColumn("place", F.row_number().over(order) - 1 + F.col("n_used") - F.col("shared"))
-              .where(F.col("place") <= F.floor(F.col("n") / 5)))
+    placed = (sets.select("id", "n", "hashes").join(members.select("id", "centre"), "id", "left")
+              .withColumn("centre", F.coalesce("centre", "id")))
+    rows = placed.select("id", "centre", "n", F.explode("hashes").alias("hash"))
+    index = tables.put("index", rows.groupBy("hash", "centre").agg(F.lit(1).alias("one")).drop("one"))
+    lists = tables.put("lists", index.groupBy("hash").agg(
+        F.count(F.lit(1)).alias("size"), F.min("centre").alias("low"), F.max("centre").alias("high"))
+        .where("low <> high").select("hash", "size"))
+    tables.drop("index")
+    common = tables.put("common", rows.join(lists, "hash"))  # hashes that several stars have
+    shared = common.groupBy("id").agg(F.count(F.lit(1)).alias("shared"))
+    common = common.join(shared, "id").withColumn("alone", F.col("n") - F.col("shared"))
+    most = F.floor(F.col("n") / 5)
+    common = common.where(F.col("alone") <= most)
+    step = F.floor(F.col("alone") * OWN_STEPS / F.col("n")).cast("int")
+    index = common.select("hash", "centre", _block(F.col("n")).alias("block"), step.alias("step")).distinct()
+    place = F.row_number().over(Window.partitionBy("id").orderBy("size", "hash")) - 1 + F.col("alone")
+    probes = common.withColumn("place", place).where(F.col("place") <= most)
+    # Partners of m hashes of which u are their own are near enough if place + u <= (n + m) / 9, and 4/5 n <= m <= 5/4 n.
     largest = F.greatest(F.lit(1.0), 1.25 * F.col("n") - 2.25 * F.col("place"))
-    probes = (probes.select("hash", "centre", F.explode(F.sequence(
-        _block(F.ceil(0.8 * F.col("n"))), F.greatest(_block(F.ceil(0.8 * F.col("n"))), _block(F.floor(largest))))).alias("block"))
-        .distinct())
-    shared = index.join(lists.select("hash"), "hash", "left_semi")
-    pairs = _meet(probes, shared)
-    # Sets with too few low hashes to be judged by (beyond 4.5 sigma): all their hashes are looked up among all hashes.
-    few = sets.where(F.col("n_used") <= F.floor(F.col("n") / 5))
-    if not few.isEmpty():
-        every = placed.select("centre", "n", F.explode("hashes").alias("hash"))
-        odd = tables.put("odd", placed.join(few.select("cls"), "cls", "left_semi")
-                         .select("centre", F.explode("hashes").alias("hash"), F.lit(0).alias("block")).distinct())
-        pairs = pairs.unionByName(_meet(odd, every.select("hash", F.lit(0).alias("block"), "centre")))
-    pairs = tables.put("candidates", pairs.distinct())
-    tables.drop("placed", "index", "lists")
+    first = _block(F.ceil(0.8 * F.col("n")))
+    probes = probes.select("hash", "centre", "n", "place", F.explode(F.sequence(
+        first, F.greatest(first, _block(F.floor(largest))))).alias("block"))
+    least, upper = F.floor(F.exp(F.col("block") * BLOCK) - 1e-6), F.ceil(F.exp((F.col("block") + 1) * BLOCK) + 1e-6)
+    room = (F.col("n") + upper) / 9 - F.col("place")
+    probes = probes.where(room >= 0).select("hash", "centre", "block", F.explode(F.sequence(
+        F.lit(0), F.least(F.lit(OWN_STEPS), F.floor(room * OWN_STEPS / F.greatest(F.lit(1), least))).cast("int"))).alias("step"))
+    met = (probes.distinct().withColumnRenamed("centre", "c").join(index, ["hash", "block", "step"]).where("c <> centre"))
+    pairs = tables.put("candidates", met.select(F.least("c", "centre").alias("a"), F.greatest("c", "centre").alias("b")).distinct())
+    tables.drop("lists", "common")
     return pairs
 
 
-def _meet(probes: DataFrame, index: DataFrame) -> DataFrame:
-    met = probes.withColumnRenamed("centre", "c").join(index, ["hash", "block"]).where("c <> centre")
-    return met.select(F.least("c", "centre").alias("a"), F.greatest("c", "centre").alias("b"))
+def _near_enough(own_a: str, own_b: str, n_a: str, n_b: str, least: Column) -> Column:
+    """No lower bound of a distance rules out a link: own hashes of both, and ``least``."""
+    most = F.floor((F.col(n_a) + F.col(n_b)) / 9)
+    return (F.col(own_a) + F.col(own_b) <= most) & (least <= most)
 
 
 def _member_links(near: DataFrame, members: DataFrame, sets: DataFrame, links: DataFrame, tables: Tables) -> DataFrame:
-    """Links between members of stars whose centres ``a, b`` are not linked but near enough."""
-    differences = (members.join(sets.select("cls", F.col("hashes").alias("own"), F.col("n").alias("n_x")), "cls")
-                   .join(sets.select(F.col("cls").alias("centre"), "hashes"), "centre")
-                   .select("cls", "centre", "d", "n_x", F.array_except("own", "hashes").alias("plus"),
-                           F.array_except("hashes", "own").alias("minus")))
-    touched = near.select(F.explode(F.array("a", "b")).alias("centre")).distinct()
-    differences = tables.put("differences", differences.join(touched, "centre", "left_semi"))
-
-    def derived(overlap: Column, other: str) -> Column:
-        return (overlap - F.size(F.array_intersect("minus", other)) + F.size(F.array_intersect("plus", other))).cast("long")
-
-    both = near.select("a", "b", "inter", F.col("a").alias("centre"), F.col("b").alias("far")).unionByName(
-        near.select("a", "b", "inter", F.col("b").alias("centre"), F.col("a").alias("far")))
-    seen = (both.join(differences, "centre")
-            .join(sets.select(F.col("cls").alias("far"), F.col("n").alias("n_far"), F.col("hashes").alias("h_far")), "far")
-            .select("a", "b", "centre", "far", "cls", "d", "n_x", "n_far", derived(F.col("inter"), "h_far").alias("inter_far")))
-    seen = tables.put("seen", seen)
-    links = tables.put("more", links.unionByName(
-        seen.where(linked("inter_far", "n_x", "n_far")).select(F.col("cls").alias("src"), F.col("far").alias("dst"))))
-    parts = tables.put("parts", connected_components(sets.select(F.col("cls").alias("id")), links))
+    """Links between members of stars whose centres ``a, b`` are at a distance ``d_ab`` that is too large, but not by much."""
+    far = sets.select(F.col("id").alias("far"), F.col("n").alias("n_far"), F.col("own").alias("own_far"))
+    both = near.select("inter", "d_ab", F.col("a").alias("centre"), F.col("b").alias("far")).unionByName(
+        near.select("inter", "d_ab", F.col("b").alias("centre"), F.col("a").alias("far"))).join(far, "far")
+    asked = tables.put("asked", both.join(members, "centre").where(
+        _near_enough("own", "own_far", "n", "n_far", F.col("d_ab") - F.col("d"))))
+    differences = (asked.select("id", "centre").distinct()
+                   .join(sets.select("id", F.col("hashes").alias("mine")), "id")
+                   .join(sets.select(F.col("id").alias("centre"), "hashes"), "centre")
+                   .select("id", F.array_except("mine", "hashes").alias("plus"), F.array_except("hashes", "mine").alias("minus")))
+    derived = F.col("inter") - F.size(F.array_intersect("minus", "h")) + F.size(F.array_intersect("plus", "h"))
+    seen = (asked.join(differences, "id").join(sets.select(F.col("id").alias("far"), F.col("hashes").alias("h")), "far")
+            .select(F.col("id").alias("src"), F.col("far").alias("dst"), F.col("n").alias("n_a"), F.col("n_far").alias("n_b"),
+                    derived.cast("long").alias("inter")))
+    links = tables.put("more", links.unionByName(seen.where(linked()).select("src", "dst")))
+    parts = tables.put("parts", connected_components(sets.select("id"), links))
     apart = (near.join(parts.select(F.col("id").alias("a"), F.col("component").alias("c_a")), "a")
              .join(parts.select(F.col("id").alias("b"), F.col("component").alias("c_b")), "b")
-             .where("c_a <> c_b").select("a", "b"))
-    left = seen.where("centre = a").join(apart, ["a", "b"])
-    right = seen.where("centre = b").join(apart, ["a", "b"]).select(
-        "a", "b", F.col("cls").alias("y"), F.col("d").alias("d_y"), F.col("n_x").alias("n_y"), F.col("inter_far").alias("inter_y"),
-        F.col("n_far").alias("n_a"))
-    most = F.floor((F.col("n_x") + F.col("n_y")) / 9)
-    open_ = (left.join(right, ["a", "b"])
-             .where(distance("inter_far", "n_x", "n_far") - F.col("d_y") <= most)
-             .where(distance("inter_y", "n_y", "n_a") - F.col("d") <= most)
-             .select("cls", "y", "n_x", "n_y", "inter_y"))
-    last = (open_.join(differences.select("cls", "plus", "minus"), "cls")
-            .join(sets.select(F.col("cls").alias("y"), F.col("hashes").alias("h_y")), "y")
-            .withColumn("inter", derived(F.col("inter_y"), "h_y"))
-            .where(linked("inter", "n_x", "n_y")).select(F.col("cls").alias("src"), F.col("y").alias("dst")))
-    return links.unionByName(last)
+             .where("c_a <> c_b").select("a", "b", "d_ab"))
+    left = members.select(F.col("centre").alias("a"), F.col("id").alias("x"), F.col("d").alias("d_x"),
+                          F.col("own").alias("own_x"), F.col("n").alias("n_x"))
+    right = members.select(F.col("centre").alias("b"), F.col("id").alias("y"), F.col("d").alias("d_y"),
+                           F.col("own").alias("own_y"), F.col("n").alias("n_y"))
+    pairs = apart.join(left, "a").join(right, "b").where(
+        _near_enough("own_x", "own_y", "n_x", "n_y", F.col("d_ab") - F.col("d_x") - F.col("d_y")))
+    pairs = tables.put("open", pairs.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    return links.unionByName(_compare(pairs, sets).where(linked()).select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
@@ -212,38 +223,37 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     """
     tables = Tables(docs.sparkSession)
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
-    sketch = tables.put("sketch", texts.mapInArrow(_sketches, "doc_id long, n long, cls binary, mark long, n_used int, low array<long>"))
-    classes = (sketch.where("n > 0 and doc_id is not null").groupBy("cls", "mark", "n")
-               .agg(F.min("doc_id").alias("rep")))
-    classes = tables.put("classes", classes)
+    sketch = tables.put("sketch", texts.mapInArrow(
+        _sketches, "doc_id long, n long, cls binary, mark long, n_used int, low array<long>"))
+    ids = tables.put("ids", sketch.select("doc_id", "n", "cls"))
+    classes = tables.put("classes", sketch.where("n > 0 and doc_id is not null").groupBy("cls", "mark", "n")
+                         .agg(F.min("doc_id").alias("rep")))
     rest = tables.put("rest", _survivors(sketch, classes))
+    tables.drop("sketch")
     expected = texts.join(rest.select("cls", F.col("rep").alias("doc_id")), "doc_id").select("cls", "text")
-    sets = (expected.mapInArrow(_full_sets, "cls binary, n long, hashes array<long>, n_low int, n_used int, keys array<long>")
-            .dropDuplicates(["cls"]))
-    sets = tables.put("sets", sets)
+    sets = tables.put("sets0", expected.mapInArrow(_full_sets, "id long, n long, hashes array<long>, keys array<long>")
+                      .dropDuplicates(["id"]))
+    sets = _close_sets(sets, tables)
     found, members = _stars(sets, tables)
-    pairs = _candidates(sets, members, tables)
-    compared = tables.put("compared", _compare(pairs, sets))
-    links = found.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(
-        compared.where(linked()).select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    links = tables.put("links", links)
+    compared = tables.put("compared", _compare(_candidates(sets, members, tables), sets))
+    links = tables.put("links", found.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(
+        compared.where(linked()).select(F.col("a").alias("src"), F.col("b").alias("dst"))))
     radius = tables.put("radius", members.groupBy("centre").agg(F.max("d").alias("r")))
     reach = F.coalesce("r_a", F.lit(0)) + F.coalesce("r_b", F.lit(0))
     near = (compared.where(~linked())
             .join(radius.select(F.col("centre").alias("a"), F.col("r").alias("r_a")), "a", "left")
             .join(radius.select(F.col("centre").alias("b"), F.col("r").alias("r_b")), "b", "left")
             .where((reach > 0) & (distance() <= reach + F.floor((F.col("n_a") + F.col("n_b") + reach) / 9)))
-            .select("a", "b", "inter"))
+            .select("a", "b", "inter", distance().alias("d_ab")))
     near = tables.put("near", near)
     if not near.isEmpty():
         links = tables.put("all_links", _member_links(near, members, sets, links, tables))
-    parts = connected_components(sets.select(F.col("cls").alias("id")), links)
-    named = tables.put("named", parts.join(classes.select(F.col("cls").alias("id"), "rep"), "id"))
+    parts = connected_components(sets.select("id"), links)
+    named = tables.put("named", parts.join(classes.select(F.col("mark").alias("id"), "cls", "rep"), "id"))
     lowest = tables.put("lowest", named.groupBy("component").agg(F.min("rep").alias("lowest")))
-    moved = named.join(lowest, "component").select(F.col("id").alias("cls"), "lowest")
+    moved = named.join(lowest, "component").select("cls", "lowest")
     answers = tables.put("answers", classes.join(moved, "cls", "left")
                          .select("cls", F.coalesce("lowest", "rep").alias("component_id")))
-    ids = sketch.select("doc_id", "n", "cls")
     return (ids.join(answers, "cls", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNull(), F.lit(None).cast("long"))

@@ -104,7 +104,7 @@ def shingle_sets(texts: list[str | None]):
 
 
 def share_used(n: int) -> float:
-    """Share of all hashes, the lowest ones, that a set of n is judged by: holds a fifth of it and one more, but for 4.5 sigma."""
+    """Share of all hashes, the lowest ones, that a set of n is judged by at first: enough to hold more than a fifth of it."""
     return 1.0 if n <= 48 else min(1.0, 0.2 + 4.5 * math.sqrt(0.16 / n) + 1 / n)
 
 
