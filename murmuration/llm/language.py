@@ -95,7 +95,7 @@ def fit(docs: DataFrame, shape: Shape = Shape()) -> Model:
     chosen = docs.sparkSession.createDataFrame(chosen, "doc_id long")
     counts = (docs.where("lang is not null").select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id")
               .select("lang", "text").mapInPandas(_gram_counts, "lang string, kind string, gram string, n long")
-              .groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n")).toPandas())
+              .groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n")).toArrow().to_pandas())
     scripts = []
     found = counts[counts.kind == "script"]
     for language in languages:

@@ -82,6 +82,7 @@ def _train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, clean_
         documents[buckets] += 1
     rarity = np.where(documents >= min(shape.least_documents, 1 + len(bags) // 20),
                       np.log((len(bags) + 1) / (documents + 1)), 0.0)
+    rarity = rarity.astype(np.float32)
     bags = [(b[rarity[b] > 0], (w * rarity[b])[rarity[b] > 0]) for b, w in bags]
     vectors = (rng.uniform(-1, 1, (shape.buckets, shape.dim)) / shape.dim).astype(np.float32)
     softmax, bias = rng.normal(0, 0.3, (shape.dim, 2)), np.zeros(2)
@@ -132,12 +133,14 @@ def fit(docs: DataFrame, labels: DataFrame, shape: Shape = Shape()) -> Model:
                                 "buckets": [r[0] for r in rows], "weights": [r[1] for r in rows]})
 
     rows = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
-            .mapInPandas(bags, "doc_id long, toxic int, buckets array<int>, weights array<float>").toPandas())
-    rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
-    if rows["toxic"].nunique() < 2:
-        return Model(shape, np.zeros(shape.buckets, dtype=np.float32), 4.0 if rows["toxic"].max() == 1 else -4.0)
-    pairs = [(np.asarray(b, dtype=np.int64), np.asarray(w, dtype=np.float32)) for b, w in zip(rows["buckets"], rows["weights"])]
-    return _train(pairs, rows["toxic"].to_numpy(), clean_weight, shape)
+            .mapInPandas(bags, "doc_id long, toxic int, buckets array<int>, weights array<float>").toArrow())
+    place = {doc_id: i for i, doc_id in enumerate(rows["doc_id"].to_pylist())}  # one row per id
+    order = [place[doc_id] for doc_id in sorted(place)]
+    toxic = rows["toxic"].to_numpy()[order]
+    if len(set(toxic.tolist())) < 2:
+        return Model(shape, np.zeros(shape.buckets, dtype=np.float32), 4.0 if 1 in toxic else -4.0)
+    bags, weights = rows["buckets"], rows["weights"]
+    return _train([(bags[i].values.to_numpy(), weights[i].values.to_numpy()) for i in order], toxic, clean_weight, shape)
 
 
 def scores(docs: DataFrame, model: Model, score_name: str = "score", predicted_name: str = "predicted") -> DataFrame:
