@@ -181,6 +181,21 @@ def test_pipeline_options(spark, messages, doc_level):
     assert tables.topics().count() > 0
 
 
+@pytest.mark.parametrize("stored", [False, True])
+def test_repeated_messages_and_stored_texts_count_once(spark, messages, stored):
+    """Every message is delivered in two periods; edges and words are counted as if it came once."""
+    settings = p.Settings(k=2, min_size=2, n_topics=2, iterations=2, prune_every=9, stored_texts=stored)
+    tables = p.PeriodTables(spark, new_folder(spark, "twice"))
+    p.run_period(tables, messages, 1, settings)
+    once = rows(tables.tokens().groupBy("doc_id", "term").count())
+    p.run_period(tables, messages, 2, settings)
+    assert tables.graph_of(2, 9).edges.count() == 34
+    assert tables.messages().count() == messages.count() and tables.communications().count() == 34
+    assert rows(tables.tokens().groupBy("doc_id", "term").count()) == once and once
+    p.run_period(tables, messages.where("false"), 1, settings)
+    assert tables.tokens().where("period = 1").count() == 0 and tables.communities().where("period = 1").count() == 0
+
+
 def test_periods(spark):
     moments = spark.createDataFrame([(START + timedelta(seconds=s),) for s in (0, 59, 60, 200)], "ts timestamp")
     got = [r[0] for r in moments.select(w.period_number(F.col("ts"), 60, START)).collect()]
