@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -15,7 +16,7 @@ from golden import EDGES, VERTICES
 @pytest.fixture(scope="session")
 def spark():
     session = build_session("tests", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
-                            spark__driver__memory="8g")
+                            spark__driver__memory="8g", spark__checkpoint__dir=tempfile.mkdtemp(prefix="murmuration-"))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
