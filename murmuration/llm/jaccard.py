@@ -63,7 +63,7 @@ def _sketches(batches):
 
 
 def _full_sets(batches):
-    """id, n, hashes, keys of the texts that have the set expected of them; the id is the class's mark."""
+    """id, n, n_low, n_used, hashes, keys of the texts that have the set expected of them; the id is the class's mark."""
     salts = numbers(PIVOT_KEYS, 4)
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
@@ -73,9 +73,10 @@ def _full_sets(batches):
             sets = [s for _, s in rows]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([int.from_bytes(c[:8], "little", signed=True) for c, _ in rows], pa.int64()),
-                 pa.array([len(s) for s in sets], pa.int64()), list_array(sets),
+                 pa.array([len(s) for s in sets], pa.int64()), pa.array([emitted(s) for s in sets], pa.int32()),
+                 pa.array([below(s, share_used(len(s))) for s in sets], pa.int32()), list_array(sets),
                  list_array([np.array([mixed(s ^ salt).min() for salt in salts], dtype=np.uint64) for s in sets])],
-                names=["id", "n", "hashes", "keys"])
+                names=["id", "n", "n_low", "n_used", "hashes", "keys"])
 
 
 def linked(inter: str = "inter", a: str = "n_a", b: str = "n_b") -> Column:
@@ -142,25 +143,43 @@ def _block(n: Column) -> Column:
 
 
 def _candidates(sets: DataFrame, members: DataFrame, tables: Tables) -> DataFrame:
-    """``a, b`` (a < b): pairs of centres of which some sets share what linked sets must share."""
-    placed = (sets.select("id", "n", "hashes").join(members.select("id", "centre"), "id", "left")
-              .withColumn("centre", F.coalesce("centre", "id")))
-    rows = placed.select("id", "centre", "n", F.explode("hashes").alias("hash"))
+    """``a, b`` (a < b): pairs of centres of which some sets share what linked sets must share.
+
+    Lists hold the lowest hashes, as many as any linked set may look up. What a set misses in a partner for certain are
+    its own hashes, or those of its lowest that no other star has, whichever are more. A set whose lowest hashes are too
+    few to be sure of a hit looks up all of its hashes among all hashes.
+    """
+    placed = (sets.select("id", "n", "own", "n_low", "n_used", "hashes")
+              .join(members.select("id", "centre"), "id", "left").withColumn("centre", F.coalesce("centre", "id")))
+    enough = F.col("n_used") > F.floor(F.col("n") / 5)
+    pairs = tables.put("candidates", _meet(placed.withColumn("asks", enough), tables))
+    if not placed.where(~enough).isEmpty():
+        whole = placed.withColumn("asks", ~enough).withColumn("n_low", F.col("n")).withColumn("n_used", F.col("n"))
+        pairs = pairs.unionByName(_meet(whole, tables)).distinct()
+    return pairs
+
+
+def _meet(placed: DataFrame, tables: Tables) -> DataFrame:
+    """Pairs of centres whose lists meet at a hash of a set that ``asks``."""
+    rows = placed.select("id", "centre", "n", "own", "n_used", "asks",
+                         F.posexplode(F.slice("hashes", F.lit(1), F.col("n_low").cast("int"))).alias("at", "hash"))
     index = tables.put("index", rows.groupBy("hash", "centre").agg(F.lit(1).alias("one")).drop("one"))
     lists = tables.put("lists", index.groupBy("hash").agg(
         F.count(F.lit(1)).alias("size"), F.min("centre").alias("low"), F.max("centre").alias("high"))
         .where("low <> high").select("hash", "size"))
     tables.drop("index")
-    common = tables.put("common", rows.join(lists, "hash"))  # hashes that several stars have
-    shared = common.groupBy("id").agg(F.count(F.lit(1)).alias("shared"))
-    common = common.join(shared, "id").withColumn("alone", F.col("n") - F.col("shared"))
-    most = F.floor(F.col("n") / 5)
-    common = common.where(F.col("alone") <= most)
+    most, used = F.floor(F.col("n") / 5), F.col("at") < F.col("n_used")
+    set_ = Window.partitionBy("id")
+    common = (rows.join(lists, "hash")  # hashes that several stars have
+              .withColumn("alone", F.greatest(F.col("own"), F.col("n_used") - F.count_if(used).over(set_)))
+              .where(F.col("alone") <= most)
+              .withColumn("place", F.row_number().over(set_.orderBy(F.when(used, 0).otherwise(1), "size", "hash")) - 1 + F.col("alone")))
+    common = tables.put("common", common)
+    tables.drop("lists")
     step = F.floor(F.col("alone") * OWN_STEPS / F.col("n")).cast("int")
     index = common.select("hash", "centre", _block(F.col("n")).alias("block"), step.alias("step")).distinct()
-    place = F.row_number().over(Window.partitionBy("id").orderBy("size", "hash")) - 1 + F.col("alone")
-    probes = common.withColumn("place", place).where(F.col("place") <= most)
-    # Partners of m hashes of which u are their own are near enough if place + u <= (n + m) / 9, and 4/5 n <= m <= 5/4 n.
+    probes = common.where(F.col("asks") & used & (F.col("place") <= most))
+    # Partners of m hashes of which u are missing here are near enough if place + u <= (n + m) / 9, and 4/5 n <= m <= 5/4 n.
     largest = F.greatest(F.lit(1.0), 1.25 * F.col("n") - 2.25 * F.col("place"))
     first = _block(F.ceil(0.8 * F.col("n")))
     probes = probes.select("hash", "centre", "n", "place", F.explode(F.sequence(
@@ -169,10 +188,8 @@ def _candidates(sets: DataFrame, members: DataFrame, tables: Tables) -> DataFram
     room = (F.col("n") + upper) / 9 - F.col("place")
     probes = probes.where(room >= 0).select("hash", "centre", "block", F.explode(F.sequence(
         F.lit(0), F.least(F.lit(OWN_STEPS), F.floor(room * OWN_STEPS / F.greatest(F.lit(1), least))).cast("int"))).alias("step"))
-    met = (probes.distinct().withColumnRenamed("centre", "c").join(index, ["hash", "block", "step"]).where("c <> centre"))
-    pairs = tables.put("candidates", met.select(F.least("c", "centre").alias("a"), F.greatest("c", "centre").alias("b")).distinct())
-    tables.drop("lists", "common")
-    return pairs
+    met = probes.distinct().withColumnRenamed("centre", "c").join(index, ["hash", "block", "step"]).where("c <> centre")
+    return met.select(F.least("c", "centre").alias("a"), F.greatest("c", "centre").alias("b")).distinct()
 
 
 def _near_enough(own_a: str, own_b: str, n_a: str, n_b: str, least: Column) -> Column:
@@ -231,7 +248,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     rest = tables.put("rest", _survivors(sketch, classes))
     tables.drop("sketch")
     expected = texts.join(rest.select("cls", F.col("rep").alias("doc_id")), "doc_id").select("cls", "text")
-    sets = tables.put("sets0", expected.mapInArrow(_full_sets, "id long, n long, hashes array<long>, keys array<long>")
+    sets = tables.put("sets0", expected.mapInArrow(_full_sets, "id long, n long, n_low int, n_used int, hashes array<long>, keys array<long>")
                       .dropDuplicates(["id"]))
     sets = _close_sets(sets, tables)
     found, members = _stars(sets, tables)
