@@ -26,55 +26,75 @@ CLOSED_BY_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"
                   "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
 SCOPES = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"},
           "option": {"select"}}
-LEFT_OUT = set("head nav aside footer form script style noscript template iframe svg canvas button select textarea input "
-               "object embed dialog menu title xmp noembed noframes video audio".split())
+LEFT_OUT = set("head script style noscript template iframe svg canvas button select textarea input object embed title xmp "
+               "noembed noframes video audio".split())
+ASIDE = set("nav aside footer form dialog menu".split())  # as header outside an article: left out unless they hold the article
 LEFT_OUT_ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar "
                      "toolbar".split())
+# Whole class names and ids, brought to lower case with hyphens and without a number at the end.
 LEFT_OUT_NAMES = set(
     "ad ads adbox advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar sidenav menu nav navbar "
     "navigation breadcrumb breadcrumbs footer masthead topbar comment comments commentlist disqus respond replies reply cookie "
     "cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing "
     "social related recommended recommendations pagination pager toolbar widget widgets copyright disclaimer alert".split())
+LEFT_OUT_NAMES |= {f"{a}-{b}" for a, bs in {
+    "ad advert banner promo sponsor": "box slot unit banner container wrapper block",
+    "cookie cookies consent gdpr": "notice banner bar consent popup modal overlay message dialog",
+    "comment comments reply": "list section area box form respond thread wrapper container block",
+    "share sharing social": "bar box buttons icons links list tools menu widget",
+    "related recommended": "posts articles links stories items list content box",
+    "newsletter subscribe subscription signup login": "form box banner popup modal signup",
+    "nav navigation menu footer site page main top left right": "nav navigation menu navbar sidebar footer bar links",
+    "sidebar": "left right primary secondary widget", "disqus": "thread", "modal popup": "overlay dialog window",
+}.items() for a in a.split() for b in bs.split()}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+[^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-_NAME = re.compile(r"[A-Za-z]+")
-_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])|_+")
+_NUMBER = re.compile(r"-?[0-9]+\Z")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "parts", "chars", "tags", "link_chars", "link_tags", "density", "sum", "skip")
+    __slots__ = ("tag", "parent", "children", "parts", "chars", "tags", "link_chars", "link_tags", "density", "sum", "skip",
+                 "aside")
 
     def __init__(self, tag: str, parent: "Node | None", skip: bool) -> None:
-        self.tag, self.parent, self.skip = tag, parent, skip
+        self.tag, self.parent, self.skip, self.aside = tag, parent, skip, 0
         self.children: list[Node] = []
         self.parts: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
 
 
-def _left_out(tag: str, attributes: str, inside_article: bool) -> bool:
-    if tag in LEFT_OUT or tag == "header" and not inside_article:
-        return True
+NO_TEXT, BY_NAME, BY_TAG = 3, 2, 1
+
+
+def _left_out(tag: str, attributes: str, inside_article: bool) -> int:
+    """Whether an element is never text (``NO_TEXT``), left out by name, role or as a form (``BY_NAME``), or by its tag."""
+    if tag in LEFT_OUT:
+        return NO_TEXT
+    found = BY_NAME if tag == "form" else BY_TAG if tag in ASIDE or tag == "header" and not inside_article else 0
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return found
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
         if key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
+            return NO_TEXT
+        if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+            return NO_TEXT
+        if found:
+            continue
         if key == "role" and value.lower() in LEFT_OUT_ROLES:
-            return True
+            found = BY_NAME
         if key in ("class", "id") and not LEFT_OUT_NAMES.isdisjoint(
-                name.lower() for name in _NAME.findall(_CAMEL.sub(" ", value))):
-            return True
-        if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+                _NUMBER.sub("", _CAMEL.sub("-", name).lower()) for name in value.split()):
+            found = BY_NAME
+    return found
 
 
 def parse(page: str) -> Node:
-    """The tree of a page, its end tags completed as browsers do; what is never main text is marked to be skipped."""
+    """The tree of a page, its end tags completed as browsers do; what is not main text is marked to be skipped."""
     root = Node("html", None, False)
     stack, at = [root], 0
 
@@ -104,8 +124,9 @@ def parse(page: str) -> Node:
             if stack[i].tag in bound:
                 break
         parent = stack[-1]
-        skip = parent.skip or _left_out(tag, attributes, any(n.tag in ("article", "main") for n in stack))
-        node = Node(tag, parent, skip)
+        left_out = _left_out(tag, attributes, any(n.tag in ("article", "main") for n in stack))
+        node = Node(tag, parent, parent.skip or left_out == NO_TEXT)
+        node.aside = left_out
         parent.children.append(node)
         parent.parts.append(node)
         if tag in RAW:
@@ -116,6 +137,7 @@ def parse(page: str) -> Node:
         elif tag not in VOID and not attributes.endswith("/"):
             stack.append(node)
     text(len(page))
+    _skip_asides(root)
     return root
 
 
@@ -128,14 +150,9 @@ def _post_order(root: Node) -> list[Node]:
     return order[::-1]
 
 
-def weigh(root: Node) -> list[Node]:
-    """Set counts, composite densities and density sums; the nodes that count, children first.
-
-    Density: characters per tag, times the logarithm of (characters / link characters) x (tags / link tags) to a base that
-    grows with the share of link text in the node and in the page.
-    """
-    order = _post_order(root)
+def _count(order: list[Node]) -> None:
     for node in order:
+        node.chars = node.tags = node.link_chars = node.link_tags = 0
         for part in node.parts:
             if isinstance(part, str):
                 node.chars += len(part) - part.count(" ") - part.count("\n")
@@ -146,6 +163,58 @@ def weigh(root: Node) -> list[Node]:
                 node.link_tags += part.link_tags
         if node.tag == "a":
             node.link_chars, node.link_tags = node.chars, node.link_tags + 1
+
+
+def _skip_asides(root: Node) -> None:
+    """Skip what is beside the main text by name, role or tag, but never what holds it.
+
+    An element is not skipped if it holds an article or main element, unless one outside it has more text beside it; nor,
+    if its name or role is all that speaks against it, if it has most of the page's unlinked characters, unless such an
+    element elsewhere has text.
+    """
+    order = _post_order(root)
+    if not any(node.aside for node in order):
+        return
+    _count(order)
+
+    def unlinked(node: Node) -> int:
+        return node.chars - node.link_chars
+
+    articles = [node for node in order if node.tag in ("article", "main") and unlinked(node) > 0]
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        if node.aside:
+            above = set()
+            at = node.parent
+            while at is not None:
+                above.add(id(at))
+                at = at.parent
+            within = elsewhere = beside = 0
+            inside = {id(n) for n in _post_order(node)} if articles else ()
+            for article in articles:
+                if id(article) in inside:
+                    within = max(within, unlinked(article))
+                elif id(article) in above:
+                    beside = max(beside, unlinked(article) - unlinked(node))
+                else:
+                    elsewhere = max(elsewhere, unlinked(article))
+            holds = within and within >= max(elsewhere, beside)
+            most = node.aside == BY_NAME and not elsewhere and 2 * unlinked(node) > unlinked(root)
+            if not holds and not most:
+                node.skip = True
+                continue
+        todo.extend(child for child in node.children if not child.skip)
+
+
+def weigh(root: Node) -> list[Node]:
+    """Set counts, composite densities and density sums; the nodes that count, children first.
+
+    Density: characters per tag, times the logarithm of (characters / link characters) x (tags / link tags) to a base that
+    grows with the share of link text in the node and in the page.
+    """
+    order = _post_order(root)
+    _count(order)
     page_share = root.link_chars / max(1, root.chars)
     for node in order:
         if node.chars:
@@ -218,8 +287,8 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of every row of ``pages(page_id, url, html)``, from its whole html.
 
     ``text`` is the article: its blocks in page order, each with white space collapsed, joined by line feeds. Menus,
-    headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are left out. ``n_chars`` counts
-    code points. A null or empty html, or one without text, gives an empty text; null ids and urls stay null. Repeated
+    headers, footers, sidebars, notices, adverts, forms and comments that their tag, role or a whole class name or id tells
+    are left out unless they hold the main text, scripts, styles and hidden elements always. ``n_chars`` counts code points. A null or empty html, or one without text, gives an empty text; null ids and urls stay null. Repeated
     rows give repeated rows, no rows give none. Pages are independent: nothing is shuffled.
     """
 

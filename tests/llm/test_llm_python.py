@@ -37,6 +37,23 @@ def test_page_without_article_element():
     assert main_text(page) == ("Title\nFirst paragraph of some length, with words & more.\nSecond link that goes on.\none\ntwo")
 
 
+def test_names_of_wrappers_leave_nothing_out():
+    text = "".join(f"<p>Paragraph {i} of the article, with a good many words.</p>" for i in range(6))
+    lines = "\n".join(f"Paragraph {i} of the article, with a good many words." for i in range(6))
+    aside = "<div class='sidebar'><p>Beside the text.</p></div><div id='ad-3'>Buy now</div>"
+    for wrapper in ("class='layout has-sidebar'", "class=no-sidebar", "class='content-with-sidebar'", "class='ad-free'",
+                    "id='widget-area-content'", "class='sidebar'", "id=related", "role=form"):
+        assert main_text(f"<body><div {wrapper}><article>{text}</article></div>{aside}</body>") == lines
+        assert main_text(f"<body><div {wrapper}><div>{text}</div></div>{aside}</body>") == lines
+    assert main_text(f"<body><form><div>{text}</div></form>{aside}</body>") == lines
+    for name in ("share-price", "social-policy", "related-work"):
+        assert main_text(f"<article>{text}<section class='{name}'><p>More.</p></section></article>") == lines + "\nMore."
+    # A discussion longer than the article stays out, with articles of its own or without.
+    talk = f"<p>{'chat ' * 40}</p>" * 5
+    for inner in (talk, f"<article><p>{'chat ' * 20}</p></article>" * 8):
+        assert main_text(f"<body><article>{text}</article><div class='comments'>{inner}</div></body>") == lines
+
+
 def test_odd_pages(spark):
     deep = "<div>" * 3000 + "deep"
     rows = [(1, "u", None), (2, None, ""), (None, "u", "plain &lt; text"), (4, "u", deep), (5, "u", "<p>a<p>b"),
