@@ -20,6 +20,7 @@ RAW = set("script style textarea title xmp iframe noembed noframes".split())
 BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
             "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table "
             "tbody tfoot thead tr ul".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6 hgroup header".split())
 CLOSES_P = BLOCK - set("body caption html tbody tfoot thead tr".split())
 SPACE = set("br td th option".split())
 CLOSED_BY_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
@@ -207,6 +208,24 @@ def _skip_asides(root: Node) -> None:
         todo.extend(child for child in node.children if not child.skip)
 
 
+def _density(root: Node, chars: float, tags: float, link_chars: float, link_tags: float) -> float:
+    if not chars:
+        return 0.0
+    tags, links, other = max(1, tags), max(1, link_chars), max(1, chars - link_chars)
+    base = math.log(chars * link_chars / other + root.link_chars / max(1, root.chars) * chars + math.e)
+    ratio = chars / links * (tags / max(1, link_tags))
+    return chars / tags * max(0.0, math.log(ratio)) / max(0.1, math.log(base))
+
+
+def _density_at(root: Node, chars: int, node: Node | str) -> float:
+    """Density of a node or text carried to at least so many characters: it grows with the size, whatever the text."""
+    if isinstance(node, str):
+        own, *rest = len("".join(node.split())), 1, 0, 0
+    else:
+        own, *rest = node.chars, max(1, node.tags), node.link_chars, node.link_tags
+    return _density(root, *(n * max(1.0, chars / max(1, own)) for n in (own, *rest)))
+
+
 def weigh(root: Node) -> list[Node]:
     """Set counts, composite densities and density sums; the nodes that count, children first.
 
@@ -215,23 +234,67 @@ def weigh(root: Node) -> list[Node]:
     """
     order = _post_order(root)
     _count(order)
-    page_share = root.link_chars / max(1, root.chars)
     for node in order:
-        if node.chars:
-            tags, links = max(1, node.tags), max(1, node.link_chars)
-            other = max(1, node.chars - node.link_chars)
-            base = math.log(node.chars * node.link_chars / other + page_share * node.chars + math.e)
-            ratio = node.chars / links * (tags / max(1, node.link_tags))
-            node.density = node.chars / tags * max(0.0, math.log(ratio)) / max(0.1, math.log(base))
+        node.density = _density(root, node.chars, node.tags, node.link_chars, node.link_tags)
         node.sum = sum(child.density for child in node.children if not child.skip)
     return order
 
 
+def _copy(node: Node, parts: list[Node | str]) -> Node:
+    copy = Node(node.tag, None, False)
+    copy.parts = parts
+    return copy
+
+
+def _dense_parts(root: Node, parent: Node, own: Node, inner: Node, main: Node, threshold: float) -> list[Node | str]:
+    """Parts of ``parent`` that belong to the main text if its child ``own``, reduced to ``inner``, does.
+
+    These are the blocks and texts that are as dense as the threshold, what stands between them without being mainly
+    links, and the headings before the first. A block without elements, or a bare text, is dense by being text at all: it
+    must be half as dense as the ``main`` node, too.
+    """
+    parts = [part for part in parent.parts if isinstance(part, str) or not part.skip]
+
+    def dense(part: Node | str) -> bool:
+        plain = isinstance(part, str) or not part.tags
+        return _density_at(root, main.chars, part) >= max(threshold, main.density / 2 if plain else 0) > 0
+
+    kept = [i for i, part in enumerate(parts) if part is own or dense(part)]
+    first, last = kept[0], kept[-1]
+    at = first - 1
+    while at >= 0 and (isinstance(parts[at], str) and not parts[at].strip() or getattr(parts[at], "tag", "") in HEADINGS):
+        if not isinstance(parts[at], str):
+            first = at
+        at -= 1
+    kept = set(kept)
+    return [inner if part is own else part for i, part in enumerate(parts) if i in kept or first <= i <= last and (
+        isinstance(part, str) or 2 * part.link_chars <= part.chars)]
+
+
+def _dense_articles(root: Node, parent: Node, own: Node, inner: Node, main: Node, threshold: float) -> list[Node]:
+    """``inner`` and, in page order, the other article and main elements in dense children of ``parent``."""
+    out: list[Node] = []
+    todo = [child for child in reversed(parent.children) if not child.skip]
+    while todo:
+        node = todo.pop()
+        if node is own:
+            out.append(inner)
+        elif _density_at(root, main.chars, node) >= threshold > 0:
+            if node.tag in ("article", "main"):
+                out.append(node)
+            else:
+                todo.extend(child for child in reversed(node.children) if not child.skip)
+    return out
+
+
 def main_node(root: Node) -> Node:
-    """The subtree of the largest density sum, widened to the ancestors that are as dense as the path to the body demands.
+    """The subtree of the largest density sum, widened to the ancestors that are as dense as the path to the body demands,
+    and whatever else in the body is as dense.
 
-    The threshold is the least density on the path from that node to the body; an ancestor below the body belongs to the
-    main text while it exceeds it, and so does an enclosing article or main element.
+    The threshold is the least density on the path from that node to the body. An ancestor below the body belongs to the
+    main text while it exceeds it, and so does an enclosing article or main element. So do
+    the children of every other ancestor, the body included, that reach it at the size of that node: with an article, only
+    other articles. The result is a copy of the body that has these parts only.
     """
     order = weigh(root)
     best = max(reversed(order), key=lambda node: node.sum)  # the outermost and first of equals
@@ -244,7 +307,11 @@ def main_node(root: Node) -> Node:
     for i in range(1, body):
         if path[i].density > threshold and chosen == i - 1 or path[i].tag in ("article", "main"):
             chosen = i
-    return path[chosen]
+    kept = main = path[chosen]
+    dense = _dense_articles if main.tag in ("article", "main") else _dense_parts
+    for i in range(chosen + 1, body + 1):
+        kept = _copy(path[i], dense(root, path[i], path[i - 1], kept, main, threshold))
+    return kept
 
 
 def block_texts(node: Node) -> list[str]:

@@ -54,6 +54,25 @@ def test_names_of_wrappers_leave_nothing_out():
         assert main_text(f"<body><article>{text}</article><div class='comments'>{inner}</div></body>") == lines
 
 
+def test_sibling_blocks_under_the_body():
+    def paragraphs(name, n):
+        return "".join(f"<p>{name} paragraph {i} of the article, with a good many words in it.</p>" for i in range(n))
+
+    def lines(name, n):
+        return [f"{name} paragraph {i} of the article, with a good many words in it." for i in range(n)]
+
+    links = "<div><ul>" + "".join(f"<li><a href='{i}'>Another page {i}</a></li>" for i in range(8)) + "</ul></div>"
+    for tag in ("section", "div", "article"):
+        blocks = [f"<{tag}>{paragraphs(n, k)}</{tag}>" for n, k in (("First", 5), ("Second", 4), ("Third", 2))]
+        whole = "\n".join(lines("First", 5) + lines("Second", 4) + lines("Third", 2))
+        for page in ("".join(blocks), links + "".join(blocks) + "<div>Imprint</div>", links.join(blocks),
+                     f"<div><div>{''.join(blocks)}</div></div>{links}"):
+            assert main_text(f"<html><body>{page}</body></html>") == whole
+    page = (f"<body>{links}<h1>Title</h1><section>{paragraphs('First', 5)}</section><h2>Part two</h2><p>Short.</p>"
+            f"<section>{paragraphs('Second', 4)}</section>{links}</body>")
+    assert main_text(page) == "\n".join(["Title", *lines("First", 5), "Part two", "Short.", *lines("Second", 4)])
+
+
 def test_odd_pages(spark):
     deep = "<div>" * 3000 + "deep"
     rows = [(1, "u", None), (2, None, ""), (None, "u", "plain &lt; text"), (4, "u", deep), (5, "u", "<p>a<p>b"),
