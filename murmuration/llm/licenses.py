@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from itertools import product
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +31,100 @@ _ISC_BODY = (
     "INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN "
     "ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF "
     "THIS SOFTWARE.")
+_TEXTS = Path(__file__).parent / "license_texts"  # canonical texts, one file per licence; read by the driver only
+
+
+def _whole_texts() -> list[tuple[str, str]]:
+    """The texts of the folder: whole, without what follows their terms (how to apply them), and with or without a title."""
+    out = []
+    for path in sorted(_TEXTS.iterdir()):
+        text = path.read_text(encoding="utf-8")
+        out.append((path.name, text))
+        if end := re.search(r"(?m)^.*END OF TERMS AND CONDITIONS.*$|^ADDENDUM: How to use", text):
+            out += [(path.name, text[:end.start()]), (path.name, text[:end.end()])]
+    mit_titles = ("The MIT License", "The MIT License (MIT)", "MIT License")
+    titles = {"MIT": (mit_titles, _MIT_BODY), "ISC": (("ISC License", "The ISC License", "ISC License (ISC)"), _ISC_BODY)}
+    out += [(name, f"{title}\n{body}") for name, (known, body) in titles.items() for title in known]
+    bsd = (_TEXTS / "BSD-3-Clause").read_text(encoding="utf-8")
+    # Lists are numbered or not; holders are named as one, several, authors or the Regents.
+    for (many, one), number in product((("COPYRIGHT HOLDERS", "COPYRIGHT HOLDER"), ("COPYRIGHT HOLDERS", "COPYRIGHT HOLDERS"),
+                                        ("COPYRIGHT HOLDER", "COPYRIGHT HOLDER"), ("REGENTS", "REGENTS"),
+                                        ("AUTHORS", "AUTHORS"), ("AUTHOR", "AUTHOR")), (True, False)):
+        text = bsd.replace("COPYRIGHT HOLDERS", many).replace("COPYRIGHT HOLDER OR", f"{one} OR")
+        text = text if number else re.sub(r"(?m)^[123]\. ", "* ", text)
+        two = re.sub(r"(?m)^(3\.|\*) Neither[^.]*\.\n\n", "", text)
+        bodies = [("BSD-2-Clause", two)] + [("BSD-3-Clause", text.replace("the copyright holder nor", f"{owner} nor")) for owner in (
+            "the copyright holder", "the copyright holders", "the University", "the author", "the authors", "the project")]
+        bsd_titles = {"BSD-2-Clause": ("", "BSD 2-Clause License\n", "The 2-Clause BSD License\n"),
+                      "BSD-3-Clause": ("", "BSD 3-Clause License\n", "The 3-Clause BSD License\n")}
+        out += [(name, title + body) for name, body in bodies for title in bsd_titles[name]]
+    return out
+
+
+def _names() -> dict[str, list[str]]:
+    """Names by which notices call the licences, every version of a family alike."""
+    out = {"MIT": ["MIT License", "Expat License"], "ISC": ["ISC License"], "Zlib": ["zlib License"],
+           "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD License", "0BSD License"], "Unlicense": ["Unlicense"],
+           "BSD-2-Clause": ["BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License"],
+           "BSD-3-Clause": ["BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "Modified BSD License",
+                            "Revised BSD License", "BSD 3-Clause \"New\" or \"Revised\" License"],
+           "CC0-1.0": ["CC0", "CC0 1.0", "CC0 1.0 Universal", "Creative Commons Zero v1.0 Universal", "CC0 1.0 License"]}
+    families = {"GPL": ("1.0 2.0 3.0", "GNU General Public License", "GPL"), "AGPL": ("3.0", "GNU Affero General Public License", "AGPL"),
+                "LGPL": ("2.0 2.1 3.0", "GNU Lesser General Public License", "LGPL"),
+                "GFDL": ("1.1 1.2 1.3", "GNU Free Documentation License", "GFDL"),
+                "MPL": ("1.0 1.1 2.0", "Mozilla Public License", "MPL"), "Apache": ("1.0 1.1 2.0", "Apache License", "Apache"),
+                "EPL": ("1.0 2.0", "Eclipse Public License", "EPL"), "BSL": ("1.0", "Boost Software License", "BSL"),
+                "Artistic": ("1.0 2.0", "Artistic License", "Artistic")}
+    for family, (versions, long, short) in families.items():
+        for version in versions.split():
+            spelled = {version, version.removesuffix(".0")} if "GNU" in long else {version}
+            names = [f"{long}{sign}{v}" for v in sorted(spelled) for sign in (", version ", " ", " v")]
+            names += [f"{short}{sign}{v}" for v in sorted(spelled) for sign in (" ", " v", "v")]
+            if "GNU" in long:
+                names += [f"GNU {short} v{v}" for v in sorted(spelled)]
+            if family == "LGPL" and version == "2.0":
+                names += [n.replace("Lesser", "Library") for n in names if "Lesser" in n]
+            out[f"{family}-{version}"] = names
+            if "GNU" in long:
+                out[f"{family}-{version}-or-later"] = [f"{n}{more}" for n in names if " version " in n or n.startswith(short)
+                                                       for more in (" or later", " or (at your option) any later version")]
+    parts = {"BY": "Attribution", "NC": "NonCommercial", "SA": "ShareAlike", "ND": "NoDerivatives"}
+    ports = {"4.0": "International", "3.0": "Unported", "2.5": "Generic", "2.0": "Generic", "1.0": "Generic"}
+    for kind, version in product(("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"), ports):
+        long = "Creative Commons " + "-".join(parts[p] for p in kind.split("-"))
+        longs = {long, long.replace("NoDerivatives", "NoDerivs")}
+        out[f"CC-{kind}-{version}"] = [f"CC {kind} {version}"] + [
+            f"{n} {version}{port}" for n in sorted(longs) for port in ("", f" {ports[version]}")]
+    return out
+
+
+def _notices() -> list[tuple[str, str]]:
+    """The usual one-line notices of every name: what is licensed, how, and under which licence."""
+    subjects = ["", *(f"This {x} is " for x in "work software project program".split())]
+    heads = [f"{subject}{verb} under {the}" for subject in subjects for verb in ("licensed", "released", "distributed")
+             for the in ("", "the ", "the terms of the ")]
+    # A trailing "License" may be missing or added, an article is as above.
+    out = []
+    for license_id, names in _names().items():
+        out.append((license_id, f"SPDX-License-Identifier: {license_id}"))
+        for name in dict.fromkeys(names):
+            ends = ("",) if "License" in name or "later" in name else ("", " License")
+            out += [(license_id, f"{head}{name}{end}") for head in heads for end in ends]
+    return out
+
+
+_NOTICES = (
+    ("Apache-2.0",
+     "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the "
+     "License. You may obtain a copy of the License at\nhttp://www.apache.org/licenses/LICENSE-2.0\nUnless required by "
+     "applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, "
+     "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language "
+     "governing permissions and limitations under the License."),
+    ("MPL-2.0",
+     "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+     "distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+)
+# Parameter: the known set. What is not in it is not found; the README lists it.
 KNOWN_LICENSES = (
     ("MIT", "MIT License\nCopyright (c) <year> <holders>\n" + _MIT_BODY),
     ("MIT", _MIT_BODY),
@@ -52,6 +150,9 @@ KNOWN_LICENSES = (
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    *_NOTICES,
+    *_whole_texts(),
+    *_notices(),
 )
 
 # Spellings that count as equal, as (pattern, kept form), on lower-case words with one space between.

@@ -1,9 +1,13 @@
 import hashlib
+import os
+import re
+import textwrap
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from murmuration.llm import licenses
 from murmuration.llm.chat import chat_examples, read_back
 from murmuration.llm.dedup import duplicate_groups
 from murmuration.llm.licenses import KNOWN_LICENSES, known_digests, license_scan
@@ -118,3 +122,20 @@ def test_licenses(spark, docs):
     assert all(got[i].license_id is None and got[i].n_lines == 0 for i in (3, 4, 5, 6))
     assert license_scan(docs, known_digests(spark)).count() == sum(1 for _ in ROWS)
     assert license_scan(docs.limit(0), known_digests(spark)).count() == 0
+
+
+def test_common_licenses_and_notices(spark):
+    folder = os.path.join(os.path.dirname(licenses.__file__), "license_texts")
+    texts = {name: open(os.path.join(folder, name), encoding="utf-8").read() for name in os.listdir(folder)}
+    texts["BSD-2-Clause"] = re.sub(r"3\. Neither[^.]*\.", "", texts["BSD-3-Clause"])
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense", "CC0-1.0"} < set(texts)
+    notices = {"This software is licensed under the Apache License 2.0": "Apache-2.0", "Distributed under the GPLv2.": "GPL-2.0",
+               "Licensed under CC BY-NC-SA 3.0": "CC-BY-NC-SA-3.0", "SPDX-License-Identifier: MIT": "MIT",
+               "This program is released under the terms of the GNU General Public License, version 3, or later": "GPL-3.0-or-later",
+               "Released under the BSD 3-Clause License.": "BSD-3-Clause",
+               "Licensed under the Creative Commons Attribution 4.0 International License.": "CC-BY-4.0"}
+    rows = [(name, f"Copyright (c) 2021, Some One\nAll rights reserved.\n\n{text}", None) for name, text in texts.items()]
+    rows += [(notice, f"prose\n{notice}\nprose", name) for notice, name in notices.items()]
+    got = license_scan(spark.createDataFrame(rows, "doc_id string, text string, line string"), known_digests(spark)).collect()
+    assert {r.doc_id: r.license_id for r in got if r.doc_id in texts} == {name: name for name in texts}
+    assert {r.doc_id: r.line_licenses for r in got if r.doc_id in notices} == {n: [name] for n, name in notices.items()}
