@@ -161,6 +161,10 @@ EQUIVALENT = (
     (" (sub)?licence(d|s|e|) ", " $1license$2 "),
     (" (sub)?licencing ", " $1licensing "),
     (" copyright owner ", " copyright holder "),
+    # Of two words that a line break parts, the first goes to the second's line.
+    (r" sub \n (licen[cs]e[a-z]*) ", " \n sub$1 "),
+    (r" copyright \n owner ", " \n copyright holder "),
+    (r" non \n (infringement|commercial|exclusive) ", " \n non$1 "),
     (" acknowledgement(s|) ", " acknowledgment$1 "),
     (" (unauthori|organi|reali|recogni|utili|initiali)s(e|ed|es|ing|ation|ations) ", " $1z$2 "),
     (" non (infringement|commercial|exclusive) ", " non$1 "),
@@ -170,14 +174,23 @@ EQUIVALENT = (
     (" fulfil ", " fulfill "),
     (" while ", " whilst "),
 )
-COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+# A notice is a mark and another mark, a year, a placeholder or a holder, on a line of its own: prose may begin with
+# "copyright", too, and so may a blank to be filled in within a sentence. Names have no capitals here, so a holder is known
+# by "the ... authors", its legal form or rights reserved; a bare name is taken for prose.
+COPYRIGHT_LINE = (
+    r"(?m)^[ \t]*(©[^\n]*|(copyright[ \t]*|\(c\)[ \t]*)(\(c\)|©)[ \t:,]*([^_ \t\n][^\n]*)?|"
+    r"((copyright|\(c\))[ \t:,]*)+((19|20)[0-9][0-9]|19yy|20yy|yyyy|[<\[{]+[^>\]}\n]*(year|yy|date|name|holder|owner|author|"
+    r"compan|organi)[^>\]}\n]*[>\]}])[^\n]*|"
+    r"(copyright|\(c\))[ \t]+(by[ \t]+)?the [^\n]{1,80} (authors|contributors|developers|team|project)[ \t\r.,]*|"
+    r"(copyright|\(c\))[ \t]+[^(_ \t\n][^\n]{0,79}( inc| llc| ltd| gmbh| corp|all rights reserved)[ \t\r.,;!]*|"
+    r"all rights reserved[ \t\r.,;!]*)$")
 PUNCTUATION = r"[!-/:-@\[-`{-~‘’“”–—…•©]+"
 
 
 def with_canonical_lines(rows: DataFrame) -> DataFrame:
     """``rows`` with ``text`` replaced by ``lines``: its lines in canonical form, empty ones included.
 
-    Lower case; lines that begin with a copyright mark are emptied; punctuation is a space; spaces and tabs are one space;
+    Lower case; lines that are a copyright notice are emptied; punctuation is a space; spaces and tabs are one space;
     equivalent spellings have one form. Only texts with such a spelling pay for the replacements. The steps are columns
     of their own, so that each is computed once.
     """

@@ -139,3 +139,40 @@ def test_common_licenses_and_notices(spark):
     got = license_scan(spark.createDataFrame(rows, "doc_id string, text string, line string"), known_digests(spark)).collect()
     assert {r.doc_id: r.license_id for r in got if r.doc_id in texts} == {name: name for name in texts}
     assert {r.doc_id: r.line_licenses for r in got if r.doc_id in notices} == {n: [name] for n, name in notices.items()}
+
+
+def test_licenses_wrapped_at_every_width(spark):
+    """Prose lines that begin with "copyright" stay, whatever the width; notices on a line of their own do not count."""
+    notice = re.compile(licenses.COPYRIGHT_LINE)
+    texts = {}
+    for name, text in KNOWN_LICENSES:
+        if len(text) > 500:
+            texts.setdefault(name, text)
+    rows = []
+    for name, text in texts.items():
+        for width in range(40, 101):
+            lines, prose = [], []
+            for line in [*text.split("\n"), ""]:
+                own = notice.match(line.lower()) is not None
+                if own or not line.strip():
+                    lines += [*textwrap.wrap(" ".join(prose), width), line]
+                    prose = []
+                else:
+                    prose.append(line.strip())
+            rows.append((name, width, "Copyright 2020 Some One\n" + "\n".join(lines)))
+    wrapped = licenses.with_canonical_lines(spark.createDataFrame(rows, "name string, width int, text string").repartition(32))
+    got = wrapped.select("name", "width", F.sha2(licenses.canonical_text("lines"), 256).alias("digest"))
+    known = known_digests(spark).select("digest", "license_id")
+    found = got.join(F.broadcast(known), "digest", "left").where("license_id is null or license_id <> name")
+    # At these widths a sentence of its Exhibit A, "All Rights Reserved.", has a line of its own, which is a notice elsewhere.
+    assert len(texts) >= 19 and sorted(map(tuple, found.select("name", "width").collect())) == [("MPL-1.1", w) for w in range(83, 87)]
+
+
+def test_lines_that_are_notices(spark):
+    kept = ["Copyright holders be liable", "copyright notice and this", "(c) You must retain", "Copyright law", "All rights reserved by law"]
+    gone = ["Copyright 2020 Some One", "COPYRIGHT (C) Some One", "(c) 1999 x", "© Some One", "Copyright <year> <holder>", "(c) Copyright 2001",
+            "Copyright [yyyy] [name of copyright owner]", "Copyright The Go Authors.", "Copyright Some Firm, Inc.", "All rights reserved."]
+    rows = spark.createDataFrame([(i, f"first\n{line}\nlast") for i, line in enumerate(kept + gone)], "doc_id int, text string")
+    digests = {r.doc_id: r.text_digest for r in license_scan(rows, known_digests(spark)).collect()}
+    bare = hashlib.sha256(b"first last").hexdigest()
+    assert [digests[i] == bare for i in range(len(digests))] == [False] * len(kept) + [True] * len(gone)
