@@ -27,27 +27,29 @@ SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 _UNSAFE = re.compile(r" \s|\s | \Z|\A ")
 
 
-def _tokenizer(path: str):
+def _tokenizer(path: str, special_as_text: bool):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True  # their strings in a text are ordinary text
-    return made
+    made.encode_special_tokens = special_as_text
+    return made, [token.content for token in made.get_added_tokens_decoder().values()]
 
 
-def encoded_texts(path: str, texts: list[str]) -> list[np.ndarray]:
+def encoded_texts(path: str, texts: list[str], special_as_text: bool = True) -> list[np.ndarray]:
     """Token ids of whole texts. A token never extends over a single space between other characters, so such texts are
-    cut before their spaces and each different chunk of a batch is encoded once; the others are encoded whole."""
-    tokenizer = kept(f"tokenizer {path}", lambda: _tokenizer(path))
-    recent = kept(f"chunks {path}", lambda: Recent(CACHED_CHUNKS))
+    cut before their spaces and each different chunk of a batch is encoded once; the others are encoded whole. So are those
+    with the string of an added token, which is one id as the file has it, or ordinary text if ``special_as_text``."""
+    key = f"{path} {special_as_text}"
+    tokenizer, added = kept(f"tokenizer {key}", lambda: _tokenizer(path, special_as_text))
+    recent = kept(f"chunks {key}", lambda: Recent(CACHED_CHUNKS))
 
     def encode(chunks: list[str]) -> list[bytes]:
         return [np.array(x.ids, dtype="<u4").tobytes() for x in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
     out: list[np.ndarray] = []
     for text in texts:
-        if not text or _UNSAFE.search(text):
+        if not text or _UNSAFE.search(text) or any(map(text.__contains__, added)):
             out.append(np.frombuffer(encode([text])[0], dtype="<u4") if text else np.zeros(0, dtype="<u4"))
             continue
         first, *rest = text.split(" ")
@@ -136,7 +138,8 @@ class Packer:
 def packed(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """One row per piece of every row of ``docs(doc_id, text)``: ``SCHEMA``.
 
-    A document is the ids of its text and ``END_ID``. Workers pack their partitions independently and without a shuffle;
+    A document is the ids that the tokenizer file gives its text, strings of special tokens included (``add_special_tokens``
+    adds none), and ``END_ID``. Workers pack their partitions independently and without a shuffle;
     ``sequence_id`` is made of the partition's number and a counter, so a repeated task makes the same sequences. A worker
     holds at most k - 1 pieces (numbers, not ids) of each class k <= ``CAPACITY``. Sequences are padded to ``CAPACITY``, except where the
     length is a power of two.
@@ -151,7 +154,7 @@ def packed(docs: DataFrame, tokenizer_path: str) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = [text or "" for text in part.column(1).to_pylist()]
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoded_texts(tokenizer_path, texts)):
+                for doc_id, ids in zip(part.column(0).to_pylist(), encoded_texts(tokenizer_path, texts, False)):
                     packer.add(doc_id, np.append(ids, np.uint32(END_ID)))
             yield packer.batch()
         packer.finish()

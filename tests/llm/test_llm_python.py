@@ -216,6 +216,20 @@ def test_packing_odd_rows(spark):
     assert repeated.where("doc_id = 2").count() == 2
 
 
+def test_packed_ids_are_those_of_the_file_as_given(spark):
+    whole = Tokenizer.from_file(PATH)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z ", "plain words only", "a <|endoftext|>"]
+    expected = [whole.encode(text, add_special_tokens=False).ids for text in texts]
+    assert 50256 in expected[0]
+    assert [ids.tolist() for ids in packing.encoded_texts(PATH, texts, False)] == expected
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pieces = packing.packed(docs, PATH).collect()
+    for r in pieces:
+        ids = np.array([*expected[r.doc_id], 0], dtype="<u4")
+        assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[r.start:r.start + r.length].tobytes())
+    assert sum(r.length for r in pieces) == sum(len(ids) + 1 for ids in expected)
+
+
 def test_cuts():
     for length in range(1, 3000):
         pieces = packing.cut_lengths(length)
