@@ -146,8 +146,8 @@ def test_licenses_wrapped_at_every_width(spark):
     notice = re.compile(licenses.COPYRIGHT_LINE)
     texts = {}
     for name, text in KNOWN_LICENSES:
-        if len(text) > 500:
-            texts.setdefault(name, text)
+        if len(text) > max(500, len(texts.get(name, ""))):
+            texts[name] = text
     rows = []
     for name, text in texts.items():
         for width in range(40, 101):
@@ -155,7 +155,7 @@ def test_licenses_wrapped_at_every_width(spark):
             for line in [*text.split("\n"), ""]:
                 own = notice.match(line.lower()) is not None
                 if own or not line.strip():
-                    lines += [*textwrap.wrap(" ".join(prose), width), line]
+                    lines += [*textwrap.wrap(" ".join(prose), width, break_long_words=False), line]
                     prose = []
                 else:
                     prose.append(line.strip())
