@@ -90,10 +90,11 @@ def fit(docs: DataFrame, shape: Shape = Shape()) -> Model:
     languages = sorted(r["lang"] for r in labelled.select("lang").distinct().collect())  # the label set
     chosen = []
     for language in languages:
-        chosen += (labelled.where(F.col("lang") == language).select("doc_id").distinct()
+        chosen += (labelled.where(F.col("lang") == language).select("doc_id", "lang").distinct()
                    .orderBy(F.xxhash64("doc_id"), "doc_id").limit(shape.rows).collect())  # bounded by the parameter
-    chosen = docs.sparkSession.createDataFrame(chosen, "doc_id long")
-    counts = (docs.where("lang is not null").select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id")
+    chosen = docs.sparkSession.createDataFrame(chosen, "doc_id long, lang string")
+    counts = (docs.where("lang is not null").select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])
+              .groupBy("doc_id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # of rows that repeat an id, one
               .select("lang", "text").mapInPandas(_gram_counts, "lang string, kind string, gram string, n long")
               .groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n")).toArrow().to_pandas())
     scripts = []

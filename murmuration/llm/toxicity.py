@@ -113,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, shape: Shape = Shape()) -> Model:
     """Fit on at most ``shape.toxic_rows`` and ``clean_rows`` documents, chosen by a hash of the id among rows not held out.
 
     Ids that are labelled both ways, null labels and documents with a null id are left out. The bags are made where
-    the documents are; the driver receives one of at most ``buckets`` entries per chosen row. Without rows of both
+    the documents are; the driver receives one of at most ``buckets`` entries per chosen id, of rows that repeat it the one with the least hash of its text. Without rows of both
     classes the model only knows which class it saw, and without any rows it calls every text clean.
     """
     known = (labels.where(~held_out()).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id")
@@ -132,7 +132,9 @@ def fit(docs: DataFrame, labels: DataFrame, shape: Shape = Shape()) -> Model:
             yield pd.DataFrame({"doc_id": frame["doc_id"], "toxic": frame["toxic"],
                                 "buckets": [r[0] for r in rows], "weights": [r[1] for r in rows]})
 
-    rows = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
+    single = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic")
+              .agg(F.min_by("text", F.xxhash64("text")).alias("text")))  # of rows that repeat an id, one
+    rows = (single.select("doc_id", "toxic", "text")
             .mapInPandas(bags, "doc_id long, toxic int, buckets array<int>, weights array<float>").toArrow())
     place = {doc_id: i for i, doc_id in enumerate(rows["doc_id"].to_pylist())}  # one row per id
     order = [place[doc_id] for doc_id in sorted(place)]

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from murmuration.llm import decontaminate, language, packing, toxicity
@@ -127,6 +128,28 @@ def test_language_of_held_out_rows(spark, sf):
     assert sum(r.lang == r.lang_pred for r in rows) / len(rows) > 0.97
 
 
+def test_samples_take_one_row_of_a_repeated_id(spark, monkeypatch):
+    docs, labels = toxic_rows(spark)
+    docs = docs.select("doc_id", "text")
+    more = docs.where("doc_id = 4").crossJoin(spark.range(500)).select("doc_id", F.concat("text", F.lit(" w"), "id").alias("text"))
+    trained = []
+    train = toxicity._train
+    monkeypatch.setattr(toxicity, "_train", lambda bags, *rest: trained.append(len(bags)) or train(bags, *rest))
+    received = []
+    collected = type(docs).toArrow
+    monkeypatch.setattr(type(docs), "toArrow", lambda frame: received.append(collected(frame)) or received[-1])
+    toxicity.fit(docs.unionByName(more), labels)
+    assert received[0].num_rows == trained[0] <= 400
+    rows = [(i, "the house and the garden " * 3, "en") for i in range(40)] + [(i, "les maisons et le jardin " * 3, "fr") for i in range(40, 80)]
+    named = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    own = named.where(~language.held_out()).limit(1).first()
+    again = spark.createDataFrame([(own.doc_id, own.text, own.lang)] * 300, named.schema)
+    language.fit(named)
+    language.fit(named.unionByName(again))
+    once, twice = (sorted(tuple(r.values()) for r in x.to_pylist()) for x in received[-2:])
+    assert once == twice
+
+
 def viterbi_brute(scores, penalty):
     best = {j: (0.0, []) for j in range(scores.shape[1])}
     for row in scores:
