@@ -176,7 +176,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.08) -> Da
     opened, name = shared(docs.sparkSession, patterns)
 
     def search(batches):
-        matcher = kept(f"matcher of {name}", lambda: Matcher(opened()))
+        matcher = kept(name, "matcher", lambda: Matcher(opened()))
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -201,7 +201,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0
     at = docs.columns.index("text")
 
     def search(batches):
-        matcher = kept(f"matcher of {name}", lambda: Matcher(opened()))
+        matcher = kept(name, "matcher", lambda: Matcher(opened()))
         for batch in batches:
             clean = [not (text and matcher.matches(text)) for text in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(clean, type=pa.bool_()))

@@ -19,7 +19,7 @@ from murmuration.llm.worker import Recent, kept, shared
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have the package
 
 WORD = re.compile(r"[^\W\d_]+")
-CACHED_WORDS = 300_000
+CACHED_BYTES = 24 << 20  # of words and their scores in a worker
 
 # Main ranges of Unicode scripts; a letter in none of them is of the script "Other".
 SCRIPTS = (
@@ -210,7 +210,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     @F.pandas_udf("lang_pred string, score double, lang_spans array<struct<lang:string,letters:long>>")
     def labelled(texts: pd.Series) -> pd.DataFrame:
         model = opened()
-        recent = kept(f"words of {name}", lambda: Recent(CACHED_WORDS))
+        recent = kept(name, "words", lambda: Recent(CACHED_BYTES))
         rows = []
         for text in texts:
             found = spans(text, model, recent)

@@ -20,51 +20,72 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no
 CAPACITY = 1024
 SLACK = CAPACITY // 32  # padding that a full sequence may have
 END_ID = 0
-CACHED_CHUNKS, CACHED_LENGTH = 400_000, 48
+CHUNK_BYTES, CACHED_LENGTH = 96 << 20, 48  # what a worker remembers of chunks, and of how long ones
 SEQUENCE_BITS = 33  # sequences of one task are numbered in the low bits
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 # Next to another white space, a space may belong to another token of the byte-level pattern.
 _UNSAFE = re.compile(r" \s|\s | \Z|\A ")
-
-
-def _tokenizer(path: str, special_as_text: bool):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    made = Tokenizer.from_file(path)
-    made.encode_special_tokens = special_as_text
-    return made, [token.content for token in made.get_added_tokens_decoder().values()]
+SPACE = "\u0120"  # how a byte-level vocabulary writes a space
+
+
+class Encoder:
+    """Ids of a byte-level tokenizer file, with those of recent chunks."""
+
+    def __init__(self, path: str, special_as_text: bool) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = special_as_text
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        self.begins = np.zeros(1 + max(vocabulary.values()), dtype=bool)  # ids that begin with a space
+        self.begins[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
+        self.chunks = Recent(CHUNK_BYTES)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(x.ids, dtype="<u4") for x in found]
+
+    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks, each after its space: all as one text, which is parted where ids begin with a space."""
+        if not chunks:
+            return []
+        ids = self.encode([" " + " ".join(chunks)])[0]
+        starts = np.flatnonzero(self.begins[ids])
+        if len(starts) != len(chunks):  # not a byte-level vocabulary
+            return [own.tobytes() for own in self.encode([" " + chunk for chunk in chunks])]
+        data, bounds = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+        return [data[a:b] for a, b in zip(bounds, bounds[1:])]
+
+    def whole(self, text: str) -> bool:
+        return not text or _UNSAFE.search(text) is not None or any(map(text.__contains__, self.added))
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of whole texts. A token never extends over a single space between other characters, so such texts are cut
+        before their spaces and each different chunk is encoded once; others, and those with an added token, are encoded whole."""
+        cut = [None if self.whole(text) else text.split(" ") for text in texts]
+        chunks = set().union(*(own[1:] for own in cut if own is not None))
+        long = [chunk for chunk in chunks if len(chunk) > CACHED_LENGTH]
+        known = self.chunks.fill(chunks.difference(long) if long else chunks, self._encode_chunks)
+        rare = dict(zip(long, self._encode_chunks(long)))
+        firsts = self.encode([text if own is None else own[0] for text, own in zip(texts, cut)])
+        out = []
+        for own, first in zip(cut, firsts):
+            if own is not None and len(own) > 1:
+                if rare and any(len(chunk) > CACHED_LENGTH for chunk in own[1:]):
+                    rest = [known[c] if len(c) <= CACHED_LENGTH else rare[c] for c in own[1:]]
+                else:
+                    rest = map(known.__getitem__, own[1:])
+                first = np.frombuffer(first.tobytes() + b"".join(rest), dtype="<u4")
+            out.append(first)
+        return out
 
 
 def encoded_texts(path: str, texts: list[str], special_as_text: bool = True) -> list[np.ndarray]:
-    """Token ids of whole texts. A token never extends over a single space between other characters, so such texts are
-    cut before their spaces and each different chunk of a batch is encoded once; the others are encoded whole. So are those
-    with the string of an added token, which is one id as the file has it, or ordinary text if ``special_as_text``."""
-    key = f"{path} {special_as_text}"
-    tokenizer, added = kept(f"tokenizer {key}", lambda: _tokenizer(path, special_as_text))
-    recent = kept(f"chunks {key}", lambda: Recent(CACHED_CHUNKS))
-
-    def encode(chunks: list[str]) -> list[bytes]:
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-
-    out: list[np.ndarray] = []
-    for text in texts:
-        if not text or _UNSAFE.search(text) or any(map(text.__contains__, added)):
-            out.append(np.frombuffer(encode([text])[0], dtype="<u4") if text else np.zeros(0, dtype="<u4"))
-            continue
-        first, *rest = text.split(" ")
-        try:
-            ids = b"".join(map(recent.new.__getitem__, rest))
-        except KeyError:
-            long = {x for x in set(rest) if len(x) > CACHED_LENGTH}
-            cached = recent.fill([x for x in rest if x not in long] if long else rest,
-                                 lambda new: encode([" " + x for x in new]))
-            if long:
-                cached = {**{x: cached[x] for x in set(rest) - long},
-                          **{x: encode([" " + x])[0] for x in long}}
-            ids = b"".join(map(cached.__getitem__, rest))
-        out.append(np.frombuffer(encode([first])[0] + ids, dtype="<u4"))
-    return out
+    """Token ids of whole texts by the file; strings of added tokens are ordinary text if ``special_as_text``."""
+    owner = f"tokenizer {path} {special_as_text}"
+    return kept(owner, "encoder", lambda: Encoder(path, special_as_text)).ids(texts)
 
 
 def cut_lengths(length: int, capacity: int = CAPACITY, slack: int = SLACK) -> list[tuple[int, int]]:

@@ -18,7 +18,7 @@ from murmuration.llm.worker import Recent, kept, shared
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have the package
 
 WORD = re.compile(r"\w+")
-CACHED_WORDS = 300_000
+CACHED_BYTES = 24 << 20  # of words and their numbers in a worker
 
 
 @dataclass(frozen=True)
@@ -157,7 +157,7 @@ def scores(docs: DataFrame, model: Model, score_name: str = "score", predicted_n
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         model = opened()
-        recent = kept(f"words of {name}", lambda: Recent(CACHED_WORDS))
+        recent = kept(name, "words", lambda: Recent(CACHED_BYTES))
 
         def worth(words: list[str]) -> list[float]:
             return [float(model.worth[subwords(word, model.shape)].mean()) for word in words]

@@ -11,37 +11,47 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have the package
 
 
-def kept(name: str, make):
-    """The worker's object of that name, made at first use."""
+def kept(owner: str, what: str, make):
+    """The worker's object ``what`` of ``owner``, made at first use; objects of other owners are let go first."""
     store = sys.modules.setdefault("_murmuration_worker", ModuleType("_murmuration_worker")).__dict__
-    if name not in store:
-        store[name] = make()
-    return store[name]
+    if store.get("owner") != owner:
+        store.clear()
+        store["owner"] = owner
+    key = f"kept {what}"
+    if key not in store:
+        store[key] = make()
+    return store[key]
 
 
 def shared(spark, thing):
-    """A broadcast of ``thing`` by value: a function that gives a worker's copy, and a name for what goes with it."""
+    """A broadcast of ``thing`` by value: a function that gives a worker's copy, and the owner's name for what goes with it."""
     data = cloudpickle.dumps(thing)
     name = hashlib.sha256(data).hexdigest()
     sent = spark.sparkContext.broadcast(data)
-    return (lambda: kept(name, lambda: cloudpickle.loads(sent.value))), name
+    return (lambda: kept(name, "shared", lambda: cloudpickle.loads(sent.value))), name
+
+
+def _bytes(key, value) -> int:
+    inner = 24 * len(value) if isinstance(value, tuple) else 0
+    return 110 + sys.getsizeof(key) + sys.getsizeof(value) + inner
 
 
 class Recent:
-    """Values of at least the ``size`` keys seen last, and of at most twice as many."""
+    """Values of the keys seen last: what two generations of ``limit / 2`` bytes hold, and what the last call asked for."""
 
-    def __init__(self, size: int) -> None:
-        self.size, self.new, self.old = size, {}, {}
+    def __init__(self, limit: int) -> None:
+        self.limit, self.used, self.new, self.old = limit // 2, 0, {}, {}
 
     def fill(self, keys, compute) -> dict:
         """A dictionary that has all of ``keys``; ``compute`` maps a list of unknown keys to their values."""
         missing = set(keys).difference(self.new)
         if missing:
-            if len(self.new) + len(missing) > self.size:
-                self.old, self.new = self.new, {}
+            if self.used > self.limit:
+                self.old, self.new, self.used = self.new, {}, 0
                 missing = set(keys)
-            known = missing & self.old.keys()
-            self.new.update((key, self.old[key]) for key in known)
-            unknown = list(missing - known)
-            self.new.update(zip(unknown, compute(unknown)))
+            found = {key: self.old[key] for key in missing & self.old.keys()}
+            unknown = list(missing - found.keys())
+            found.update(zip(unknown, compute(unknown)))
+            self.used += sum(map(_bytes, found.keys(), found.values()))
+            self.new.update(found)
         return self.new

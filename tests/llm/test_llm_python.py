@@ -1,6 +1,7 @@
 import html
 import random
 import re
+import sys
 import zlib
 from collections import Counter
 
@@ -9,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from murmuration.llm import decontaminate, language, packing, toxicity
+from murmuration.llm import decontaminate, language, packing, toxicity, worker
 from murmuration.llm.html_text import extract_main_text, main_text
 from murmuration.llm.jaccard import similar_groups
 from murmuration.llm.python_queries import tokenizer_path
@@ -197,6 +198,26 @@ def test_chunked_ids_are_the_tokenizers():
     assert [g.tolist() for g in got] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_random_odd_strings_have_the_tokenizers_ids():
+    whole, rng = Tokenizer.from_file(PATH), random.Random(2)
+    odd = ["a", "B", "'", "'ll", "é", "ß", "²", "½", " ", "\n", "\t", "\x1c", "\x1f", "\x85", "\xa0", ".", ",", "__", "我", "\u200b",
+           "<|endoftext|>", "x" * 60, "\U0001F600", "\u0120", "ª"]
+    for _ in range(8):
+        texts = ["".join(rng.choices(odd, k=rng.randint(0, 25))) for _ in range(500)]
+        got = packing.encoded_texts(PATH, texts, False)
+        assert [g.tolist() for g in got] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_recent_values_are_bounded_in_bytes():
+    recent = worker.Recent(1 << 20)
+    for i in range(200):
+        keys = [f"{i} {k}" for k in range(200)]
+        assert [recent.fill(keys, lambda new: [k + "!" for k in new])[k] for k in keys] == [k + "!" for k in keys]
+    assert sum(worker._bytes(*x) for own in (recent.new, recent.old) for x in own.items()) < 3 << 19
+    store = sys.modules["_murmuration_worker"].__dict__
+    assert worker.kept("a", "x", lambda: 1) == 1 and worker.kept("b", "y", lambda: 2) == 2 and "kept x" not in store
+
+
 def check_packed(rows, texts):
     """Every id in one piece, sequences gapless and within the capacity; returns (sequences, ids)."""
     whole = Tokenizer.from_file(PATH)
@@ -381,6 +402,26 @@ def test_pairs_at_the_threshold(spark):
     assert 0 < sum(component != doc for doc, _, component in got) < 40
 
 
+def test_few_words_alone_and_together(spark):
+    rows = [(n, " ".join("abcdefgh"[:n])) for n in range(9)]
+    for row in rows:
+        assert joined(spark, [row]) == groups_brute([row])
+    assert joined(spark, rows) == groups_brute(rows)
+
+
+def test_one_large_group_of_near_copies(spark):
+    """Copies that differ from one text in a few words each, so that many are pivots and centres."""
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(120):
+        text = list(base)
+        for _ in range(rng.randint(0, 4)):
+            text[rng.randrange(len(text))] = f"e{i}_{rng.randrange(9)}"
+        rows.append((i, " ".join(text)))
+    assert joined(spark, rows) == groups_brute(rows)
+
+
 def test_no_rows(spark):
     assert similar_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
