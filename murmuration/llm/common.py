@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from murmuration.session import delete_folder, new_folder
+from murmuration.session import delete_folder, new_folder, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,6 +44,17 @@ class Tables:
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def put_result(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """``put`` of what ``make`` returns; tables that it stores on the way are removed."""
+        path = new_folder(self.spark, name)
+        with scratch(self.spark):
+            df = make()
+            df.write.parquet(path)
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def drop(self, *names: str) -> None:
+        """Remove tables that nothing reads any more; of each name the last, and no error if there is none."""
         for name in names:
-            delete_folder(self.spark, self.paths.pop(name))
+            if name in self.paths:
+                delete_folder(self.spark, self.paths.pop(name))

@@ -54,3 +54,18 @@ def duplicate_groups(docs: DataFrame, salts: int = 16, digest: Callable[[Column]
                                  .drop("norm")))
     return answered.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
                            F.col("digest").alias("text_sha256"))
+
+
+def kept_rows(docs: DataFrame, salts: int = 16, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """Of equal texts the row with the largest ``doc_id``, with all columns of ``docs``.
+
+    The same combining as in ``duplicate_groups``, but the winner's row travels with its group, so that no text is read
+    or joined again. Of rows that repeat the winner's id and text one stays, and of rows without an id one where their
+    group has no other. Extra columns may have any names and types. No rows give no rows.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.struct("doc_id").alias("id"),
+                       normalised("text").alias("norm"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt"))
+    rows = rows.withColumn("digest", digest(F.col("norm")))
+    best = F.max_by("row", "id").alias("row"), F.max("id").alias("id")
+    salted = rows.groupBy("digest", "salt", "norm").agg(*best)
+    return salted.groupBy("digest", "norm").agg(*best).select("row.*")

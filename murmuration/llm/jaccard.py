@@ -45,7 +45,7 @@ def _class_of(hashes: np.ndarray) -> bytes:
 
 
 def _sketches(batches):
-    """doc_id, n, cls, mark, n_used, low: size and digest of a text's set, the digest's first half, and its lowest hashes.
+    """doc_id, txt, n, cls, mark, n_used, low: size and digest of a text's set, the digest's first half, and its lowest hashes.
 
     The set is judged by the first ``n_used`` of them; the others are there for sets that are judged by more.
     """
@@ -55,11 +55,11 @@ def _sketches(batches):
             sets = list(shingle_sets(part.column(1).to_pylist()))
             classes = [_class_of(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.binary()),
+                [part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.binary()),
                  pa.array([int.from_bytes(c[:8], "little", signed=True) for c in classes], pa.int64()),
                  pa.array([below(s, share_used(len(s))) for s in sets], pa.int32()),
                  list_array([s[:emitted(s)] for s in sets])],
-                names=["doc_id", "n", "cls", "mark", "n_used", "low"])
+                names=["doc_id", "txt", "n", "cls", "mark", "n_used", "low"])
 
 
 def _full_sets(batches):
@@ -106,21 +106,37 @@ def _survivors(sketch: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _close_sets(sets: DataFrame, tables: Tables) -> DataFrame:
-    """``sets`` with ``own``, the number of hashes that no other set has, without those that have too many."""
-    before, round_ = sets.count(), 0
+    """``sets`` with ``own``, the number of hashes that no other set has, without those that have too many.
+
+    Hashes are counted once, with the exclusive or of their sets' ids. Later rounds take away the hashes of the sets that
+    dropped out; where one set is left, the exclusive or is its id.
+    """
+    def counts(rows: DataFrame) -> DataFrame:
+        return (rows.select("id", F.explode("hashes").alias("hash")).groupBy("hash")
+                .agg(F.count(F.lit(1)).alias("sets"), F.bit_xor("id").alias("ids")))
+
+    counted = tables.put("counts0", counts(sets))
+    alive, before, round_ = sets.select("id", "n", F.lit(0).cast("long").alias("own")), sets.count(), 0
     while True:
-        own = (sets.select("id", F.explode("hashes").alias("hash")).groupBy("hash")
-               .agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other")
-               .groupBy("id").agg(F.count(F.lit(1)).alias("own")))
-        kept = (sets.drop("own").join(own, "id", "left").withColumn("own", F.coalesce("own", F.lit(0).cast("long")))
-                .where(F.col("own") <= F.floor(F.col("n") / 5)))
+        alone = counted.where("sets = 1").groupBy(F.col("ids").alias("id")).agg(F.count(F.lit(1)).alias("more"))
         round_ += 1
-        sets = tables.put(f"sets{round_}", kept)
-        tables.drop(f"sets{round_ - 1}")
-        after = sets.count()
+        judged = tables.put(f"judged{round_}", alive.join(alone, "id", "left").select(
+            "id", "n", (F.col("own") + F.coalesce("more", F.lit(0))).alias("own")))
+        fits = F.col("own") <= F.floor(F.col("n") / 5)
+        alive, gone = judged.where(fits), judged.where(~fits)
+        after = alive.count()
         if after >= SHRINK * before:
-            return sets
+            break
         before = after
+        less = tables.put("less", counts(sets.join(gone.select("id"), "id", "left_semi")).select(
+            "hash", F.col("sets").alias("less"), F.col("ids").alias("gone")))
+        counted = tables.put(f"counts{round_}", counted.where("sets > 1").join(less, "hash").select(
+            "hash", (F.col("sets") - F.col("less")).alias("sets"), F.col("ids").bitwiseXOR(F.col("gone")).alias("ids")).unionByName(
+            counted.where("sets > 1").join(less, "hash", "left_anti")))
+        tables.drop("less", f"counts{round_ - 1}", f"judged{round_ - 1}")
+    result = tables.put("sets", sets.join(alive.select("id", "own"), "id"))
+    tables.drop(f"counts{round_ - 1}", f"judged{round_}", f"judged{round_ - 1}", "sets0")
+    return result
 
 
 def _stars(sets: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
@@ -198,13 +214,30 @@ def _near_enough(own_a: str, own_b: str, n_a: str, n_b: str, least: Column) -> C
     return (F.col(own_a) + F.col(own_b) <= most) & (least <= most)
 
 
+def _apart(near: DataFrame, sets: DataFrame, links: DataFrame, tables: Tables, name: str) -> DataFrame:
+    """The pairs of ``near`` that links do not connect yet."""
+    parts = tables.put_result(f"{name}_parts", lambda: connected_components(sets.select("id"), links))
+    return tables.put(name, near.join(parts.select(F.col("id").alias("a"), F.col("component").alias("c_a")), "a")
+                      .join(parts.select(F.col("id").alias("b"), F.col("component").alias("c_b")), "b")
+                      .where("c_a <> c_b").drop("c_a", "c_b"))
+
+
 def _member_links(near: DataFrame, members: DataFrame, sets: DataFrame, links: DataFrame, tables: Tables) -> DataFrame:
-    """Links between members of stars whose centres ``a, b`` are at a distance ``d_ab`` that is too large, but not by much."""
+    """``links`` and those of members of stars whose centres ``a, b`` are at a distance ``d_ab`` that is too large, but not by much.
+
+    Only the pairs that are not connected yet matter for the groups. A star is asked by its kinds of members (distance to
+    the centre, own hashes, size), and the kinds that can have a link are then compared member by member: first with
+    the other centre, then, for pairs still apart, with the other star's members.
+    """
+    near = _apart(near, sets, links, tables, "apart")
+    if near.isEmpty():
+        return links
+    kinds = tables.put("kinds", members.groupBy("centre", "d", "own", "n").agg(F.count(F.lit(1)).alias("size")).drop("size"))
     far = sets.select(F.col("id").alias("far"), F.col("n").alias("n_far"), F.col("own").alias("own_far"))
     both = near.select("inter", "d_ab", F.col("a").alias("centre"), F.col("b").alias("far")).unionByName(
         near.select("inter", "d_ab", F.col("b").alias("centre"), F.col("a").alias("far"))).join(far, "far")
-    asked = tables.put("asked", both.join(members, "centre").where(
-        _near_enough("own", "own_far", "n", "n_far", F.col("d_ab") - F.col("d"))))
+    asked = both.join(kinds, "centre").where(_near_enough("own", "own_far", "n", "n_far", F.col("d_ab") - F.col("d")))
+    asked = tables.put("asked", asked.select("centre", "far", "inter", "n_far", "d", "own", "n").join(members, ["centre", "d", "own", "n"]))
     differences = (asked.select("id", "centre").distinct()
                    .join(sets.select("id", F.col("hashes").alias("mine")), "id")
                    .join(sets.select(F.col("id").alias("centre"), "hashes"), "centre")
@@ -214,47 +247,50 @@ def _member_links(near: DataFrame, members: DataFrame, sets: DataFrame, links: D
             .select(F.col("id").alias("src"), F.col("far").alias("dst"), F.col("n").alias("n_a"), F.col("n_far").alias("n_b"),
                     derived.cast("long").alias("inter")))
     links = tables.put("more", links.unionByName(seen.where(linked()).select("src", "dst")))
-    parts = tables.put("parts", connected_components(sets.select("id"), links))
-    apart = (near.join(parts.select(F.col("id").alias("a"), F.col("component").alias("c_a")), "a")
-             .join(parts.select(F.col("id").alias("b"), F.col("component").alias("c_b")), "b")
-             .where("c_a <> c_b").select("a", "b", "d_ab"))
-    left = members.select(F.col("centre").alias("a"), F.col("id").alias("x"), F.col("d").alias("d_x"),
-                          F.col("own").alias("own_x"), F.col("n").alias("n_x"))
-    right = members.select(F.col("centre").alias("b"), F.col("id").alias("y"), F.col("d").alias("d_y"),
-                           F.col("own").alias("own_y"), F.col("n").alias("n_y"))
-    pairs = apart.join(left, "a").join(right, "b").where(
-        _near_enough("own_x", "own_y", "n_x", "n_y", F.col("d_ab") - F.col("d_x") - F.col("d_y")))
-    pairs = tables.put("open", pairs.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    tables.drop("asked")
+    apart = _apart(near, sets, links, tables, "open")
+    left = kinds.select(F.col("centre").alias("a"), *[F.col(c).alias(f"{c}_x") for c in ("d", "own", "n")])
+    right = kinds.select(F.col("centre").alias("b"), *[F.col(c).alias(f"{c}_y") for c in ("d", "own", "n")])
+    met = tables.put("met", apart.join(left, "a").join(right, "b").where(
+        _near_enough("own_x", "own_y", "n_x", "n_y", F.col("d_ab") - F.col("d_x") - F.col("d_y"))).drop("inter", "d_ab"))
+    if met.isEmpty():
+        return links
+    x = members.select(F.col("id").alias("x"), F.col("centre").alias("a"), *[F.col(c).alias(f"{c}_x") for c in ("d", "own", "n")])
+    y = members.select(F.col("id").alias("y"), F.col("centre").alias("b"), *[F.col(c).alias(f"{c}_y") for c in ("d", "own", "n")])
+    pairs = met.join(x, ["a", "d_x", "own_x", "n_x"]).join(y, ["b", "d_y", "own_y", "n_y"])
+    pairs = tables.put("pairs", pairs.select(F.col("x").alias("a"), F.col("y").alias("b")))
     return links.unionByName(_compare(pairs, sets).where(linked()).select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
 
-def similar_groups(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row of ``docs(doc_id, text)``.
+def text_key(text: Column) -> Column:
+    """By which the texts under one id are told apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
-    Texts are sets of distinct five-word shingles (of A-Z lower-cased words, a shorter text being one shingle); two are
-    linked when 100 x intersection >= 80 x union. ``component_id`` is the least id that links lead to. All links between
-    different sets are found, or their sets are known to be connected otherwise. Shingles are told apart by 64 bits.
 
-    Nulls: a null or wordless text has no shingles and is its own component; a row with a null ``doc_id`` takes part in no link and has
-    a null component. Rows that repeat an id and a text get equal answers. No rows give no rows.
-    """
-    tables = Tables(docs.sparkSession)
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
+def _grouped(docs: DataFrame, tables: Tables) -> DataFrame:
+    """``doc_id, txt, n, cls`` of every row; of rows in a group also its least id ``rep``, with the class and text of that row."""
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", text_key(docs["text"]).alias("txt"))
     sketch = tables.put("sketch", texts.mapInArrow(
-        _sketches, "doc_id long, n long, cls binary, mark long, n_used int, low array<long>"))
-    ids = tables.put("ids", sketch.select("doc_id", "n", "cls"))
+        _sketches, "doc_id long, txt long, n long, cls binary, mark long, n_used int, low array<long>"))
+    ids = tables.put("ids", sketch.select("doc_id", "txt", "n", "cls"))
     classes = tables.put("classes", sketch.where("n > 0 and doc_id is not null").groupBy("cls", "mark", "n")
-                         .agg(F.min("doc_id").alias("rep")))
+                         .agg(F.min(F.struct(F.col("doc_id").alias("rep"), "txt")).alias("first"))
+                         .select("cls", "mark", "n", "first.rep", "first.txt"))
     rest = tables.put("rest", _survivors(sketch, classes))
     tables.drop("sketch")
-    expected = texts.join(rest.select("cls", F.col("rep").alias("doc_id")), "doc_id").select("cls", "text")
-    sets = tables.put("sets0", expected.mapInArrow(_full_sets, "id long, n long, n_low int, n_used int, hashes array<long>, keys array<long>")
-                      .dropDuplicates(["id"]))
+    # Merged at every size: what is left of a large table is no small side either.
+    wanted = rest.select("cls", F.col("rep").alias("doc_id")).hint("merge")
+    expected = texts.select("doc_id", "text").join(wanted, "doc_id").select("cls", "text")
+    sets = tables.put("sets0", expected.mapInArrow(
+        _full_sets, "id long, n long, n_low int, n_used int, hashes array<long>, keys array<long>").dropDuplicates(["id"]))
+    tables.drop("rest")
     sets = _close_sets(sets, tables)
     found, members = _stars(sets, tables)
     compared = tables.put("compared", _compare(_candidates(sets, members, tables), sets))
+    tables.drop("candidates", "common")
     links = tables.put("links", found.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(
         compared.where(linked()).select(F.col("a").alias("src"), F.col("b").alias("dst"))))
+    tables.drop("pivot_pairs")
     radius = tables.put("radius", members.groupBy("centre").agg(F.max("d").alias("r")))
     reach = F.coalesce("r_a", F.lit(0)) + F.coalesce("r_b", F.lit(0))
     near = (compared.where(~linked())
@@ -263,15 +299,42 @@ def similar_groups(docs: DataFrame) -> DataFrame:
             .where((reach > 0) & (distance() <= reach + F.floor((F.col("n_a") + F.col("n_b") + reach) / 9)))
             .select("a", "b", "inter", distance().alias("d_ab")))
     near = tables.put("near", near)
+    tables.drop("compared", "radius")
     if not near.isEmpty():
         links = tables.put("all_links", _member_links(near, members, sets, links, tables))
-    parts = connected_components(sets.select("id"), links)
-    named = tables.put("named", parts.join(classes.select(F.col("mark").alias("id"), "cls", "rep"), "id"))
-    lowest = tables.put("lowest", named.groupBy("component").agg(F.min("rep").alias("lowest")))
+    parts = tables.put_result("parts", lambda: connected_components(sets.select("id"), links))
+    tables.drop("sets", "near", "members", "kinds", "apart", "apart_parts", "open", "open_parts", "met", "pairs", "more", "links", "all_links")
+    named = tables.put("named", parts.join(classes.withColumnRenamed("mark", "id"), "id"))
+    lowest = tables.put("lowest", named.groupBy("component").agg(F.min(F.struct("rep", "cls", "txt")).alias("lowest")))
     moved = named.join(lowest, "component").select("cls", "lowest")
-    answers = tables.put("answers", classes.join(moved, "cls", "left")
-                         .select("cls", F.coalesce("lowest", "rep").alias("component_id")))
-    return (ids.join(answers, "cls", "left").select(
+    answers = tables.put("answers", classes.join(moved, "cls", "left").select(
+        "cls", F.coalesce("lowest", F.struct("rep", "cls", "txt")).alias("lowest")))
+    tables.drop("parts", "named", "lowest", "classes")
+    return ids.join(answers, "cls", "left")
+
+
+def similar_groups(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for every row of ``docs(doc_id, text)``.
+
+    Texts are sets of distinct five-word shingles (of A-Z lower-cased words, a shorter text being one shingle); two are
+    linked when 100 x intersection >= 80 x union. ``component_id`` is the least id that links lead to. All links between
+    different sets are found, or their sets are known to be connected otherwise. Shingles are told apart by 64 bits.
+
+    Nulls: a null or wordless text has no shingles and is its own component; a row with a null ``doc_id`` takes part in no link and has
+    a null component. Rows that repeat an id and a text get equal answers; an id may have several texts. No rows give no rows.
+    """
+    return _grouped(docs, Tables(docs.sparkSession)).select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNull(), F.lit(None).cast("long"))
-        .otherwise(F.col("component_id")).alias("component_id")))
+        .otherwise(F.col("lowest.rep")).alias("component_id"))
+
+
+def superseded(docs: DataFrame) -> DataFrame:
+    """``moved_id, moved_text``: id and ``text_key`` of the rows for which another row of their group stays.
+
+    Of a group stays the row with the least id; where that id has several texts in the group, one of them. Rows without
+    an id or without words are in no group. No rows give no rows.
+    """
+    stays = (F.col("doc_id") == F.col("lowest.rep")) & (F.col("cls") == F.col("lowest.cls")) & (F.col("txt") == F.col("lowest.txt"))
+    return (_grouped(docs, Tables(docs.sparkSession)).where((F.col("n") > 0) & F.col("doc_id").isNotNull() & ~stays)
+            .select(F.col("doc_id").alias("moved_id"), F.col("txt").alias("moved_text")).distinct())

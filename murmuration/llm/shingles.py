@@ -73,9 +73,10 @@ class Hasher:
             sums = np.concatenate([[np.uint64(0)], np.cumsum(self.values[data] * up)])
             hashes = mixed((sums[ends] - sums[starts]) * down[starts])
             first = np.searchsorted(starts, bounds)  # of each text's words
-            total = np.zeros(max(0, len(hashes) - WORDS + 1), dtype=np.uint64)
+            runs = max(0, len(hashes) - WORDS + 1)
+            total = np.zeros(runs, dtype=np.uint64)
             for k in range(WORDS):
-                total += hashes[k:len(hashes) - WORDS + 1 + k] * self.factors[k]
+                total += hashes[k:k + runs] * self.factors[k]
             total = mixed(total)
             out = []
             for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
@@ -91,7 +92,7 @@ class Hasher:
 
 def shingle_sets(texts: list[str | None]):
     """The sets of the texts in order, computed in runs of about ``BATCH_BYTES``."""
-    hasher = kept("shingle hasher", Hasher)
+    hasher = kept("shingles", "hasher", Hasher)
     run: list[bytes] = []
     size = 0
     for text in texts:

@@ -61,3 +61,21 @@ def test_stages_keep_clashing_columns_and_odd_rows(spark, sf):
     empty = spark.createDataFrame([], docs.schema)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf).count() == 0
+
+
+def test_texts_under_one_id_are_judged_apart(spark, sf):
+    base = [f"w{i}" for i in range(60)]
+    a, near, other = " ".join(base), " ".join(base[:-1] + ["x"]), " ".join(f"u{i}" for i in range(60))
+    spaced = a.replace(" ", "  ")  # the same shingles in another text
+    docs = spark.createDataFrame([(1, a, 0), (2, near, 1), (2, other, 2), (1, spaced, 3), (3, None, 4)], "doc_id long, text string, moved_id int")
+    got = corpus_pipeline.drop_similar(spark, docs, sf).collect()
+    assert sorted(r.moved_id for r in got if r.moved_id not in (0, 3)) == [2, 4] and sum(r.moved_id in (0, 3) for r in got) == 1
+    assert docs.columns == got[0].__fields__
+
+
+def test_kept_rows_are_whole_rows(spark, sf):
+    rows = [(1, "A b", {"k": 1}), (2, "a B", {"k": 2}), (None, "a b", {"k": 3}), (None, "c", None), (5, None, None), (6, "", {"k": 4})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` map<string,int>")
+    got = corpus_pipeline.drop_copies(spark, docs, sf)
+    assert got.columns == docs.columns
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted([rows[1], rows[3], rows[5]], key=str)
