@@ -33,9 +33,10 @@ def numbers(n: int, seed: int) -> np.ndarray:
 class Hasher:
     """Tables that turn bytes into word hashes: a byte's number times a power of an odd base, summed over the word."""
 
-    def __init__(self) -> None:
+    def __init__(self, fold: bool = True) -> None:
         values = numbers(256, 1)
-        values[ord("A"):ord("Z") + 1] = values[ord("a"):ord("z") + 1]
+        if fold:
+            values[ord("A"):ord("Z") + 1] = values[ord("a"):ord("z") + 1]
         self.values = values
         self.space = np.zeros(256, dtype=bool)
         self.space[[0x20, *range(0x09, 0x0E)]] = True
@@ -51,16 +52,14 @@ class Hasher:
                                       for base in (self.base, pow(self.base, -1, 1 << 64)))
         return self.up[:n], self.down[:n]
 
-    def sets(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Sorted distinct shingle hashes of each text, A-Z lower-cased; words are runs of bytes other than white space.
+    def words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words of all texts, and where each text's words begin and the last ones end.
 
-        A text of fewer words is one shingle, a text without words has none. Texts lie one after the other in one
-        array, so that numpy works on all of them; words and shingles never reach over the end of a text.
+        Texts lie one after the other in one array, so that numpy works on all of them; words never reach over the end
+        of a text. They are runs of bytes other than white space, A-Z in lower case if the hasher folds them.
         """
         sizes = np.array([len(text) for text in texts], dtype=np.int64)
         data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-        if not len(data):
-            return [np.zeros(0, dtype=np.uint64)] * len(texts)
         bounds = np.concatenate([[0], np.cumsum(sizes)])
         word = ~self.space[data]
         edge = np.zeros(len(data) + 1, dtype=bool)
@@ -71,8 +70,22 @@ class Hasher:
         with np.errstate(over="ignore"):
             up, down = self.powers(len(data))
             sums = np.concatenate([[np.uint64(0)], np.cumsum(self.values[data] * up)])
-            hashes = mixed((sums[ends] - sums[starts]) * down[starts])
-            first = np.searchsorted(starts, bounds)  # of each text's words
+            return mixed((sums[ends] - sums[starts]) * down[starts]), np.searchsorted(starts, bounds)
+
+    def runs(self, hashes: np.ndarray, n: int) -> np.ndarray:
+        """Hashes of every n consecutive word hashes."""
+        size = max(0, len(hashes) - n + 1)
+        with np.errstate(over="ignore"):
+            up, down = self.powers(len(hashes))
+            sums = np.concatenate([[np.uint64(0)], np.cumsum(hashes * up)])
+            return mixed((sums[len(sums) - size:] - sums[:size]) * down[:size])
+
+    def sets(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Sorted distinct shingle hashes of each text; a text of fewer words is one shingle, a text without words has none."""
+        if not any(texts):
+            return [np.zeros(0, dtype=np.uint64)] * len(texts)
+        hashes, first = self.words(texts)
+        with np.errstate(over="ignore"):
             runs = max(0, len(hashes) - WORDS + 1)
             total = np.zeros(runs, dtype=np.uint64)
             for k in range(WORDS):
