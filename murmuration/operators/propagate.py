@@ -96,12 +96,16 @@ def run_rounds(state: DataFrame, step: Callable[[DataFrame], DataFrame], rounds:
 
 
 def run_until(state: DataFrame, step: Callable[[DataFrame], DataFrame], measure: Column,
-              settled: Callable[[object], bool], per_job: int) -> DataFrame:
-    """Rounds until ``settled`` holds for an aggregate of the state, evaluated as each job stores its result."""
+              settled: Callable[[object], bool], per_job: int, most_per_job: int | None = None) -> DataFrame:
+    """Rounds until ``settled`` holds for an aggregate of the state, evaluated as each job stores its result.
+
+    With ``most_per_job`` every job makes twice the rounds of the one before, up to that number.
+    """
     before = None
     while True:
         for _ in range(per_job):
             state = step(state)
+        per_job = min(2 * per_job, most_per_job or per_job)
         state, seen = durable_with(state, measure=measure)
         discard(before)
         before = state

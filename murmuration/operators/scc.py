@@ -1,20 +1,23 @@
-"""Strongly connected components by trimming and colouring.
+"""Strongly connected components by trimming and colouring with random ranks.
 
-A pass first trims vertices without an in-link or without an out-link among those left: each is a component of its own.
-Then the lowest id that reaches a vertex becomes its colour, and the vertices that reach the vertex named by their
-colour form its component. Passes repeat on what is left.
+A pass first trims some rounds of vertices without an in-link or without an out-link among those left: each is a component
+of its own. Then every vertex gets a colour, the least random rank of a vertex that reaches it, and the vertices that
+reach the one whose rank is their colour form its component. A component lies within one colour, so links between colours are dropped:
+the colours of the next pass are found side by side. With new random ranks in each pass, a pass splits what is left into
+parts that are a constant factor smaller in expectation, so a chain of n components needs O(log n) passes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmuration.operators.graph import PropertyGraph
-from murmuration.operators.propagate import (MAX_ROWS_PER_NEIGHBOUR, prepare_links, run_until, self_links)
-from murmuration.session import durable, durable_with
+from murmuration.operators.propagate import MAX_ROWS_PER_NEIGHBOUR, prepare_links, run_until
+from murmuration.session import discard, durable, durable_with
 
-ROUNDS_PER_JOB = 6
+TRIM_ROUNDS = 3
+ROUNDS_PER_JOB, MOST_ROUNDS_PER_JOB = 4, 16
 OWN, FROM, TO = 0, 1, 2  # link to itself; the neighbour is the link's source; the neighbour is its target
 
 
@@ -32,69 +35,69 @@ def strongly_connected_components(graph: PropertyGraph, max_passes: int | None =
 
     With ``max_passes`` the search stops early and the vertices left over are labelled by their own id.
     """
-    left = durable(graph.vertices.select("id"))
     n = F.count(F.lit(1))
     links, seen = durable_with(_directed_links(graph.edges), n=n)
     found: list[DataFrame] = []
     passes = 0
+    own = F.col("way") == OWN
 
     def none(changed: int) -> bool:
         return changed == 0
 
     while seen["n"] and (max_passes is None or passes < max_passes):
         passes += 1
-        both = prepare_links(links, max_rows)
-        count = [-1]
+        ids = links.select("id").distinct()  # either end of a link is its id in one of the two directions
+        ring = prepare_links(links.unionByName(ids.select("id", F.col("id").alias("nbr"), F.lit(OWN).alias("way"))), max_rows)
 
+        def rank(vertex: str) -> Column:
+            # One number per id, so ranks are distinct. As text, the pass is not part of the generated code.
+            return F.xxhash64(F.lit(str(passes)), vertex)
+
+        # A state has a row per vertex left. Links to vertices that are gone give rows too, which have no link to themselves.
         def trim(kept: DataFrame) -> DataFrame:
-            met = both.gather(kept)
-            return (met.groupBy("id")
-                    .agg(F.max(F.col("way") == FROM).alias("has_in"), F.max(F.col("way") == TO).alias("has_out"))
-                    .where("has_in and has_out").select("id"))
-
-        def same_count(kept: int) -> bool:
-            before, count[0] = count[0], kept
-            return before == kept
-
-        core = run_until(left, trim, n, same_count, ROUNDS_PER_JOB)
-        both.release()
-        if count[0] == 0:
-            break
-        inner = (links.join(core, "id", "left_semi").join(core.withColumnRenamed("id", "nbr"), "nbr", "left_semi")
-                 .select("id", "nbr", "way"))
-        own = self_links(core).select("id", "nbr", F.lit(OWN).alias("way"))
-        ring = prepare_links(inner.unionByName(own), max_rows)
+            return (ring.gather(kept).groupBy("id")
+                    .agg(F.max(own).alias("left"), F.max(F.col("way") == FROM).alias("has_in"), F.max(F.col("way") == TO).alias("has_out"))
+                    .where("left and has_in and has_out").select("id"))
 
         def colour(state: DataFrame) -> DataFrame:
             met = ring.gather(state, f"way <> {TO}")
-            return met.groupBy("id").agg(F.min("colour").alias("colour"),
-                                         F.max(F.when(F.col("way") == OWN, F.col("colour"))).alias("before"))
+            return (met.groupBy("id").agg(F.min("colour").alias("colour"), F.max(F.when(own, F.col("colour"))).alias("before"))
+                    .where("before is not null"))
 
-        start = core.select("id", F.col("id").alias("colour"), F.lit(None).cast("long").alias("before"))
-        colours = run_until(start, colour, F.count_if(F.col("colour") != F.col("before")), none, ROUNDS_PER_JOB)
+        core = ids
+        for _ in range(TRIM_ROUNDS):
+            core = trim(core)
+        start = core.select("id", rank("id").alias("colour"), F.lit(None).cast("long").alias("before"))
+        colours = run_until(start, colour, F.count_if(F.col("colour") != F.col("before")), none, ROUNDS_PER_JOB, MOST_ROUNDS_PER_JOB)
 
         # A link goes from a colour to the same or a lower one, so a target of the same colour is a target of the
         # highest colour among those a vertex leads to.
         def reach_back(state: DataFrame) -> DataFrame:
             met = ring.gather(state, f"way <> {FROM}")
-            mine = F.max(F.when(F.col("way") == OWN, F.col("colour")))
+            mine = F.max(F.when(own, F.col("colour")))
             led_to = F.max(F.when((F.col("way") == TO) & F.col("reached"), F.col("colour")))
-            was = F.max(F.when(F.col("way") == OWN, F.col("reached")))
-            return met.groupBy("id").agg(mine.alias("colour"), was.alias("before"),
-                                         (was | F.coalesce(led_to == mine, F.lit(False))).alias("reached"))
-
-        start = colours.select("id", "colour", F.lit(False).alias("before"),
-                               (F.col("id") == F.col("colour")).alias("reached"))
-        done = run_until(start, reach_back, F.count_if(F.col("reached") != F.col("before")), none, ROUNDS_PER_JOB)
+            was = F.max(F.when(own, F.col("reached")))
+            return (met.groupBy("id").agg(mine.alias("colour"), was.alias("before"),
+                                          (was | F.coalesce(led_to == mine, F.lit(False))).alias("reached"))
+                    .where("before is not null"))
+
+        start = colours.select("id", "colour", F.lit(False).alias("before"), (rank("id") == F.col("colour")).alias("reached"))
+        done = run_until(start, reach_back, F.count_if(F.col("reached") != F.col("before")), none, ROUNDS_PER_JOB, MOST_ROUNDS_PER_JOB)
+        discard(colours)
         ring.release()
-        found.append(done.where("reached").select("id", F.col("colour").alias("component")))
-        left = durable(done.where("not reached").select("id"))
-        links, seen = durable_with(inner.join(left, "id", "left_semi")
-                        .join(left.withColumnRenamed("id", "nbr"), "nbr", "left_semi").select("id", "nbr", "way"), n=n)
+        found.append(done.where("reached").select("id", F.lit(passes).alias("pass"), "colour"))
+        left = durable(done.where("not reached").select("id", "colour"))
+        before = links
+        links, seen = durable_with(
+            links.join(left, "id").join(left.select(F.col("id").alias("nbr"), F.col("colour").alias("nbr_colour")), "nbr")
+            .where("colour = nbr_colour").select("id", "nbr", "way"), n=n)
+        discard(before)
     everyone = graph.vertices.select("id")
     if not found:
         return everyone.select("id", F.col("id").alias("component"))
-    labels = found[0]
+    members = found[0]
     for more in found[1:]:
-        labels = labels.unionByName(more)
+        members = members.unionByName(more)
+    lowest = durable(members.groupBy("pass", "colour").agg(F.min("id").alias("component")))
+    labels = members.join(lowest, ["pass", "colour"]).select("id", "component")
     return everyone.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))

@@ -10,6 +10,7 @@ from murmuration.operators.components import connected_components
 from murmuration.operators.kcore import kcore, kcore_stats, prune
 from murmuration.operators.labelprop import label_propagation
 from murmuration.operators.pagerank import pagerank
+from murmuration.operators import scc
 from murmuration.operators.scc import strongly_connected_components
 from murmuration.operators.triangles import triangle_count, triangle_total
 
@@ -82,6 +83,20 @@ def test_strong_components_match_mutual_reachability(spark):
     assert as_dict(strongly_connected_components(g.PropertyGraph(vertices, df))) == expected
 
 
+def test_chain_of_strong_components_needs_few_passes(spark, monkeypatch):
+    """64 rings of three, each linked to the next, with rising ids: lowest ids as colours would settle one ring a pass."""
+    edges = [(3 * r + i, 3 * r + (i + 1) % 3) for r in range(64) for i in range(3)] + [(3 * r, 3 * r + 3) for r in range(63)]
+    df = spark.createDataFrame([(a, b, "m") for a, b in edges], "src long, dst long, attr string")
+    vertices = g.endpoints(df).distinct().selectExpr("id", "string(id) as name")
+    graph, passes = g.PropertyGraph(vertices, df), []
+    prepare = scc.prepare_links
+    monkeypatch.setattr(scc, "prepare_links", lambda *args: passes.append(1) or prepare(*args))
+    assert as_dict(strongly_connected_components(graph)) == {i: i - i % 3 for i in range(192)}
+    assert len(passes) <= 12
+    few = as_dict(strongly_connected_components(graph, max_passes=1))
+    assert all(label in (i, i - i % 3) for i, label in few.items()) and len(set(few.values())) > 64
+
+
 def test_triangles(golden):
     counts = triangle_count(golden)
     assert as_dict(counts) == {IDS[name]: e[2] for name, e in EXPECTED.items()}
