@@ -208,10 +208,18 @@ def _meet(placed: DataFrame, tables: Tables) -> DataFrame:
     return met.select(F.least("c", "centre").alias("a"), F.greatest("c", "centre").alias("b")).distinct()
 
 
-def _near_enough(own_a: str, own_b: str, n_a: str, n_b: str, least: Column) -> Column:
-    """No lower bound of a distance rules out a link: own hashes of both, and ``least``."""
-    most = F.floor((F.col(n_a) + F.col(n_b)) / 9)
-    return (F.col(own_a) + F.col(own_b) <= most) & (least <= most)
+def _least_distance(own_a: Column, own_b: Column, plus_a: Column, minus_a: Column, plus_b: Column, minus_b: Column) -> Column:
+    """Lower bound of the distance of two sets that are known by what they add to a third set and miss of it.
+
+    The distance is that of the added parts and that of the missing parts. The added parts hold the own hashes of
+    both, and each distance is at least the difference of the sizes.
+    """
+    return F.greatest(own_a + own_b, F.abs(plus_a - plus_b)) + F.abs(minus_a - minus_b)
+
+
+def _parts_of(d: Column, n: Column, n_centre: Column) -> tuple[Column, Column]:
+    """How many hashes a set of n at distance d of its centre adds to it and misses of it."""
+    return F.floor((d + n - n_centre) / 2), F.floor((d - n + n_centre) / 2)
 
 
 def _apart(near: DataFrame, sets: DataFrame, links: DataFrame, tables: Tables, name: str) -> DataFrame:
@@ -233,11 +241,14 @@ def _member_links(near: DataFrame, members: DataFrame, sets: DataFrame, links: D
     if near.isEmpty():
         return links
     kinds = tables.put("kinds", members.groupBy("centre", "d", "own", "n").agg(F.count(F.lit(1)).alias("size")).drop("size"))
-    far = sets.select(F.col("id").alias("far"), F.col("n").alias("n_far"), F.col("own").alias("own_far"))
-    both = near.select("inter", "d_ab", F.col("a").alias("centre"), F.col("b").alias("far")).unionByName(
-        near.select("inter", "d_ab", F.col("b").alias("centre"), F.col("a").alias("far"))).join(far, "far")
-    asked = both.join(kinds, "centre").where(_near_enough("own", "own_far", "n", "n_far", F.col("d_ab") - F.col("d")))
-    asked = tables.put("asked", asked.select("centre", "far", "inter", "n_far", "d", "own", "n").join(members, ["centre", "d", "own", "n"]))
+    other = sets.select(F.col("id").alias("far"), F.col("own").alias("own_far"))
+    both = near.select("inter", "n_a", "n_b", F.col("a").alias("centre"), F.col("b").alias("far")).unionByName(
+        near.select("inter", F.col("n_b").alias("n_a"), F.col("n_a").alias("n_b"), F.col("b").alias("centre"), F.col("a").alias("far")))
+    plus, minus = _parts_of(F.col("d"), F.col("n"), F.col("n_a"))
+    least = _least_distance(F.col("own"), F.col("own_far"), plus, minus, F.col("n_b") - F.col("inter"), F.col("n_a") - F.col("inter"))
+    asked = both.join(other, "far").join(kinds, "centre").where(least <= F.floor((F.col("n") + F.col("n_b")) / 9))
+    asked = tables.put("asked", asked.select("centre", "far", "inter", F.col("n_b").alias("n_far"), "d", "own", "n")
+                       .join(members, ["centre", "d", "own", "n"]))
     differences = (asked.select("id", "centre").distinct()
                    .join(sets.select("id", F.col("hashes").alias("mine")), "id")
                    .join(sets.select(F.col("id").alias("centre"), "hashes"), "centre")
@@ -251,8 +262,16 @@ def _member_links(near: DataFrame, members: DataFrame, sets: DataFrame, links: D
     apart = _apart(near, sets, links, tables, "open")
     left = kinds.select(F.col("centre").alias("a"), *[F.col(c).alias(f"{c}_x") for c in ("d", "own", "n")])
     right = kinds.select(F.col("centre").alias("b"), *[F.col(c).alias(f"{c}_y") for c in ("d", "own", "n")])
-    met = tables.put("met", apart.join(left, "a").join(right, "b").where(
-        _near_enough("own_x", "own_y", "n_x", "n_y", F.col("d_ab") - F.col("d_x") - F.col("d_y"))).drop("inter", "d_ab"))
+    # x, a member of a, is at least so far from b; what y, a member of b, has in common with it is bounded by that.
+    plus_x, minus_x = _parts_of(F.col("d_x"), F.col("n_x"), F.col("n_a"))
+    from_b = F.greatest(F.col("d_ab") - F.col("d_x"), _least_distance(
+        F.col("own_x"), F.col("own_b"), plus_x, minus_x, F.col("n_b") - F.col("inter"), F.col("n_a") - F.col("inter")))
+    plus_xb, minus_xb = _parts_of(from_b, F.col("n_x"), F.col("n_b"))
+    plus_y, minus_y = _parts_of(F.col("d_y"), F.col("n_y"), F.col("n_b"))
+    least = (F.greatest(F.col("own_x") + F.col("own_y"), plus_xb - plus_y) + F.greatest(F.lit(0), minus_xb - minus_y))
+    own_b = sets.select(F.col("id").alias("b"), F.col("own").alias("own_b"))
+    met = apart.join(own_b, "b").join(left, "a").join(right, "b").where(least <= F.floor((F.col("n_x") + F.col("n_y")) / 9))
+    met = tables.put("met", met.select("a", "b", *[f"{c}_{side}" for side in "xy" for c in ("d", "own", "n")]))
     if met.isEmpty():
         return links
     x = members.select(F.col("id").alias("x"), F.col("centre").alias("a"), *[F.col(c).alias(f"{c}_x") for c in ("d", "own", "n")])
@@ -297,7 +316,7 @@ def _grouped(docs: DataFrame, tables: Tables) -> DataFrame:
             .join(radius.select(F.col("centre").alias("a"), F.col("r").alias("r_a")), "a", "left")
             .join(radius.select(F.col("centre").alias("b"), F.col("r").alias("r_b")), "b", "left")
             .where((reach > 0) & (distance() <= reach + F.floor((F.col("n_a") + F.col("n_b") + reach) / 9)))
-            .select("a", "b", "inter", distance().alias("d_ab")))
+            .select("a", "b", "inter", "n_a", "n_b", distance().alias("d_ab")))
     near = tables.put("near", near)
     tables.drop("compared", "radius")
     if not near.isEmpty():
