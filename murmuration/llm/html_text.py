@@ -49,6 +49,11 @@ LEFT_OUT_NAMES |= {f"{a}-{b}" for a, bs in {
     "sidebar": "left right primary secondary widget", "disqus": "thread", "modal popup": "overlay dialog window",
 }.items() for a in a.split() for b in bs.split()}
 
+# A name whose first or last part is one of these is that of reader comments, unless it only says whether there are any.
+COMMENT_WORDS = set("comment comments commentlist commentary discussion discussions disqus feedback replies reply respond "
+                    "responses talkback".split())
+NOT_COMMENTS = set("closed count disabled enabled free no off on open without".split())
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+[^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -58,25 +63,34 @@ _NUMBER = re.compile(r"-?[0-9]+\Z")
 
 class Node:
     __slots__ = ("tag", "parent", "children", "parts", "chars", "tags", "link_chars", "link_tags", "density", "sum", "skip",
-                 "aside")
+                 "aside", "inside", "talk")
 
     def __init__(self, tag: str, parent: "Node | None", skip: bool) -> None:
         self.tag, self.parent, self.skip, self.aside = tag, parent, skip, 0
+        self.inside = parent is not None and (parent.inside or parent.tag in ARTICLES)  # of an article or main element
+        self.talk = parent is not None and parent.talk  # among reader comments
         self.children: list[Node] = []
         self.parts: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
 
 
-NO_TEXT, BY_NAME, BY_TAG = 3, 2, 1
+ARTICLES = ("article", "main")
+NO_TEXT, COMMENTS, BY_NAME, BY_TAG = 4, 3, 2, 1
+
+
+def _is_comments(name: str) -> bool:
+    parts = name.split("-")
+    return not COMMENT_WORDS.isdisjoint((parts[0], parts[-1])) and NOT_COMMENTS.isdisjoint(parts)
 
 
 def _left_out(tag: str, attributes: str, inside_article: bool) -> int:
-    """Whether an element is never text (``NO_TEXT``), left out by name, role or as a form (``BY_NAME``), or by its tag."""
+    """Whether an element is never text (``NO_TEXT``), holds reader comments, is left out by name, role or as a form
+    (``BY_NAME``), or by its tag."""
     if tag in LEFT_OUT:
         return NO_TEXT
     found = BY_NAME if tag == "form" else BY_TAG if tag in ASIDE or tag == "header" and not inside_article else 0
-    if not attributes or tag in ("html", "body", "article", "main"):
+    if not attributes or tag in ("html", "body"):
         return found
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
@@ -84,26 +98,50 @@ def _left_out(tag: str, attributes: str, inside_article: bool) -> int:
             return NO_TEXT
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return NO_TEXT
-        if found:
-            continue
-        if key == "role" and value.lower() in LEFT_OUT_ROLES:
-            found = BY_NAME
-        if key in ("class", "id") and not LEFT_OUT_NAMES.isdisjoint(
-                _NUMBER.sub("", _CAMEL.sub("-", name).lower()) for name in value.split()):
+        if key in ("class", "id"):
+            names = [_NUMBER.sub("", _CAMEL.sub("-", name).lower()) for name in value.split()]
+            if any(map(_is_comments, names)):
+                found = COMMENTS
+            elif found < BY_NAME and tag not in ARTICLES and not LEFT_OUT_NAMES.isdisjoint(names):
+                found = BY_NAME
+        elif key == "role" and found < BY_NAME and tag not in ARTICLES and value.lower() in LEFT_OUT_ROLES:
             found = BY_NAME
     return found
 
 
+class _Open:
+    """The open elements, outermost first, and where those of each tag are."""
+
+    def __init__(self, root: Node) -> None:
+        self.nodes, self.places = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def last(self, tags) -> int:
+        """Place of the innermost open element with one of the tags; 0 if there is none."""
+        return max((self.places[tag][-1] for tag in tags if self.places.get(tag)), default=0)
+
+    def close(self, place: int) -> None:
+        for node in self.nodes[place:]:
+            self.places[node.tag].pop()
+        del self.nodes[place:]
+
+
 def parse(page: str) -> Node:
     """The tree of a page, its end tags completed as browsers do; what is not main text is marked to be skipped."""
     root = Node("html", None, False)
-    stack, at = [root], 0
+    open_, at, last_end = _Open(root), 0, page.rfind(">")
 
     def text(upto: int) -> None:
         if upto > at:
-            stack[-1].parts.append(page[at:upto])
+            open_.nodes[-1].parts.append(page[at:upto])
 
-    while match := _TOKEN.search(page, at):
+    while at <= last_end or page.startswith("<!--", page.find("<", at)):  # behind the last end of a tag there is only text
+        match = _TOKEN.search(page, at)
+        if match is None:
+            break
         text(match.start())
         at = match.end()
         closing, tag, attributes = match.group(1), match.group(2), match.group(3)
@@ -111,32 +149,27 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            if place := open_.last((tag,)):
+                open_.close(place)
             continue
         closed = CLOSED_BY_SAME.get(tag, set()) | ({"p"} if tag in CLOSES_P else set())
         bound = SCOPES.get(tag, set()) | {"table", "td", "th", "button", "article", "body"} - closed
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in closed:
-                del stack[i:]
-                break
-            if stack[i].tag in bound:
-                break
-        parent = stack[-1]
-        left_out = _left_out(tag, attributes, any(n.tag in ("article", "main") for n in stack))
-        node = Node(tag, parent, parent.skip or left_out == NO_TEXT)
-        node.aside = left_out
+        place = open_.last(closed)
+        if place and place > open_.last(bound):
+            open_.close(place)
+        parent = open_.nodes[-1]
+        node = Node(tag, parent, parent.skip)
+        node.aside = _left_out(tag, attributes, node.inside)
+        node.skip, node.talk = node.skip or node.aside == NO_TEXT, node.talk or node.aside == COMMENTS
         parent.children.append(node)
         parent.parts.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>|\Z", re.I).search(page, at)
+            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at) if at <= last_end else None
             if tag in ("title", "textarea"):
-                node.parts.append(page[at:end.start()])
-            at = end.end()
+                node.parts.append(page[at:end.start() if end else len(page)])
+            at = end.end() if end else len(page)
         elif tag not in VOID and not attributes.endswith("/"):
-            stack.append(node)
+            open_.push(node)
     text(len(page))
     _skip_asides(root)
     return root
@@ -166,46 +199,48 @@ def _count(order: list[Node]) -> None:
             node.link_chars, node.link_tags = node.chars, node.link_tags + 1
 
 
+def _unlinked(node: Node) -> int:
+    return node.chars - node.link_chars
+
+
 def _skip_asides(root: Node) -> None:
     """Skip what is beside the main text by name, role or tag, but never what holds it.
 
     An element is not skipped if it holds an article or main element, unless one outside it has more text beside it; nor,
     if its name or role is all that speaks against it, if it has most of the page's unlinked characters, unless such an
-    element elsewhere has text.
+    element elsewhere has text. Articles among reader comments are comments, if there is any other; comments inside an
+    article with text of its own are left out however long they are.
+
+    Two passes: the largest article inside every node, children first; then, parents first, the largest one outside.
     """
     order = _post_order(root)
     if not any(node.aside for node in order):
         return
     _count(order)
-
-    def unlinked(node: Node) -> int:
-        return node.chars - node.link_chars
-
-    articles = [node for node in order if node.tag in ("article", "main") and unlinked(node) > 0]
-    todo = [root]
+    articles = [node for node in order if node.tag in ARTICLES and _unlinked(node) > 0]
+    proper = {id(node) for node in articles if not node.talk} or {id(node) for node in articles}
+    inside: dict[int, int] = {}
+    for node in order:
+        own = _unlinked(node) if id(node) in proper else 0
+        inside[id(node)] = max([own, *(inside[id(child)] for child in node.children if not child.skip)])
+    todo = [(root, 0, 0)]  # with the most text of an article that is neither inside nor above, and of one above
     while todo:
-        node = todo.pop()
+        node, elsewhere, above = todo.pop()
         if node.aside:
-            above = set()
-            at = node.parent
-            while at is not None:
-                above.add(id(at))
-                at = at.parent
-            within = elsewhere = beside = 0
-            inside = {id(n) for n in _post_order(node)} if articles else ()
-            for article in articles:
-                if id(article) in inside:
-                    within = max(within, unlinked(article))
-                elif id(article) in above:
-                    beside = max(beside, unlinked(article) - unlinked(node))
-                else:
-                    elsewhere = max(elsewhere, unlinked(article))
+            within, beside = inside[id(node)], max(0, above - _unlinked(node))
             holds = within and within >= max(elsewhere, beside)
-            most = node.aside == BY_NAME and not elsewhere and 2 * unlinked(node) > unlinked(root)
-            if not holds and not most:
+            most = node.aside in (BY_NAME, COMMENTS) and not elsewhere and 2 * _unlinked(node) > _unlinked(root)
+            if not holds and (not most or node.aside == COMMENTS and beside):
                 node.skip = True
                 continue
-        todo.extend(child for child in node.children if not child.skip)
+        if id(node) in proper:
+            above = max(above, _unlinked(node))
+        children = [child for child in node.children if not child.skip]
+        most_first = sorted((inside[id(child)] for child in children), reverse=True)[:2]
+        for child in children:
+            own = inside[id(child)]
+            beside_child = most_first[1] if own == most_first[0] and len(most_first) > 1 else most_first[0] if own != most_first[0] else 0
+            todo.append((child, max(elsewhere, beside_child), above))
 
 
 def _density(root: Node, chars: float, tags: float, link_chars: float, link_tags: float) -> float:
@@ -298,6 +333,16 @@ def main_node(root: Node) -> Node:
     """
     order = weigh(root)
     best = max(reversed(order), key=lambda node: node.sum)  # the outermost and first of equals
+    articles = [node for node in order if node.tag in ARTICLES]
+    largest = max(articles, key=_unlinked, default=None)
+    if largest is not None and 5 * _unlinked(largest) >= _unlinked(best) and _unlinked(largest) > 0:
+        # With an article, the main text is in one or holds one. A teaser much smaller than another block is no article.
+        holding = set()
+        for node in articles:
+            while node is not None and id(node) not in holding:
+                holding.add(id(node))
+                node = node.parent
+        best = max((node for node in reversed(order) if node.inside or id(node) in holding), key=lambda node: node.sum)
     path = [best]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
@@ -354,7 +399,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of every row of ``pages(page_id, url, html)``, from its whole html.
 
     ``text`` is the article: its blocks in page order, each with white space collapsed, joined by line feeds. Menus,
-    headers, footers, sidebars, notices, adverts, forms and comments that their tag, role or a whole class name or id tells
+    headers, footers, sidebars, notices, adverts, forms and comments that their tag, role or a class name or id tells
     are left out unless they hold the main text, scripts, styles and hidden elements always. ``n_chars`` counts code points. A null or empty html, or one without text, gives an empty text; null ids and urls stay null. Repeated
     rows give repeated rows, no rows give none. Pages are independent: nothing is shuffled.
     """

@@ -2,6 +2,7 @@ import html
 import random
 import re
 import sys
+import time
 import zlib
 from collections import Counter
 
@@ -75,6 +76,38 @@ def test_sibling_blocks_under_the_body():
     assert main_text(page) == "\n".join(["Title", *lines("First", 5), "Part two", "Short.", *lines("Second", 4)])
 
 
+def test_reader_comments_are_no_article():
+    text = "".join(f"<p>Paragraph {i} of the article, with a good many words.</p>" for i in range(6))
+    lines = "\n".join(f"Paragraph {i} of the article, with a good many words." for i in range(6))
+    for n in (2, 8, 13, 60):
+        talk = "".join(f"<p>Reader {i} says that this is so, and says it at some length.</p>" for i in range(n))
+        for name in ("class=user-comments", "id='reader-feedback'", "class='discussion'", "id=commentsBlock", "class='post__comments'",
+                     "class='comment-body'", "id='article-responses-2'"):
+            for block in (f"<div {name}>{talk}</div>", f"<section {name}><article>{talk}</article></section>",
+                          f"<article {name}>{talk}</article>"):
+                for page in (f"<article>{text}</article>{block}", f"{block}<main>{text}</main>", f"<article>{text}{block}</article>",
+                             f"<div><article>{text}</article></div><div>{block}</div>"):
+                    assert main_text(f"<html><body>{page}</body></html>") == lines
+        if n < 30:  # a block of unknown name after the article
+            assert main_text(f"<body><article>{text}</article><div class='xyz'>{talk}</div></body>") == lines
+    assert main_text(f"<body><div class='comments-enabled'><article>{text}</article></div></body>") == lines
+    assert main_text(f"<body><div class='comments'><article>{text}</article></div><p>Imprint</p></body>") == lines
+
+
+def test_large_pages_take_linear_time():
+    n, start = 100_000, time.time()
+    assert main_text("<div>" * n + "deep") == "deep"
+    assert main_text("<b>" * n + "deep" + "</i>" * n) == "deep"
+    assert main_text("<p><button>" + "<div>" * n + "deep") == ""
+    assert main_text("text" + "<a " * n) == "text" + "".join(["<a "] * n).strip()
+    assert len(main_text("<script></script" * n)) < 20
+    assert main_text("<article>" + "<div class=sidebar>" * n + "x" * 50) == "x" * 50
+    assert main_text("<article>words" + "<div class=sidebar>x</div>" * n) == "words"
+    assert main_text("<ul>" + "<li>a" * n).count("a") == n
+    assert main_text("<!-- " * n) == "" and main_text("<p>" + "'\"<" * n).startswith("'")
+    assert time.time() - start < 60
+
+
 def test_odd_pages(spark):
     deep = "<div>" * 3000 + "deep"
     rows = [(1, "u", None), (2, None, ""), (None, "u", "plain &lt; text"), (4, "u", deep), (5, "u", "<p>a<p>b"),
