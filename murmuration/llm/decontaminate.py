@@ -9,12 +9,15 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from murmuration.llm.common import Tables
 from murmuration.llm.worker import kept, shared
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have the package
 
 SCHEMA = "doc_id long, item_id long, distance int, start long, end long"
+BLOCK_CHARS = 1 << 20  # of items that a worker holds at once
 _SPACE = re.compile(r"\s+")
 
 
@@ -159,22 +162,39 @@ def prefix_end(masks: dict[str, int], length: int, text: str, distance: int) ->
     return len(text)
 
 
+def _blocks(benchmark: DataFrame, error_rate: float):
+    """The items' patterns, in blocks of about ``BLOCK_CHARS`` characters; items of one id are in one block."""
+    items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), "text").where("text is not null").distinct()
+    blocks = -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS)
+    for block in range(blocks):
+        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()  # bounded by the block
+        found = {(p.item_id, p.text): p for p in (pattern_of(r["item_id"], r["text"], error_rate) for r in rows) if p}
+        if found:
+            yield sorted(found.values(), key=lambda p: (str(p.item_id), p.text))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.08) -> DataFrame:
     """``SCHEMA``: one row per row of ``docs(doc_id, text)`` and item of ``benchmark(item_id, text)`` found in it.
 
     An item is found where some substring of the whole text, both in normal form, is within ``error_rate`` times the
     item's length of it in edits. Rows give the nearest such substring (the first of equals) and its offsets in the
-    normal form. The items, a test set, are broadcast: their number does not depend on the documents'.
+    normal form. Items are broadcast in blocks of bounded size, one pass over the documents per block.
 
     Nulls: null and blank items match nothing, null texts have no matches, and a null ``doc_id`` stays null. Items that
     repeat an id and a normal form count once; different texts under one id are found each. Repeated documents are
     reported each. Empty tables give no rows.
     """
-    rows = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), "text").distinct().collect()  # a test set
-    found = {(p.item_id, p.text): p for p in (pattern_of(r["item_id"], r["text"] or "", error_rate) for r in rows) if p}
-    patterns = sorted(found.values(), key=lambda p: (str(p.item_id), p.text))
-    opened, name = shared(docs.sparkSession, patterns)
+    tables = Tables(docs.sparkSession)
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
+    found = None
+    for number, patterns in enumerate(_blocks(benchmark, error_rate)):
+        opened, name = shared(docs.sparkSession, patterns)
+        part = tables.put(f"block{number}", rows.mapInArrow(_search(opened, name), SCHEMA))
+        found = part if found is None else found.unionByName(part)
+    return docs.sparkSession.createDataFrame([], SCHEMA) if found is None else found
 
+
+def _search(opened, name: str):
     def search(batches):
         matcher = kept(name, "matcher", lambda: Matcher(opened()))
         for batch in batches:
@@ -187,23 +207,30 @@ def leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.08) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds)],
                                                  names=[field.split()[0] for field in SCHEMA.split(", ")])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(search, SCHEMA)
-
-
-def clean_documents(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.08) -> DataFrame:
-    """The rows of ``docs`` in whose text no item is found, with all their columns; a null ``doc_id`` is kept if clean.
+    return search
 
-    The text is searched where the row is: no row is shuffled and nothing is joined.
-    """
-    rows = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), "text").distinct().collect()  # a test set
-    patterns = [p for p in (pattern_of(r["item_id"], r["text"] or "", error_rate) for r in rows) if p]
-    opened, name = shared(docs.sparkSession, patterns)
-    at = docs.columns.index("text")
 
+def _filter(opened, name: str, at: int):
     def search(batches):
         matcher = kept(name, "matcher", lambda: Matcher(opened()))
         for batch in batches:
             clean = [not (text and matcher.matches(text)) for text in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(clean, type=pa.bool_()))
 
-    return docs.mapInArrow(search, docs.schema)
+    return search
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.08) -> DataFrame:
+    """The rows of ``docs`` in whose text no item is found, with all their columns; a null ``doc_id`` is kept if clean.
+
+    The text is searched where the row is: no row is shuffled and nothing is joined. What one block of items leaves is
+    stored, and the next block searches that.
+    """
+    tables, at = Tables(docs.sparkSession), docs.columns.index("text")
+    for number, patterns in enumerate(_blocks(benchmark, error_rate)):
+        if number:
+            docs = tables.put(f"clean{number}", docs)
+            tables.drop(f"clean{number - 1}")
+        opened, name = shared(docs.sparkSession, patterns)
+        docs = docs.mapInArrow(_filter(opened, name, at), docs.schema)
+    return docs

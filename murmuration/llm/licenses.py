@@ -221,24 +221,24 @@ def license_scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     ``license_id`` is the licence whose entire text the document is; ``line_licenses`` are those of which a single line
     is the entire known text or notice (sorted, distinct), and ``n_lines`` how many lines are such. Nothing is matched in part.
 
-    Nulls: a null text is empty and matches nothing, as does a text without words. Rows that repeat a ``doc_id`` share
-    the lines found under it. No rows give no rows.
+    Nulls: a null text is empty and matches nothing, as does a text without words. Rows that repeat a ``doc_id``, or have
+    none, are answered each by their own text. No rows give no rows.
     """
     rows = with_canonical_lines(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     rows = rows.withColumn("whole", canonical_text("lines"))
     # Texts are brought to their form once; what follows reads the digests.
     rows = Tables(docs.sparkSession).put("digests", rows.select(
-        "doc_id", F.sha2("whole", 256).alias("text_digest"), (F.col("whole") != "").alias("full"),
+        F.monotonically_increasing_id().alias("row"), "doc_id", F.sha2("whole", 256).alias("text_digest"), (F.col("whole") != "").alias("full"),
         F.transform(F.split("lines", "\n"), lambda line: F.unhex(F.sha2(F.trim(line), 256))).alias("lines")))
     known = F.broadcast(known)  # as many rows as known texts
     whole = (rows.join(known, F.col("full") & (F.col("text_digest") == F.col("digest")), "left")
-             .select("doc_id", "text_digest", "license_id"))
-    lines = rows.where("full").select("doc_id", F.explode("lines").alias("line"))
+             .select("row", "doc_id", "text_digest", "license_id"))
+    lines = rows.where("full").select("row", F.explode("lines").alias("line"))
     found = (lines.join(known, F.col("line") == F.unhex("digest"))
-             .groupBy("doc_id", "license_id").agg(F.count(F.lit(1)).alias("n"))
-             .groupBy("doc_id").agg(F.sort_array(F.collect_list("license_id")).alias("line_licenses"),
+             .groupBy("row", "license_id").agg(F.count(F.lit(1)).alias("n"))
+             .groupBy("row").agg(F.sort_array(F.collect_list("license_id")).alias("line_licenses"),
                                     F.sum("n").alias("n_lines")))  # at most one entry per known licence
-    return (whole.join(found, "doc_id", "left")
+    return (whole.join(found, "row", "left")
             .select("doc_id", "text_digest", "license_id",
                     F.coalesce("line_licenses", F.array().cast("array<string>")).alias("line_licenses"),
                     F.coalesce("n_lines", F.lit(0).cast("long")).alias("n_lines")))

@@ -86,14 +86,14 @@ def _whole_sql(lines: str) -> str:
 OP9_SQL = f"""
 with texts(license_id, text) as (values {", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in KNOWN_LICENSES)}),
 known as (select {_whole_sql(_canonical_sql("text"))} as canon, min(license_id) as license_id from texts group by 1),
-docs as (select doc_id, {_canonical_sql("coalesce(text, '')")} as lines from documents),
-whole as (select doc_id, lines, {_whole_sql("lines")} as canon from docs),
-pieces as (select doc_id, unnest(string_split(lines, chr(10))) as line from whole where canon <> ''),
-hits as (select doc_id, license_id, count(*) as n from pieces join known on trim(line) = known.canon group by 1, 2),
-found as (select doc_id, list_sort(list(license_id)) as line_licenses, sum(n) as n_lines from hits group by 1)
+docs as (select row_number() over () as r, doc_id, {_canonical_sql("coalesce(text, '')")} as lines from documents),
+whole as (select r, doc_id, lines, {_whole_sql("lines")} as canon from docs),
+pieces as (select r, unnest(string_split(lines, chr(10))) as line from whole where canon <> ''),
+hits as (select r, license_id, count(*) as n from pieces join known on trim(line) = known.canon group by 1, 2),
+found as (select r, list_sort(list(license_id)) as line_licenses, sum(n) as n_lines from hits group by 1)
 select w.doc_id, sha256(w.canon) as text_digest, known.license_id,
        coalesce(found.line_licenses, []::varchar[]) as line_licenses, cast(coalesce(found.n_lines, 0) as bigint) as n_lines
-from whole w left join known on w.canon = known.canon and w.canon <> '' left join found on found.doc_id = w.doc_id
+from whole w left join known on w.canon = known.canon and w.canon <> '' left join found on found.r = w.r
 """
 
 

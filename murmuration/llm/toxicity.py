@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import sys
+import unicodedata
 import zlib
 from dataclasses import dataclass
 
@@ -17,7 +18,16 @@ from murmuration.llm.worker import Recent, kept, shared
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have the package
 
-WORD = re.compile(r"\w+")
+
+def marks() -> str:
+    """Ranges of the combining characters, for a class of a pattern."""
+    codes = [code for code in range(0x300, 0x1F000) if unicodedata.category(chr(code)).startswith("M")]
+    starts = [code for i, code in enumerate(codes) if not i or codes[i - 1] != code - 1]
+    ends = [code for i, code in enumerate(codes) if i + 1 == len(codes) or codes[i + 1] != code + 1]
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends))
+
+
+WORD = re.compile(rf"(?:\w|[{marks()}])+")
 CACHED_BYTES = 24 << 20  # of words and their numbers in a worker
 
 

@@ -124,6 +124,13 @@ def test_licenses(spark, docs):
     assert license_scan(docs.limit(0), known_digests(spark)).count() == 0
 
 
+def test_licenses_of_rows_that_share_an_id(spark):
+    rows = [(1, "bar baz"), (1, "Licensed under the MIT License."), (None, "Licensed under the MIT License."), (None, "foo")]
+    got = license_scan(spark.createDataFrame(rows, "doc_id long, text string"), known_digests(spark)).collect()
+    assert sorted((str(r.doc_id), r.line_licenses, r.n_lines) for r in got) == [
+        ("1", [], 0), ("1", ["MIT"], 1), ("None", [], 0), ("None", ["MIT"], 1)]
+
+
 def test_common_licenses_and_notices(spark):
     folder = os.path.join(os.path.dirname(licenses.__file__), "license_texts")
     texts = {name: open(os.path.join(folder, name), encoding="utf-8").read() for name in os.listdir(folder)}

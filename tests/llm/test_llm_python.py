@@ -363,6 +363,15 @@ def test_leaks(spark, sf):
     assert exact <= got and len(got) <= len(exact) + 2
 
 
+def test_items_in_blocks(spark, sf, monkeypatch):
+    docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    whole = sorted(map(tuple, decontaminate.leaks(docs, items).collect()))
+    clean = {r.doc_id for r in decontaminate.clean_documents(docs, items).select("doc_id").collect()}
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 2000)
+    assert sorted(map(tuple, decontaminate.leaks(docs, items).collect())) == whole and whole
+    assert {r.doc_id for r in decontaminate.clean_documents(docs, items).select("doc_id").collect()} == clean
+
+
 def test_leaks_odd_rows(spark):
     items = spark.createDataFrame([(1, "The  quick brown fox jumps"), (2, None), (3, " "), (1, "the quick brown fox jumps")],
                                   "item_id long, text string")
