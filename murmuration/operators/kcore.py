@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from murmuration.operators.graph import PropertyGraph, degrees, induced_subgraph
-from murmuration.operators.propagate import MAX_ROWS_PER_NEIGHBOUR, both_ways, prepare_links
+from murmuration.operators.propagate import MAX_ROWS_PER_NEIGHBOUR, both_ways, prepare_links, run_until, self_links
 from murmuration.session import discard, durable_with
 
-ROUNDS_PER_JOB = 4
+ROUNDS_PER_JOB, MOST_ROUNDS_PER_JOB = 4, 16
 
 
 def kcore_ids(edges: DataFrame, k: int, max_rows: int = MAX_ROWS_PER_NEIGHBOUR) -> DataFrame:
@@ -48,6 +49,34 @@ def kcore_ids(edges: DataFrame, k: int, max_rows: int = MAX_ROWS_PER_NEIGHBOUR)
     return alive
 
 
+def core_numbers(edges: DataFrame, bounds: DataFrame | None = None, max_rows: int = MAX_ROWS_PER_NEIGHBOUR) -> DataFrame:
+    """``id, core`` of every vertex with an edge: the largest k whose k-core has it, for all k in one loop.
+
+    Every vertex starts with its degree, or less where ``bounds(id, bound)`` says so, and takes the h-index of its
+    neighbours' numbers until none falls: the largest h such that neighbours of at least h have h edge ends to it. A
+    vertex's neighbours are summed up per number first, and no vertex meets more than sqrt(2 x edges) different ones.
+    ``bounds`` must not lie below the result; vertices that it lacks have none.
+    """
+    pairs = both_ways(edges)
+    own = pairs.select("id").distinct()
+    links = prepare_links(pairs.unionByName(self_links(own)), max_rows)
+    start = links.rows.groupBy("id").agg(F.sum("w").alias("core"))
+    if bounds is not None:
+        start = start.join(bounds, "id", "left").select("id", F.least("core", F.coalesce("bound", "core")).alias("core"))
+
+    def settle(state: DataFrame) -> DataFrame:
+        met = links.gather(state.select("id", "core"))
+        by_number = met.groupBy("id", "core").agg(F.sum("w").alias("w"), F.max(F.when(F.col("w") == 0, F.col("core"))).alias("own"))
+        falling = Window.partitionBy("id").orderBy(F.desc("core"))
+        reached = by_number.select("id", "own", F.least(F.col("core"), F.sum("w").over(falling)).alias("h"))
+        return reached.groupBy("id").agg(F.least(F.max("h"), F.max("own")).alias("core"), F.max("own").alias("before"))
+
+    numbers = run_until(start, settle, F.count_if(F.col("core") != F.col("before")), lambda changed: changed == 0,
+                        ROUNDS_PER_JOB, MOST_ROUNDS_PER_JOB)
+    links.release()
+    return numbers.select("id", "core")
+
+
 def kcore(graph: PropertyGraph, k: int, max_rows: int = MAX_ROWS_PER_NEIGHBOUR) -> PropertyGraph:
     """The k-core as a graph with names. Vertices without edges belong to it for k = 0 only."""
     if k <= 0:

@@ -152,11 +152,6 @@ def cosine_arrays(cosines: DataFrame, com_ids: DataFrame, n_topics: int) -> Data
             .select("com_id", F.when(F.col("found").isNull(), nothing).otherwise(filled).alias("cosines")))
 
 
-def score_communities(edges: DataFrame, cosines: DataFrame) -> DataFrame:
-    """Community rows: every edge of ``community_edges`` with its community's scores."""
-    return edges.join(cosines, "com_id").select("nbv", "com_id", "src", "dst", "attr", "cosines")
-
-
 def topic_model(words: DataFrame, optimizer: str = "em", k: int = N_TOPICS, iterations: int | None = None,
                 drop_most_frequent: int = 0, n_words: int = WORDS_PER_TOPIC) -> DataFrame:
     """Topics of a corpus: vocabulary, vectors, fit and description in one call.
@@ -164,8 +159,17 @@ def topic_model(words: DataFrame, optimizer: str = "em", k: int = N_TOPICS, iter
     The texts are read once; the vocabulary and the vectors both come from the stored counts per document.
     """
     counts = durable(doc_term_counts(words))
-    terms = vocabulary(counts, drop_most_frequent)
+    return topic_model_of_counts(counts, counts, optimizer, k, iterations, drop_most_frequent, n_words)
+
+
+def topic_model_of_counts(counts: DataFrame, term_totals: DataFrame, optimizer: str = "em", k: int = N_TOPICS,
+                          iterations: int | None = None, drop_most_frequent: int = 0, n_words: int = WORDS_PER_TOPIC) -> DataFrame:
+    """``topic_model`` of a corpus that is kept as ``counts(doc_id, term, cnt)`` and ``term_totals(term, cnt)``.
+
+    Totals of several periods add up, so the vocabulary is made of one row per term and period, not of tokens.
+    """
+    terms = durable(vocabulary(term_totals, drop_most_frequent))
     vectors = term_vectors(counts, terms)
     if vectors.isEmpty():
-        return words.sparkSession.createDataFrame([], "n_topic int, position int, term string, weight double")
+        return counts.sparkSession.createDataFrame([], "n_topic int, position int, term string, weight double")
     return describe_topics(fit_topics(vectors, optimizer, k, iterations), terms, n_words)

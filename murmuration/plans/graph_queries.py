@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from murmuration.operators import community as c
 from murmuration.operators import graph as g
 from murmuration.operators.components import connected_components
-from murmuration.operators.kcore import kcore, kcore_stats, prune
+from murmuration.operators.kcore import core_numbers, kcore, kcore_stats, prune
 from murmuration.operators.labelprop import label_propagation
 from murmuration.operators.pagerank import pagerank
 from murmuration.operators.scc import strongly_connected_components
@@ -147,6 +147,15 @@ def kcore_stats_query(spark, folder):
     return kcore_stats(kcore(inputs.flow_graph(spark, folder, inputs.DAY), 3))
 
 
+@query("core_numbers", f"""{DAILY}{"".join("," + kcore_sql(f"core{k}", "edge", k) for k in (1, 2, 3, 4))},
+inside as ({" union all ".join(f"select {k} as k, src as id from core{k} union all select {k}, dst from core{k}" for k in (1, 2, 3, 4))})
+select id, cast(max(k) as bigint) as core from inside group by id""")
+def core_numbers_query(spark, folder):
+    """Core number of every user within a day, up to 4."""
+    numbers = core_numbers(inputs.flow_edges(spark, folder, inputs.DAY))
+    return numbers.select("id", F.least("core", F.lit(4).cast("long")).alias("core"))
+
+
 @query("connected_components", f"{PART},{components_sql('comp', 'edge')} select id, component from comp")
 def components(spark, folder):
     graph = inputs.part_graph(spark, folder)
@@ -214,38 +223,41 @@ def triangles_total(spark, folder):
     return triangle_total(triangle_count(_mention_graph(spark, folder)))
 
 
-RANK_ROUNDS = 30
+RANK_ROUNDS, CONVERGED_ROUNDS = 30, 150
 
 
-def _pagerank_sql() -> str:
-    parts = [f"""{FLOW},{ends_sql("vertex", "edge")},
+def _pagerank_sql(graph: str, rounds: int) -> str:
+    """Rounds of ranks over ``edge`` and ``vertex``, written out one after the other."""
+    parts = [f"""{graph},
 outdeg as materialized (select src as id, count(*) as d from edge group by src),
 step as materialized (
   select e.src as src, e.dst as dst, count(*) / max(o.d) as share from edge e join outdeg o on o.id = e.src
   group by e.src, e.dst
 ),
 rank_0 as (select id, 1.0::double as rank from vertex)"""]
-    for i in range(RANK_ROUNDS):
+    for i in range(rounds):
         parts.append(f"""
 rank_{i + 1} as materialized (
   select v.id as id, 0.15 + 0.85 * coalesce(sum(r.rank * s.share), 0) as rank
   from vertex v left join step s on s.dst = v.id left join rank_{i} r on r.id = s.src group by v.id
 )""")
-    return ",".join(parts) + f"\nselect id, round(rank, 6) as rank from rank_{RANK_ROUNDS}"
+    return ",".join(parts)
 
 
-@query("pagerank", _pagerank_sql())
+@query("pagerank", _pagerank_sql(f"{FLOW},{ends_sql('vertex', 'edge')}", RANK_ROUNDS) + f"""
+select id, round(rank, 6) as rank from rank_{RANK_ROUNDS}""")
 def pagerank_query(spark, folder):
     ranks = pagerank(inputs.flow_graph(spark, folder), rounds=RANK_ROUNDS)
     return ranks.select("id", F.round("rank", 6).alias("rank"))
 
 
-@query("pagerank_converged")
+@query("pagerank_converged", _pagerank_sql(f"{MENTIONS}, {LINKS}, edge as materialized (select src, dst from link), {VERTEX}", CONVERGED_ROUNDS) + f"""
+select r.id as id, v.name as name, round(r.rank, 5) as rank from rank_{CONVERGED_ROUNDS} r join vertex v on v.id = r.id""")
 def pagerank_converged(spark, folder):
-    """Ranks of the whole mention graph to the default tolerance, with names, highest first."""
+    """Ranks of the whole mention graph until none moves any more, with names, highest first."""
     graph = _mention_graph(spark, folder)
-    ranks = pagerank(graph)
-    return g.label_vertices(graph.vertices, ranks).orderBy(F.desc("rank"), "id")
+    ranks = pagerank(graph, tolerance=1e-10)
+    return g.label_vertices(graph.vertices, ranks).orderBy(F.desc("rank"), "id").withColumn("rank", F.round("rank", 5))
 
 
 def _label_sql(rounds: int = 4) -> str:

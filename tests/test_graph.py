@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import pytest
@@ -5,9 +6,10 @@ from golden import CORES, EDGES, EXPECTED, IDS, LABELS, VERTICES
 
 from pyspark.sql import functions as F
 
+from murmuration.operators import community
 from murmuration.operators import graph as g
 from murmuration.operators.components import connected_components
-from murmuration.operators.kcore import kcore, kcore_stats, prune
+from murmuration.operators.kcore import core_numbers, kcore, kcore_stats, prune
 from murmuration.operators.labelprop import label_propagation
 from murmuration.operators.pagerank import pagerank
 from murmuration.operators import scc
@@ -83,6 +85,56 @@ def test_strong_components_match_mutual_reachability(spark):
     assert as_dict(strongly_connected_components(g.PropertyGraph(vertices, df))) == expected
 
 
+def brute_core_numbers(edges):
+    core, k = {}, 0
+    left = list(edges)
+    while left:
+        k += 1
+        while True:
+            ends = Counter(v for e in left for v in e)
+            low = {v for v, n in ends.items() if n < k}
+            if not low:
+                break
+            left = [e for e in left if e[0] not in low and e[1] not in low]
+            core.update((v, k - 1) for v in low)
+            for v in set(ends) - low - {v for e in left for v in e}:
+                core[v] = k - 1
+    return core
+
+
+@pytest.mark.parametrize("max_rows", [1_000_000, SALTED])
+def test_core_numbers(golden, max_rows):
+    numbers = as_dict(core_numbers(golden.edges, max_rows=max_rows))
+    for k, (n_vertices, _, _) in CORES.items():
+        assert sum(core >= k for core in numbers.values()) == n_vertices
+    bounds = core_numbers(golden.edges).select("id", (F.col("core") + 1).alias("bound"))
+    assert as_dict(core_numbers(golden.edges, bounds)) == numbers
+
+
+def test_core_numbers_of_a_multigraph(spark):
+    rng = random.Random(3)
+    edges = [(rng.randrange(12), rng.randrange(12)) for _ in range(60)] + [(i, i + 1) for i in range(20, 30)] + [(40, 40)]
+    df = spark.createDataFrame([(a, b, "m") for a, b in edges], "src long, dst long, attr string")
+    assert as_dict(core_numbers(df)) == brute_core_numbers(edges)
+
+
+def test_grown_components_contract_only_what_is_new(spark, monkeypatch):
+    """Components found period by period equal those found at once, from links to new edges and newcomers alone."""
+    rng, seen, counted = random.Random(6), [], []
+    whole = community.connected_components
+    monkeypatch.setattr(community, "connected_components", lambda v, e: counted.append(e.count()) or whole(v, e))
+    before = spark.createDataFrame([], "id long, com_id long")
+    for _ in range(3):
+        fresh = [(rng.randrange(60), rng.randrange(60)) for _ in range(14)]
+        seen += fresh
+        edges = spark.createDataFrame([(a, b, "m") for a, b in seen], "src long, dst long, attr string")
+        vertices = g.endpoints(edges).distinct().selectExpr("id", "string(id) as name")
+        df = spark.createDataFrame([(a, b, "m") for a, b in fresh], "src long, dst long, attr string")
+        before = community.grown_components(g.PropertyGraph(vertices, edges), before, df)
+        assert as_dict(before) == as_dict(whole(vertices, edges))
+    assert max(counted) <= 14
+
+
 def test_chain_of_strong_components_needs_few_passes(spark, monkeypatch):
     """64 rings of three, each linked to the next, with rising ids: lowest ids as colours would settle one ring a pass."""
     edges = [(3 * r + i, 3 * r + (i + 1) % 3) for r in range(64) for i in range(3)] + [(3 * r, 3 * r + 3) for r in range(63)]

@@ -8,6 +8,7 @@ from murmuration.operators.graph import mention_graph, mention_rows
 from murmuration.schemas import MESSAGE_SCHEMA
 from murmuration.session import new_folder
 from murmuration.sources import messages as m
+from murmuration.sources.keyed import KeyedTable
 from murmuration.sources.tables import read_table, scan, write_period
 from murmuration.streaming import pipeline as p
 from murmuration.streaming import windows as w
@@ -124,6 +125,68 @@ def test_top_keys(spark):
     assert got == {("a", 3, 1, 3), ("b", 2, 2, 3), ("z", 1, 1, 1)}
 
 
+def test_top_keys_of_a_stream_in_two_window_sizes(spark):
+    """Batches with late rows, rows too late, and a batch taken in twice; equal to counting each row in every window."""
+    source, folder, checkpoint = (new_folder(spark, n) for n in ("in", "top", "cp"))
+    schema = "ts timestamp, k string"
+    top = w.TopKeys(spark, folder, "k", [60, 10], 10, n=2)
+    batches = [[(1, "a"), (2, "a"), (3, "b"), (12, "c"), (25, "a")], [(70, "b"), (71, "b"), (64, "c"), (15, "c")],
+               [(9, "late"), (75, "a"), (66, "c"), (300, "z")]]
+    for batch in batches:
+        rows_ = [(START + timedelta(seconds=s), k) for s, k in batch]
+        spark.createDataFrame(rows_, schema).coalesce(1).write.mode("append").parquet(source)
+        query = top.start(spark.readStream.schema(schema).parquet(source), "ts", checkpoint, delay="60 seconds")
+        query.awaitTermination()
+        assert query.exception() is None
+    taken = [x for batch in batches for x in batch if x[1] != "late"]
+    expected = set()
+    for size in (60, 10):
+        windows = {}
+        for s, k in taken:
+            for start in range(s // 10 * 10 - size + 10, s // 10 * 10 + 1, 10):
+                windows.setdefault(start, []).append(k)
+        for start, keys in windows.items():
+            counts = {k: keys.count(k) for k in keys}
+            for rank, k in enumerate(sorted(counts, key=lambda k: (-counts[k], k))[:2], start=1):
+                expected.add((size, START + timedelta(seconds=start), k, counts[k], rank, len(counts)))
+
+    def got():
+        return {(r["size"], r["window_start"], r["k"], r["cnt"], r["rank"], r["n_keys"]) for r in top.read().collect()}
+
+    assert got() == expected
+    again = spark.read.parquet(f"{folder}/panes").where("batch = 2").select("pane_start", "k", "cnt")
+    top.update(spark.createDataFrame(again.collect(), again.schema), 2)
+    assert got() == expected
+    with pytest.raises(ValueError):
+        w.TopKeys(spark, folder, "k", [15], 10)
+
+
+def test_keyed_table(spark):
+    table = KeyedTable(spark, new_folder(spark, "keyed"), ["k"], 4)
+    schema = "k string, v int"
+
+    def put(rows_, version, **more):
+        table.upsert(spark.createDataFrame(rows_, schema), version, **more)
+
+    assert table.read(schema=schema).count() == 0 and table.versions() == []
+    put([("a", 1), ("b", 1), ("c", 1), (None, 1)], 1)
+    put([("b", 2), ("d", 2), ("d", 3)], 2)
+    second = rows(table.read())
+    assert second == rows(spark.createDataFrame([("a", 1), ("b", 2), ("c", 1), (None, 1), ("d", 2), ("d", 3)], schema))
+    put([("b", 2), ("d", 2), ("d", 3)], 2)
+    assert rows(table.read()) == second and table.versions() == [1, 2]
+    untouched = {b for b, v in table.manifest().items() if v == 1}
+    put([("b", 5), (None, 5)], 3, replaced=spark.createDataFrame([("a",)], "k string"))
+    assert rows(table.read()) == rows(spark.createDataFrame([("b", 5), ("c", 1), (None, 5), ("d", 2), ("d", 3)], schema))
+    assert rows(table.read(2)) == second and untouched
+    assert rows(table.lookup(spark.createDataFrame([("d",), ("x",)], "k string"))) == rows(
+        spark.createDataFrame([("d", 2), ("d", 3)], schema))
+    put([], 4)
+    assert table.read().count() == 5
+    put([], 1)  # a replay of the first version with nothing: it and all after it are made anew by their own replays
+    assert table.read(1, schema).count() == 0
+
+
 def test_word_counts_per_batch(spark):
     source, sink, checkpoint = (new_folder(spark, n) for n in ("in", "out", "cp"))
     for text in ("to be  or", "not to be"):
@@ -196,6 +259,25 @@ def test_repeated_messages_and_stored_texts_count_once(spark, messages, stored):
     assert tables.tokens().where("period = 1").count() == 0 and tables.communities().where("period = 1").count() == 0
 
 
+def test_bootstrap_from_stored_messages(spark, messages):
+    """Stored messages make the corpus of period 0 and a first model; they count once, and add nothing to the graph."""
+    settings = p.Settings(k=2, min_size=2, n_topics=2, iterations=2, prune_every=9)
+    tables = p.PeriodTables(spark, new_folder(spark, "boot"))
+    stored = messages.where("message_id <= 10")
+    for _ in range(2):
+        p.bootstrap(tables, stored, settings)
+    words = {r["term"]: r["cnt"] for r in tables.terms().where("period = 0").collect()}
+    assert words["harbour"] == words["orchard"] == 5 and tables.topics().where("period = 0").count() > 0
+    p.run_period(tables, messages, 1, settings)
+    assert tables.graph_of(1, 9).edges.count() == 34
+    assert tables.tokens().where("period = 1").join(tables.tokens().where("period = 0"), "doc_id").count() == 0
+    total = {r["term"]: r["n"] for r in tables.terms().groupBy("term").agg(F.sum("cnt").alias("n")).collect()}
+    by_document = {r["term"]: r["n"] for r in tables.tokens().groupBy("term").agg(F.sum("cnt").alias("n")).collect()}
+    assert total == by_document
+    scores = tables.scores().where("period = 1").collect()
+    assert sorted(r["sg"] for r in scores) == list(range(len(scores))) and all(len(r["cosines"]) == 2 for r in scores)
+
+
 def test_periods(spark):
     moments = spark.createDataFrame([(START + timedelta(seconds=s),) for s in (0, 59, 60, 200)], "ts timestamp")
     got = [r[0] for r in moments.select(w.period_number(F.col("ts"), 60, START)).collect()]

@@ -123,4 +123,9 @@ def test_export(spark):
     ranked = [tuple(r) for r in x.ranked_topics(shown, topics).orderBy("com_id", "rank").collect()]
     assert ranked == [(1, 5, 1, 1, 0.9, "corn"), (1, 5, 2, 0, 0.2, "sea;ship"),
                       (1, 7, 1, 0, 0.4, "sea;ship"), (1, 7, 2, 1, 0.4, "corn")]
+    numbered = shown.withColumn("sg", F.when(F.col("com_id") == 5, 0).otherwise(1))
+    assert {(r["name"], r["sg"]) for r in x.export_nodes(numbered).collect()} == {(5, 0), (6, 0), (9, 0), (7, 1), (8, 1)}
+    scores = spark.createDataFrame([(1, 5, 0, [0.2, 0.9]), (1, 7, 1, [0.4, 0.4])], "period int, com_id long, sg long, cosines array<double>")
+    assert {tuple(r) for r in x.export_cosines(scores).collect()} == {(1, 5, 0, "0.2;0.9"), (1, 7, 1, "0.4;0.4")}
+    assert [tuple(r) for r in x.ranked_topics(scores, topics).orderBy("com_id", "rank").collect()] == ranked
     assert x.export_json(nodes.where("name = 5")).first()[0] == '{"node_index":0,"name":5,"group":5}'
