@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import re
 import sys
@@ -20,11 +21,12 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no
 CAPACITY = 1024
 SLACK = CAPACITY // 32  # padding that a full sequence may have
 END_ID = 0
-CHUNK_BYTES, CACHED_LENGTH = 96 << 20, 48  # what a worker remembers of chunks, and of how long ones
+CHUNK_BYTES, CACHED_LENGTH = 256 << 20, 48  # what a worker remembers of chunks, and of how long ones
 SEQUENCE_BITS = 33  # sequences of one task are numbered in the low bits
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 # Next to another white space, a space may belong to another token of the byte-level pattern.
 _UNSAFE = re.compile(r" \s|\s | \Z|\A ")
+MARKS = ".,;:!?"
 SPACE = "\u0120"  # how a byte-level vocabulary writes a space
 
 
@@ -42,39 +44,53 @@ class Encoder:
         self.begins = np.zeros(1 + max(vocabulary.values()), dtype=bool)  # ids that begin with a space
         self.begins[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
         self.chunks = Recent(CHUNK_BYTES)
+        cuts = json.loads(self.tokenizer.to_str()).get("pre_tokenizer") or {}
+        by_pattern = cuts.get("type") == "ByteLevel" and cuts.get("use_regex")  # so marks are tokens apart
+        self.marks = dict(zip(MARKS, (own.tobytes() for own in self.encode(list(MARKS))))) if by_pattern else {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4") for x in found]
 
     def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        """Ids of chunks, each after its space: all as one text, which is parted where ids begin with a space."""
-        if not chunks:
-            return []
-        ids = self.encode([" " + " ".join(chunks)])[0]
-        starts = np.flatnonzero(self.begins[ids])
-        if len(starts) != len(chunks):  # not a byte-level vocabulary
-            return [own.tobytes() for own in self.encode([" " + chunk for chunk in chunks])]
-        data, bounds = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
-        return [data[a:b] for a, b in zip(bounds, bounds[1:])]
-
-    def whole(self, text: str) -> bool:
-        return not text or _UNSAFE.search(text) is not None or any(map(text.__contains__, self.added))
+        """Ids of chunks, each after its space. A mark behind a word of plain letters is a token apart, so the word is
+        looked up without it; what is unknown is encoded as one text, which is parted where ids begin with a space."""
+        bare = [chunk[:-1] if chunk[-1] in self.marks and chunk[:-1].isascii() and chunk[:-1].isalpha() else chunk for chunk in chunks]
+        known = {word: ids for word in set(bare) if (ids := self.chunks.new.get(word) or self.chunks.old.get(word))}
+        unknown = list(set(bare).difference(known))
+        if unknown:
+            ids = self.encode([" " + " ".join(unknown)])[0]
+            starts = np.flatnonzero(self.begins[ids])
+            if len(starts) == len(unknown):
+                data, bounds = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+                known.update(zip(unknown, (data[a:b] for a, b in zip(bounds, bounds[1:]))))
+            else:  # not a byte-level vocabulary
+                known.update(zip(unknown, (own.tobytes() for own in self.encode([" " + chunk for chunk in unknown]))))
+        return [known[word] if len(word) == len(chunk) else known[word] + self.marks[chunk[-1]] for word, chunk in zip(bare, chunks)]
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of whole texts. A token never extends over a single space between other characters, so such texts are cut
-        before their spaces and each different chunk is encoded once; others, and those with an added token, are encoded whole."""
-        cut = [None if self.whole(text) else text.split(" ") for text in texts]
-        chunks = set().union(*(own[1:] for own in cut if own is not None))
-        long = [chunk for chunk in chunks if len(chunk) > CACHED_LENGTH]
-        known = self.chunks.fill(chunks.difference(long) if long else chunks, self._encode_chunks)
-        rare = dict(zip(long, self._encode_chunks(long)))
+        before their spaces and each different chunk is encoded once; others, and those with an added token, are encoded whole.
+
+        Only chunks that are not empty and have no white space at their ends are remembered, so a text whose chunks are all
+        known needs no other look. The others (``odd``), and long ones, are encoded by themselves.
+        """
+        cut = [None if not text or any(map(text.__contains__, self.added)) else text.split(" ") for text in texts]
+        self.chunks.make_room()
+        missing = set().union(*(own[1:] for own in cut if own is not None)).difference(self.chunks.new)
+        odd = {chunk for chunk in missing if not chunk or chunk[0].isspace() or chunk[-1].isspace()}
+        for i, own in enumerate(cut):
+            if own is not None and (not own[0] or own[0][-1].isspace() or odd and not odd.isdisjoint(own)) and _UNSAFE.search(texts[i]):
+                cut[i] = None
+        apart = odd.union(chunk for chunk in missing if len(chunk) > CACHED_LENGTH)
+        known = self.chunks.add(missing - apart, self._encode_chunks)
+        rare = dict(zip(apart, (own.tobytes() for own in self.encode([" " + chunk for chunk in apart]))))
         firsts = self.encode([text if own is None else own[0] for text, own in zip(texts, cut)])
         out = []
         for own, first in zip(cut, firsts):
             if own is not None and len(own) > 1:
-                if rare and any(len(chunk) > CACHED_LENGTH for chunk in own[1:]):
-                    rest = [known[c] if len(c) <= CACHED_LENGTH else rare[c] for c in own[1:]]
+                if rare and not rare.keys().isdisjoint(own):
+                    rest = [rare[c] if c in rare else known[c] for c in own[1:]]
                 else:
                     rest = map(known.__getitem__, own[1:])
                 first = np.frombuffer(first.tobytes() + b"".join(rest), dtype="<u4")
@@ -172,8 +188,8 @@ def packed(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     def run(batches):
         packer = Packer(TaskContext.get().partitionId())
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 texts = [text or "" for text in part.column(1).to_pylist()]
                 for doc_id, ids in zip(part.column(0).to_pylist(), encoded_texts(tokenizer_path, texts, False)):
                     packer.add(doc_id, np.append(ids, np.uint32(END_ID)))

@@ -31,9 +31,7 @@ def shared(spark, thing):
     return (lambda: kept(name, "shared", lambda: cloudpickle.loads(sent.value))), name
 
 
-def _bytes(key, value) -> int:
-    inner = 24 * len(value) if isinstance(value, tuple) else 0
-    return 110 + sys.getsizeof(key) + sys.getsizeof(value) + inner
+ENTRY_BYTES = 250  # of an entry besides its key's characters, with its place in the dictionary
 
 
 class Recent:
@@ -42,16 +40,23 @@ class Recent:
     def __init__(self, limit: int) -> None:
         self.limit, self.used, self.new, self.old = limit // 2, 0, {}, {}
 
+    def make_room(self) -> None:
+        """Start a new generation if this one is full."""
+        if self.used > self.limit:
+            self.old, self.new, self.used = self.new, {}, 0
+
     def fill(self, keys, compute) -> dict:
         """A dictionary that has all of ``keys``; ``compute`` maps a list of unknown keys to their values."""
-        missing = set(keys).difference(self.new)
+        if set(keys).difference(self.new):
+            self.make_room()
+        return self.add(set(keys).difference(self.new), compute)
+
+    def add(self, missing: set, compute) -> dict:
+        """The dictionary with ``missing`` keys added; it has what it had since ``make_room``."""
         if missing:
-            if self.used > self.limit:
-                self.old, self.new, self.used = self.new, {}, 0
-                missing = set(keys)
             found = {key: self.old[key] for key in missing & self.old.keys()}
             unknown = list(missing - found.keys())
             found.update(zip(unknown, compute(unknown)))
-            self.used += sum(map(_bytes, found.keys(), found.values()))
+            self.used += ENTRY_BYTES * len(found) + sum(map(len, found))
             self.new.update(found)
         return self.new
