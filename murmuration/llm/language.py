@@ -19,7 +19,7 @@ from murmuration.llm.worker import Recent, kept, shared
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have the package
 
 WORD = re.compile(rf"[^\W\d_](?:[^\W\d_]|[{marks()}])*")  # a letter may carry marks: many scripts write vowels so
-CACHED_BYTES = 24 << 20  # of words and their scores in a worker
+CACHED_BYTES = 160 << 20  # of words and their scores in a worker
 
 # Main ranges of Unicode scripts; a letter in none of them is of the script "Other".
 SCRIPTS = (

@@ -21,7 +21,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no
 CAPACITY = 1024
 SLACK = CAPACITY // 32  # padding that a full sequence may have
 END_ID = 0
-CHUNK_BYTES, CACHED_LENGTH = 256 << 20, 48  # what a worker remembers of chunks, and of how long ones
+CHUNK_BYTES, CACHED_LENGTH = 128 << 20, 48  # what a worker remembers of chunks, by a high estimate, and of how long ones
 SEQUENCE_BITS = 33  # sequences of one task are numbered in the low bits
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 # Next to another white space, a space may belong to another token of the byte-level pattern.

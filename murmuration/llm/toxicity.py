@@ -28,7 +28,7 @@ def marks() -> str:
 
 
 WORD = re.compile(rf"(?:\w|[{marks()}])+")
-CACHED_BYTES = 24 << 20  # of words and their numbers in a worker
+CACHED_BYTES = 150 << 20  # of words and their numbers in a worker, by a high estimate
 
 
 @dataclass(frozen=True)
@@ -137,10 +137,14 @@ def fit(docs: DataFrame, labels: DataFrame, shape: Shape = Shape()) -> Model:
     chosen = docs.sparkSession.createDataFrame(chosen, "doc_id long, toxic int")
 
     def bags(frames):
+        kept("bags", "nothing", lambda: None)  # lets go of what other operators left
         for frame in frames:
-            rows = [_bag(text or "", shape) for text in frame["text"]]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "toxic": frame["toxic"],
-                                "buckets": [r[0] for r in rows], "weights": [r[1] for r in rows]})
+            for at in range(0, len(frame), 64):
+                part = frame.iloc[at:at + 64]
+                rows = [_bag(text or "", shape) for text in part["text"]]
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "toxic": part["toxic"].to_numpy(),
+                                    "buckets": [np.array(r[0], dtype=np.int32) for r in rows],
+                                    "weights": [np.array(r[1], dtype=np.float32) for r in rows]})
 
     single = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic")
               .agg(F.min_by("text", F.xxhash64("text")).alias("text")))  # of rows that repeat an id, one
