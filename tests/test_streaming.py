@@ -181,6 +181,12 @@ def test_keyed_table(spark):
     assert rows(table.read(2)) == second and untouched
     assert rows(table.lookup(spark.createDataFrame([("d",), ("x",)], "k string"))) == rows(
         spark.createDataFrame([("d", 2), ("d", 3)], schema))
+    one = table.get(k="d")
+    assert rows(one) == rows(spark.createDataFrame([("d", 2), ("d", 3)], schema))
+    assert len({f.rsplit("/", 1)[0] for f in one.inputFiles()}) == 1
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "k,d" in plan.replace(" ", "").split("PushedFilters")[1][:80]
+    assert table.get(schema, k="absent").count() == 0
     put([], 4)
     assert table.read().count() == 5
     put([], 1)  # a replay of the first version with nothing: it and all after it are made anew by their own replays
@@ -259,6 +265,27 @@ def test_repeated_messages_and_stored_texts_count_once(spark, messages, stored):
     assert tables.tokens().where("period = 1").count() == 0 and tables.communities().where("period = 1").count() == 0
 
 
+def test_message_delivered_again_with_other_mentions(spark):
+    """Its old edges leave the graph and the communities, however the periods between them pruned."""
+    def ring(first, names):
+        return [message(first + i, a, f"hello @{b}") for i, (a, b) in enumerate(zip(names, names[1:] + names[:1]))]
+
+    start = ring(1, ["anna", "bert", "carl"]) + ring(11, ["dora", "emil", "fred"]) + [message(21, "anna", "hello @dora")]
+    again = [message(21, "anna", "hello @nobody"), message(1, "anna", "hello @bert"), message(12, "emil", "nothing")]
+    settings = p.Settings(k=2, min_size=2, topics=False, prune_every=2)
+    tables = p.PeriodTables(spark, new_folder(spark, "again"))
+    for period, batch in enumerate([start, again, [message(30, "emil", "hello @fred")]], start=1):
+        p.run_period(tables, spark.createDataFrame(batch, MESSAGE_SCHEMA), period, settings)
+    sizes = {period: sorted(r["nbv"] for r in tables.edges().where(f"period = {period}").select("com_id", "nbv").distinct().collect())
+             for period in (1, 2, 3)}
+    assert sizes == {1: [6], 2: [3], 3: [3]}  # without its second message the second ring is none; pruning took the rest of it
+    assert tables.graph_of(3, 2).edges.where("attr in ('21', '12')").count() == 0
+    assert {r["message_id"] for r in tables.communications().collect()} >= {"1", "2", "3", "11", "13", "21", "30"}
+    assert tables.communications().where("message_id = '12'").count() == 0
+    p.run_period(tables, spark.createDataFrame(again, MESSAGE_SCHEMA), 2, settings)
+    assert tables.edges().where("period = 2").count() == 3
+
+
 def test_bootstrap_from_stored_messages(spark, messages):
     """Stored messages make the corpus of period 0 and a first model; they count once, and add nothing to the graph."""
     settings = p.Settings(k=2, min_size=2, n_topics=2, iterations=2, prune_every=9)
