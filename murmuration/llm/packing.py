@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import bisect
 import gc
-import json
 import os
 import re
 import sys
@@ -22,7 +21,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no
 CAPACITY = 1024
 SLACK = CAPACITY // 32  # padding that a full sequence may have
 END_ID = 0
-CHUNK_BYTES, CACHED_LENGTH = 128 << 20, 48  # what a worker remembers of chunks, by a high estimate, and of how long ones
+CHUNK_BYTES, CACHED_LENGTH = 64 << 20, 48  # what a worker remembers of chunks, by a high estimate, and of how long ones
 SEQUENCE_BITS = 33  # sequences of one task are numbered in the low bits
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 # Next to another white space, a space may belong to another token of the byte-level pattern.
@@ -45,8 +44,8 @@ class Encoder:
         self.begins = np.zeros(1 + max(vocabulary.values()), dtype=bool)  # ids that begin with a space
         self.begins[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
         self.chunks = Recent(CHUNK_BYTES)
-        cuts = json.loads(self.tokenizer.to_str()).get("pre_tokenizer") or {}
-        by_pattern = cuts.get("type") == "ByteLevel" and cuts.get("use_regex")  # so marks are tokens apart
+        cuts = str(self.tokenizer.pre_tokenizer)
+        by_pattern = cuts.startswith("ByteLevel(") and "use_regex=True" in cuts  # so marks are tokens apart
         self.marks = dict(zip(MARKS, (own.tobytes() for own in self.encode(list(MARKS))))) if by_pattern else {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -200,8 +199,8 @@ def packed(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     def run(batches):
         packer = Packer(TaskContext.get().partitionId())
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 texts = [text or "" for text in part.column(1).to_pylist()]
                 for doc_id, ids in zip(part.column(0).to_pylist(), encoded_texts(tokenizer_path, texts, False)):
                     packer.add(doc_id, np.append(ids, np.uint32(END_ID)))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import sys
 from types import ModuleType
 
+import pyarrow as pa
 from pyspark import cloudpickle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have the package
@@ -15,7 +18,9 @@ def kept(owner: str, what: str, make):
     """The worker's object ``what`` of ``owner``, made at first use; objects of other owners are let go first."""
     store = sys.modules.setdefault("_murmuration_worker", ModuleType("_murmuration_worker")).__dict__
     if store.get("owner") != owner:
-        store.clear()
+        if "owner" in store:
+            store.clear()
+            _give_back()
         store["owner"] = owner
     key = f"kept {what}"
     if key not in store:
@@ -23,6 +28,16 @@ def kept(owner: str, what: str, make):
     return store[key]
 
 
+def _give_back() -> None:
+    """Return freed memory to the system, which the executor shares with the worker."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def shared(spark, thing):
     """A broadcast of ``thing`` by value: a function that gives a worker's copy, and the owner's name for what goes with it."""
     data = cloudpickle.dumps(thing)
