@@ -79,7 +79,7 @@ class Encoder:
         self.chunks.make_room()
         missing = set().union(*(own[1:] for own in cut if own is not None)).difference(self.chunks.new)
         odd = set()
-        if _UNSAFE.search(" ".join(missing)):
+        if missing and _UNSAFE.search(f"x {' '.join(missing)} x"):
             odd = {chunk for chunk in missing if not chunk or chunk[0].isspace() or chunk[-1].isspace()}
         for i, own in enumerate(cut):
             if own is not None and (not own[0] or own[0][-1].isspace() or odd and not odd.isdisjoint(own)) and _UNSAFE.search(texts[i]):

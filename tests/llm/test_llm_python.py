@@ -293,6 +293,14 @@ def test_packing_odd_rows(spark):
     assert repeated.where("doc_id = 2").count() == 2
 
 
+def test_chunks_that_are_white_space_alone_among_known_ones():
+    whole = Tokenizer.from_file(PATH)
+    # The words are known before, so the odd chunk is the only one that is not.
+    for texts in (["aa bb cc"], ["aa bb  cc"], ["aa \n bb"], ["aa \nbb cc"], ["aa bb\n cc"], ["aa  bb", "aa bb "]):
+        expected = [whole.encode(text, add_special_tokens=False).ids for text in texts]
+        assert [ids.tolist() for ids in packing.encoded_texts(PATH, texts, False)] == expected
+
+
 def test_packed_ids_are_those_of_the_file_as_given(spark):
     whole = Tokenizer.from_file(PATH)
     texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z ", "plain words only", "a <|endoftext|>"]
