@@ -286,3 +286,60 @@ def test_a_hub_is_split_in_joins_with_stored_vertices(spark):
     finally:
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def _tables_made(monkeypatch):
+    from murmuration import session
+
+    made, new_folder = [], session.new_folder
+    monkeypatch.setattr(session, "new_folder", lambda spark, purpose: made.append(purpose) or new_folder(spark, purpose))
+    return made
+
+
+def _graph(spark, edges):
+    df = spark.createDataFrame([(a, b, str(i)) for i, (a, b) in enumerate(edges)], "src long, dst long, attr string")
+    return g.PropertyGraph(g.endpoints(df).distinct().withColumn("name", F.col("id").cast("string")), df)
+
+
+def test_long_tails_take_few_jobs(spark, monkeypatch):
+    """A triangle with a tail of 600 vertices: a round takes one vertex off the tail, and the triangle keeps it connected."""
+    tail = [(0, 1), (1, 2), (2, 0), *((i, i + 1) for i in range(2, 602))]
+    graph = _graph(spark, tail)
+    made = _tables_made(monkeypatch)
+    assert sorted(r.id for r in kcore(graph, 2).vertices.collect()) == [0, 1, 2]
+    assert len(made) < 60
+    made.clear()
+    # The numbers fall along the path of a ladder from its open end.
+    ladder = [e for i in range(300) for e in ((2 * i, 2 * i + 1), (2 * i, 2 * i + 2), (2 * i + 1, 2 * i + 3), (2 * i, 2 * i + 3))]
+    numbers = as_dict(core_numbers(_graph(spark, ladder).edges))
+    assert numbers == brute_core_numbers(ladder)
+    assert len(made) < 60
+    made.clear()
+    ring = [*tail, (602, 0)]
+    assert set(as_dict(strongly_connected_components(_graph(spark, ring))).values()) == {0}
+    assert len(made) < 60
+
+
+@pytest.mark.parametrize("max_edges, at_once", [(0, 1000), (30, 1000), (30, 0)])
+def test_small_and_large_components_agree(spark, max_edges, at_once):
+    from murmuration.operators.kcore import kcore_ids
+
+    rng = random.Random(5)
+    edges = [(100 * c + rng.randrange(n), 100 * c + rng.randrange(n)) for c, n in enumerate((4, 12, 30, 60)) for _ in range(2 * n)]
+    edges += [(1000 + i, 1001 + i) for i in range(40)] + [(2000, 2000), (2000, 2001)]
+    graph = _graph(spark, edges)
+    numbers = brute_core_numbers(edges)
+    assert as_dict(core_numbers(graph.edges, max_edges=max_edges, at_once=at_once)) == numbers
+    for k in (2, 3):
+        assert sorted(r.id for r in kcore_ids(graph.edges, k, max_edges=max_edges, at_once=at_once).collect()) == sorted(v for v, n in numbers.items() if n >= k)
+    reach = {v: {v} for v in numbers}
+    for v in reach:
+        todo = [v]
+        while todo:
+            at = todo.pop()
+            for a, b in edges:
+                if a == at and b not in reach[v]:
+                    reach[v].add(b)
+                    todo.append(b)
+    expected = {v: min(u for u in reach[v] if v in reach[u]) for v in reach}
+    assert as_dict(strongly_connected_components(graph, max_edges=max_edges)) == expected
