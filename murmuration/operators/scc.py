@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from murmuration.operators.bounded import MAX_EDGES, by_component, strong_components_of
 from murmuration.operators.graph import PropertyGraph
 from murmuration.operators.propagate import MAX_ROWS_PER_NEIGHBOUR, prepare_links, run_until
 from murmuration.session import discard, durable, durable_with
@@ -21,8 +22,7 @@ ROUNDS_PER_JOB, MOST_ROUNDS_PER_JOB = 4, 16
 OWN, FROM, TO = 0, 1, 2  # link to itself; the neighbour is the link's source; the neighbour is its target
 
 
-def _directed_links(edges: DataFrame) -> DataFrame:
-    pairs = edges.where("src <> dst").select("src", "dst").distinct()
+def _directed_links(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array(
         F.struct(F.col("dst").alias("id"), F.col("src").alias("nbr"), F.lit(FROM).alias("way")),
         F.struct(F.col("src").alias("id"), F.col("dst").alias("nbr"), F.lit(TO).alias("way")),
@@ -30,13 +30,28 @@ def _directed_links(edges: DataFrame) -> DataFrame:
 
 
 def strongly_connected_components(graph: PropertyGraph, max_passes: int | None = None,
-                                  max_rows: int = MAX_ROWS_PER_NEIGHBOUR) -> DataFrame:
+                                  max_rows: int = MAX_ROWS_PER_NEIGHBOUR, max_edges: int = MAX_EDGES) -> DataFrame:
     """``id, component``: the label is the lowest id of the component.
 
-    With ``max_passes`` the search stops early and the vertices left over are labelled by their own id.
+    Weakly connected components of at most ``max_edges`` edges are searched in tasks, larger ones by passes. With
+    ``max_passes`` there are only passes; the search stops early and the vertices left over are labelled by their own id.
     """
+    pairs = graph.edges.where("src <> dst").select("src", "dst").distinct()
+    if max_passes is None:
+        parts = by_component(durable(pairs.withColumn("w", F.lit(1).cast("long"))), max_edges)
+        labels = parts.in_tasks(strong_components_of, "id long, component long")
+        if parts.large is not None:
+            labels = labels.unionByName(_coloured(parts.large, None, max_rows))
+    else:
+        labels = _coloured(pairs, max_passes, max_rows)
+    everyone = graph.vertices.select("id")
+    return everyone.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def _coloured(pairs: DataFrame, max_passes: int | None, max_rows: int) -> DataFrame:
+    """``id, component`` of the vertices whose components are found."""
     n = F.count(F.lit(1))
-    links, seen = durable_with(_directed_links(graph.edges), n=n)
+    links, seen = durable_with(_directed_links(pairs), n=n)
     found: list[DataFrame] = []
     passes = 0
     own = F.col("way") == OWN
@@ -92,12 +107,10 @@ def strongly_connected_components(graph: PropertyGraph, max_passes: int | None =
             links.join(left, "id").join(left.select(F.col("id").alias("nbr"), F.col("colour").alias("nbr_colour")), "nbr")
             .where("colour = nbr_colour").select("id", "nbr", "way"), n=n)
         discard(before)
-    everyone = graph.vertices.select("id")
     if not found:
-        return everyone.select("id", F.col("id").alias("component"))
+        return pairs.sparkSession.createDataFrame([], "id long, component long")
     members = found[0]
     for more in found[1:]:
         members = members.unionByName(more)
     lowest = durable(members.groupBy("pass", "colour").agg(F.min("id").alias("component")))
-    labels = members.join(lowest, ["pass", "colour"]).select("id", "component")
-    return everyone.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    return members.join(lowest, ["pass", "colour"]).select("id", "component")
