@@ -132,11 +132,11 @@ def stream_topk(spark, folder):
     """Most active users of every six hours and of every hour, from a stream in whose later files everything comes late."""
     source, tables, checkpoint = (new_folder(spark, name) for name in ("events", "topk", "stream"))
     rows = inputs.events(spark, folder).select("ts", "user_id", F.pmod("event_id", F.lit(3)).alias("part"))
-    for part in range(3):
-        rows.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(source)
-    arriving = spark.readStream.schema("ts timestamp, user_id long").option("maxFilesPerTrigger", 1).parquet(source)
     top = w.TopKeys(spark, tables, "user_id", [21_600, 3_600], 3_600)
-    _finish(top.start(arriving, "ts", checkpoint, delay="60 days"))
+    for part in range(3):  # a run takes all files that are new as one batch
+        rows.where(F.col("part") == part).drop("part").write.mode("append").parquet(source)
+        arriving = spark.readStream.schema("ts timestamp, user_id long").parquet(source)
+        _finish(top.start(arriving, "ts", checkpoint, delay="60 days"))
     return top.read().withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
