@@ -343,3 +343,29 @@ def test_small_and_large_components_agree(spark, max_edges, at_once):
                     todo.append(b)
     expected = {v: min(u for u in reach[v] if v in reach[u]) for v in reach}
     assert as_dict(strongly_connected_components(graph, max_edges=max_edges)) == expected
+
+
+def test_one_core_needs_no_rounds(spark, monkeypatch):
+    """Vertices with an edge, a loop or an edge whose other end is null; components are not looked for."""
+    from murmuration.operators import kcore as module
+
+    monkeypatch.setattr(module, "by_component", None)
+    edges = spark.createDataFrame([(1, 2), (3, 3), (4, None), (None, None)], "src long, dst long")
+    assert sorted(r["id"] for r in module.kcore_ids(edges, 1).collect()) == [1, 2, 3, 4]
+
+
+@pytest.mark.parametrize("max_in_task", [0, 30, 10_000])
+def test_components_finished_by_a_task(spark, max_in_task):
+    from murmuration.operators import components as module
+
+    rng = random.Random(5)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(130)] + [(i, i + 1) for i in range(1000, 1200)] + [(9, None)]
+    label = {v: v for pair in pairs for v in pair if v is not None}
+    for _ in label:
+        for a, b in pairs:
+            if b is not None:
+                label[a] = label[b] = min(label[a], label[b])
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    ids = spark.createDataFrame([(v,) for v in label], "id long")
+    got = {r["id"]: r["component"] for r in module.connected_components(ids, edges, max_in_task=max_in_task).collect()}
+    assert got == label
