@@ -1,6 +1,6 @@
 """Passing values along graph links, round after round.
 
-The links are stored reliably, shuffled once and kept by the executors, partitioned by the neighbour a value comes from
+The links are stored reliably, shuffled once and kept by the executors, partitioned and sorted by the neighbour a value comes from
 (what a lost executor kept is read from the stored table again). A round then shuffles one row per vertex and the
 partial aggregates, never the links. Every neighbour with more than ``max_rows`` links is salted: its links are spread
 over several groups and its value is sent to each of them.
@@ -83,13 +83,14 @@ def prepare_links(links: DataFrame, max_rows: int = MAX_ROWS_PER_NEIGHBOUR) -> L
     partitions = max(-(-(total or 0) // LINKS_PER_PARTITION),
                      int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     if (largest or 0) <= max_rows:
-        return Links(links.repartition(partitions, "nbr").persist(StorageLevel.MEMORY_AND_DISK), None, (links,))
+        return Links(links.repartition(partitions, "nbr").sortWithinPartitions("nbr").persist(StorageLevel.MEMORY_AND_DISK), None, (links,))
     hot = durable(sizes.where(F.col("count") > max_rows)
                   .select("nbr", F.ceil(F.col("count") / max_rows).cast("int").alias("copies")))
     salted = (links.join(hot, "nbr", "left")
               .withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("copies", F.lit(1))).cast("int"))
               .drop("copies"))
-    return Links(salted.repartition(partitions, "nbr", "salt").persist(StorageLevel.MEMORY_AND_DISK), hot, (links, hot))
+    kept = salted.repartition(partitions, "nbr", "salt").sortWithinPartitions("nbr", "salt")
+    return Links(kept.persist(StorageLevel.MEMORY_AND_DISK), hot, (links, hot))
 
 
 def run_rounds(state: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int, per_job: int) -> DataFrame:

@@ -369,3 +369,27 @@ def test_components_finished_by_a_task(spark, max_in_task):
     ids = spark.createDataFrame([(v,) for v in label], "id long")
     got = {r["id"]: r["component"] for r in module.connected_components(ids, edges, max_in_task=max_in_task).collect()}
     assert got == label
+
+
+def test_ranks_settle_in_few_rounds(spark, monkeypatch):
+    """Groups of users that hardly mention each other: plain rounds take as many as the reset needs, about a hundred."""
+    from murmuration.operators import pagerank as module
+
+    rng = random.Random(1)
+    pairs = [(10 * n + i, 10 * n + j) for n in range(4) for i in range(10) for j in rng.sample(range(10), 4) if i != j]
+    pairs += [(10 * n, 10 * n + 10) for n in range(3)]
+    edges = spark.createDataFrame([(*p, "") for p in pairs], "src long, dst long, attr string")
+    vertices = spark.createDataFrame([(v, "") for v in range(40)], "id long, name string")
+    jobs, store = [], module.durable_with
+    monkeypatch.setattr(module, "durable_with", lambda *args, **kwargs: jobs.append(1) or store(*args, **kwargs))
+    got = {r["id"]: r["rank"] for r in module.pagerank(g.PropertyGraph(vertices, edges), tolerance=1e-10).collect()}
+    out, want = {}, {v: 1.0 for v in range(40)}
+    for a, _ in pairs:
+        out[a] = out.get(a, 0) + 1
+    for _ in range(300):
+        after = dict.fromkeys(want, 0.15)
+        for a, b in pairs:
+            after[b] += 0.85 * want[a] / out[a]
+        want = after
+    assert got == pytest.approx(want, abs=1e-8)
+    assert len(jobs) <= 15
