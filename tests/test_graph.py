@@ -393,3 +393,17 @@ def test_ranks_settle_in_few_rounds(spark, monkeypatch):
         want = after
     assert got == pytest.approx(want, abs=1e-8)
     assert len(jobs) <= 15
+
+
+def test_triangle_lists_hold_small_numbers(spark, monkeypatch):
+    from murmuration.operators import triangles as module
+
+    tables, store = [], module.durable
+    monkeypatch.setattr(module, "durable", lambda df: tables.append(df) or store(df))
+    big = 1 << 60
+    pairs = [(big + a, big + b) for a, b in [(1, 2), (2, 3), (3, 1), (3, 4), (4, 1), (4, 4), (2, 1)]] + [(None, big + 1)]
+    edges = spark.createDataFrame([(*p, "") for p in pairs], "src long, dst long, attr string")
+    vertices = spark.createDataFrame([(big + v, "") for v in range(1, 6)], "id long, name string")
+    got = {r["id"] - big: r["triangles"] for r in module.triangle_count(g.PropertyGraph(vertices, edges)).collect()}
+    assert got == {1: 2, 2: 1, 3: 2, 4: 1, 5: 0}
+    assert dict(tables[-1].dtypes)["targets"] == "array<int>"
