@@ -129,3 +129,38 @@ def test_export(spark):
     assert {tuple(r) for r in x.export_cosines(scores).collect()} == {(1, 5, 0, "0.2;0.9"), (1, 7, 1, "0.4;0.4")}
     assert [tuple(r) for r in x.ranked_topics(scores, topics).orderBy("com_id", "rank").collect()] == ranked
     assert x.export_json(nodes.where("name = 5")).first()[0] == '{"node_index":0,"name":5,"group":5}'
+
+
+def test_topics_are_counted_in_blocks(spark, monkeypatch):
+    """EM over many blocks equals the same rounds on whole matrices; the topics are a table of one row per term."""
+    import numpy as np
+
+    from murmuration.operators import lda
+
+    rng = np.random.default_rng(3)
+    rows = [(d, t_, int(c)) for d in range(30) for t_ in range(12) if (c := rng.integers(0, 4))]
+    counts = spark.createDataFrame([(d, f"w{t_}", c) for d, t_, c in rows], "doc_id long, term string, cnt long")
+    terms = spark.createDataFrame([(f"w{t_}", t_) for t_ in range(12)], "term string, term_id int")
+    monkeypatch.setattr(lda, "ENTRIES_PER_BLOCK", 20)
+    model = lda.fit(t.term_vectors(counts, terms), "em", 2, 4, 1.2, 1.2, 7)
+    assert model.weights.count() == 12 and "block" not in model.weights.columns
+
+    seeds = {r["doc_id"]: r["s"] for r in spark.range(30).selectExpr("id as doc_id", "xxhash64(id) as s").collect()}
+    doc, term, cnt = (np.array(c) for c in zip(*rows))
+    shares = lda._uniforms(np.array([seeds[d] for d in doc]), term, 2, 7)
+    for done in range(5):
+        if done:
+            shares = (by_term[term] + 0.2) * (by_doc[doc] + 0.2) / (by_term.sum(axis=0) + 12 * 0.2)
+        shares = shares / shares.sum(axis=1)[:, None] * cnt[:, None]
+        by_term = np.column_stack([np.bincount(term, shares[:, i], 12) for i in range(2)])
+        by_doc = np.column_stack([np.bincount(doc, shares[:, i], 30) for i in range(2)])
+    assert model.topicsMatrix().toArray() == pytest.approx(by_term, abs=1e-9)
+
+
+def test_special_functions():
+    import numpy as np
+
+    from murmuration.operators import lda
+
+    assert lda.digamma(np.array([1.0, 0.5])) == pytest.approx([-0.5772156649015329, -1.9635100260214235], abs=1e-10)
+    assert lda.trigamma(np.array([1.0, 0.5])) == pytest.approx([math.pi ** 2 / 6, math.pi ** 2 / 2], abs=1e-9)
