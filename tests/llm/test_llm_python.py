@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -301,6 +302,43 @@ def test_chunks_that_are_white_space_alone_among_known_ones():
         assert [ids.tolist() for ids in packing.encoded_texts(PATH, texts, False)] == expected
 
 
+def test_words_are_encoded_once_whatever_stands_behind_them(monkeypatch):
+    whole, sent, encode = Tokenizer.from_file(PATH), [], packing.Encoder.encode
+    words = ["zürbelqua", "quomblarre", "ñandvöpp", "Жолтрубец"]
+    before = ["x " + " ".join(word + rest for word in words for rest in ["", ",", "!!", ".\nThen", "'s"])]
+    after = [f"x {rest.join(words)}{rest} {word}" for word in words for rest in [", ", "!! ", ".\nThen ", "'s "]]
+    packing.encoded_texts(PATH, before, False)
+    monkeypatch.setattr(packing.Encoder, "encode", lambda self, texts: (sent.extend(texts), encode(self, texts))[1])
+    got = packing.encoded_texts(PATH, after, False)
+    assert set(sent) == {"x"}
+    assert [g.tolist() for g in got] == [whole.encode(t, add_special_tokens=False).ids for t in after]
+
+
+def test_known_words_are_bounded_in_bytes():
+    rng, known = random.Random(3), packing.Known(1 << 16)
+    compute = lambda new: (np.array([int(w) for w in new for _ in range(1 + int(w) % 3)], dtype="<u4"), np.array([1 + int(w) % 3 for w in new]))
+    for _ in range(100):
+        words = [str(w) for w in rng.sample(range(5000), 300)]
+        ids, lengths = known.find(pa.array(words), compute)
+        assert ids.tolist() == compute(words)[0].tolist() and lengths.tolist() == compute(words)[1].tolist()
+        assert 0 < sum(24 + len(w) + 4 * n for w, n in zip(known.words.to_pylist(), known.lengths)) <= 1 << 16
+        assert len(known.ids) == known.lengths.sum()
+    known.find(pa.array(["9" * 9, *map(str, range(20000))]), compute)
+    assert 0 < len(known.words) < 2000
+
+
+def test_slices_are_bounded_by_their_text(monkeypatch):
+    monkeypatch.setattr(packing, "SLICE_BYTES", 100)
+    texts = [None, "a b " * 90, "", "c d", "é " * 30, *["some words, and more"] * 20, None]
+    parts = packing.slices(pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"]))
+    assert [text for part in parts for text in part.column(1).to_pylist()] == texts
+    assert len(parts) > 5 and all(sum(len((t or "").encode()) for t in part.column(1).to_pylist()[1:]) <= 360 for part in parts)
+    assert packing.slices(parts[0].slice(0, 0)) == []
+    expected = [Tokenizer.from_file(PATH).encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [ids.tolist() for part in parts for ids in packing.encoded_texts(PATH, part.column(1), False)] == expected
+    assert packing.encoded_texts(PATH, [], False) == []
+
+
 def test_packed_ids_are_those_of_the_file_as_given(spark):
     whole = Tokenizer.from_file(PATH)
     texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z ", "plain words only", "a <|endoftext|>"]
