@@ -22,7 +22,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no
 CAPACITY = 1024
 SLACK = CAPACITY // 32  # padding that a full sequence may have
 END_ID = 0
-KNOWN_BYTES, KNOWN_REST_BYTES = 16 << 20, 4 << 20  # what a worker remembers of words and of what stands behind them
+KNOWN_BYTES, KNOWN_REST_BYTES = 8 << 20, 2 << 20  # what a worker remembers of words and of what stands behind them
 SLICE_BYTES, TOGETHER = 2 << 20, 4096  # of texts that are looked up together, and unknown words that are encoded as one text
 SEQUENCE_BITS = 33  # sequences of one task are numbered in the low bits
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
