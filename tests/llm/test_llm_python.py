@@ -305,8 +305,8 @@ def test_chunks_that_are_white_space_alone_among_known_ones():
 def test_words_are_encoded_once_whatever_stands_behind_them(monkeypatch):
     whole, sent, encode = Tokenizer.from_file(PATH), [], packing.Encoder.encode
     words = ["zürbelqua", "quomblarre", "ñandvöpp", "Жолтрубец"]
-    before = ["x " + " ".join(word + rest for word in words for rest in ["", ",", "!!", ".\nThen", "'s"])]
-    after = [f"x {rest.join(words)}{rest} {word}" for word in words for rest in [", ", "!! ", ".\nThen ", "'s "]]
+    before = [" ".join(["x", *words, *("other" + rest for rest in [",", "!!", ".\nThen", "'s"])])]
+    after = [f"x {rest.join(words)}{rest}{word}" for word in words for rest in [", ", "!! ", ".\nThen ", "'s "]]
     packing.encoded_texts(PATH, before, False)
     monkeypatch.setattr(packing.Encoder, "encode", lambda self, texts: (sent.extend(texts), encode(self, texts))[1])
     got = packing.encoded_texts(PATH, after, False)
