@@ -407,3 +407,28 @@ def test_triangle_lists_hold_small_numbers(spark, monkeypatch):
     got = {r["id"] - big: r["triangles"] for r in module.triangle_count(g.PropertyGraph(vertices, edges)).collect()}
     assert got == {1: 2, 2: 1, 3: 2, 4: 1, 5: 0}
     assert dict(tables[-1].dtypes)["targets"] == "array<int>"
+
+
+def test_hubs_that_hold_a_large_component_together(spark, monkeypatch):
+    """Ladders, whose numbers fall along their path, linked by two hubs: without the hubs each is a block's, so rounds are few."""
+    ladders = [(1000 * c + a, 1000 * c + b) for c in range(3) for i in range(100)
+               for a, b in ((2 * i, 2 * i + 1), (2 * i, 2 * i + 2), (2 * i + 1, 2 * i + 3), (2 * i, 2 * i + 3))]
+    edges = [*ladders, *((1000 * c + 2 * i, hub) for c in range(3) for i in range(50, 100) for hub in (9000, 9001)[:1 + i % 2]), (9000, 9001)]
+    graph, numbers = _graph(spark, edges), brute_core_numbers(edges)
+    made = _tables_made(monkeypatch)
+    assert as_dict(core_numbers(graph.edges, max_edges=600)) == numbers
+    assert len(made) < 40
+
+
+@pytest.mark.parametrize("max_edges, hub_neighbours", [(0, 64), (10, 5), (1000, 5), (1000, 0)])
+def test_core_numbers_in_blocks(spark, max_edges, hub_neighbours):
+    from murmuration.operators.bounded import core_numbers_in_blocks
+    from murmuration.operators.propagate import merged_edges
+
+    rng = random.Random(8)
+    edges = [(100 * c + rng.randrange(12), 100 * c + rng.randrange(12)) for c in range(6) for _ in range(30)]
+    edges += [(rng.choice((7, 700, 701, 702)), 100 * rng.randrange(6) + rng.randrange(12)) for _ in range(90)] + [(700, 700), (700, 701)] * 3
+    pairs, numbers = merged_edges(_graph(spark, edges).edges), brute_core_numbers(edges)
+    assert as_dict(core_numbers_in_blocks(pairs, None, max_edges, hub_neighbours)) == numbers
+    bounds = spark.createDataFrame([(v, n + v % 3) for v, n in numbers.items() if v % 4], "id long, bound long")
+    assert as_dict(core_numbers_in_blocks(pairs, bounds, max_edges, hub_neighbours)) == numbers
