@@ -164,3 +164,37 @@ def test_special_functions():
 
     assert lda.digamma(np.array([1.0, 0.5])) == pytest.approx([-0.5772156649015329, -1.9635100260214235], abs=1e-10)
     assert lda.trigamma(np.array([1.0, 0.5])) == pytest.approx([math.pi ** 2 / 6, math.pi ** 2 / 2], abs=1e-9)
+
+
+@pytest.mark.parametrize("optimizer", ["em", "online"])
+def test_slices_of_a_block_change_nothing(spark, words, monkeypatch, optimizer):
+    """Whole documents in every slice; counts that are no whole numbers are kept too."""
+    from murmuration.operators import lda
+
+    counts = t.doc_term_counts(words).withColumn("cnt", F.col("cnt") + 0.25)
+    vectors = t.term_vectors(counts, t.vocabulary(t.doc_term_counts(words)))
+    monkeypatch.setattr(lda, "SHARE", 0.5)
+    found = []
+    for at_once in (3, 1_000_000):
+        monkeypatch.setattr(lda, "ENTRIES_AT_ONCE", at_once)
+        found.append(lda.fit(vectors, optimizer, 2, 3, 1.2, 1.2, 7).topicsMatrix().toArray())
+    assert found[0] == pytest.approx(found[1], rel=1e-9)
+
+
+def test_documents_are_read_once_for_several_rounds(spark, words, monkeypatch):
+    """Every round's sample is that of its own hash, and twelve rounds take two passes over the documents."""
+    from murmuration.operators import lda
+
+    counts = t.doc_term_counts(words)
+    docs = lda.sparse_rows(t.term_vectors(counts, t.vocabulary(counts)))
+    seeds = {r["doc"]: r["seed"] for r in docs.collect()}
+    monkeypatch.setattr(lda, "SHARE", 0.3)
+    made, new_folder = [], lda.new_folder
+    monkeypatch.setattr(lda, "new_folder", lambda spark, purpose: made.append(purpose) or new_folder(spark, purpose))
+    ids = spark.createDataFrame([*seeds.items()], "doc long, seed long")
+    for done, (batch, n, entries) in enumerate(lda._batches(docs, 12, 7), 1):
+        share = F.pmod(F.xxhash64("seed", F.lit(f"7 {done}")), F.lit(1 << 30)) / float(1 << 30)
+        rows = batch.collect()
+        assert sorted(r["doc"] for r in rows) == sorted(r["doc"] for r in ids.where(share < 0.3).collect())
+        assert n == len(rows) and entries == sum(len(r["indices"]) for r in rows)
+    assert done == 12 and made == ["sampled"] * 2
